@@ -10,7 +10,7 @@ from ..shared import table
 SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source,
-         len(list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), x -> x <> ''))::BIGINT AS size
+         len(list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size
   FROM documents
 ), ranked AS (
   SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::DOUBLE AS cap,

@@ -29,7 +29,7 @@ CACHE_WORDS = 300_000
 SCHEMA = "n_bytes long, n_tokens long"
 
 # The ASCII case of the pre-tokenizer's pattern (fixed value of the vocabulary file).
-_PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
 
 
 def load(path: str):
@@ -52,7 +52,7 @@ def proven_tokens(path: str) -> frozenset[str]:
         vocab = json.load(f)["model"]["vocab"]
     end = "</w>"
     names = [k[: -len(end)] for k in vocab if k.endswith(end) and k[: -len(end)].isascii()]
-    names = [k for k in names if k and k == k.lower() and _PRE_TOKENS.findall(k) == [k]]
+    names = [k for k in names if k and k == k.lower() and PRE_TOKENS.findall(k) == [k]]
     return frozenset(k for k, e in zip(names, t.encode_batch(names, add_special_tokens=False), strict=True) if len(e.ids) == 1)
 
 
@@ -68,7 +68,7 @@ def _count_chunks(chunks: list[str], path: str, proven: frozenset[str]) -> list[
             out[i] = n
         elif w.isascii() and "<|" not in w:
             n, more = 0, []
-            for p in _PRE_TOKENS.findall(w.lower()):
+            for p in PRE_TOKENS.findall(w.lower()):
                 if p in proven:
                     n += 1
                 elif (k := cache.get(p)) is not None:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .shared import shared_dir, stash, worker_state
-from .token_counts import CACHE_WORDS, load
+from .token_counts import CACHE_WORDS, PRE_TOKENS, load
 
 SEQUENCE = 2048
 #: Sequences in a record batch.
@@ -113,15 +113,26 @@ class SequenceReader:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
-def _encode(chunks: list[str], path: str, dtype: np.dtype) -> list[np.ndarray]:
-    cache = worker_state().setdefault(("ids", path), {})
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    new = [w for w in chunks if w not in cache]
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        cache.update(zip(part, (np.array(e.ids, dtype) for e in load(path).encode_batch(part, add_special_tokens=False)), strict=True))
-    return [cache[w] for w in chunks]
+def _encode(chunks: list[str], path: str, dtype: np.dtype) -> list[bytes]:
+    """The ids of each chunk, as bytes of dtype.
+
+    ASCII chunks are cut into pre-tokens, which recur far more often than chunks; special strings and other chunks go whole to the library.
+    """
+    kept = worker_state().setdefault(("ids", path, dtype.str), ({}, {}))
+    for cache in kept:
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
+    whole, part = kept
+    new, cuts = [w for w in chunks if w not in whole], []
+    for w in new:
+        cuts.append(PRE_TOKENS.findall(w.lower()) if w.isascii() and "<|" not in w else [w])
+    names = list({p: None for c in cuts for p in c if p not in part})
+    for at in range(0, len(names), 10_000):
+        some = names[at : at + 10_000]
+        part.update(zip(some, (np.array(e.ids, dtype).tobytes() for e in load(path).encode_batch_fast(some, add_special_tokens=False)), strict=True))
+    for w, c in zip(new, cuts, strict=True):
+        whole[w] = part[c[0]] if len(c) == 1 else b"".join([part[p] for p in c])
+    return [whole[w] for w in chunks]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_size: int, folder: str | None = None, length: int = SEQUENCE, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +141,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_s
     base: ids in all shards before. The manifest has one row per shard, far fewer than documents, so one task may sum it.
     """
     spark = docs.sparkSession
-    folder, table = folder or f"{shared_dir(spark)}/tokens", words.byte_table(lower=False)
+    folder = folder or f"{shared_dir(spark)}/tokens"
+    # The vocabulary is lower-case, but its special strings are matched before that.
+    as_is, lowered = words.byte_table(lower=False), words.byte_table(lower=True)
     dtype = np.dtype(np.uint16 if max(vocab_size, end_id + 1) <= 1 << 16 else np.uint32)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -147,11 +160,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_s
                     index_sink = _open_out(f"{name}.index.arrow")
                     schema = pa.schema([("id", part.column("id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                     index = pa.ipc.new_file(index_sink, schema)
-                flat, per_doc = words.split(words.texts(part, "text"), table)
+                text = words.texts(part, "text")
+                flat, per_doc = words.split(text, as_is if words.contains(text, b"<|") else lowered)
                 coded = flat.dictionary_encode()
-                ids = [*_encode(coded.dictionary.to_pylist(), tokenizer_path, dtype), np.array([end_id], dtype)]
-                lens = np.fromiter(map(len, ids), np.int64, len(ids))
-                begins, pool = np.cumsum(lens) - lens, np.concatenate(ids)
+                ids = [*_encode(coded.dictionary.to_pylist(), tokenizer_path, dtype), np.array([end_id], dtype).tobytes()]
+                lens = np.fromiter(map(len, ids), np.int64, len(ids)) // dtype.itemsize
+                begins, pool = np.cumsum(lens) - lens, np.frombuffer(b"".join(ids), dtype)
                 use = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(per_doc), len(ids) - 1)
                 each = lens[use]
                 ends = np.cumsum(each)

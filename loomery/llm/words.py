@@ -54,6 +54,15 @@ def mapped(a: pa.StringArray, table: np.ndarray) -> pa.StringArray:
     return pa.StringArray.from_buffers(len(a), offsets, pa.py_buffer(table[np.frombuffer(data, np.uint8)]), offset=a.offset)
 
 
+def contains(a: pa.StringArray, what: bytes) -> bool:
+    """Whether the bytes occur anywhere in the texts (or where two texts meet)."""
+    data = a.buffers()[2]
+    if data is None or not len(a):
+        return False
+    lo, hi = np.frombuffer(a.buffers()[1], np.int32)[[a.offset, a.offset + len(a)]]
+    return data.slice(int(lo), int(hi - lo)).to_pybytes().find(what) >= 0
+
+
 def split(a: pa.StringArray, table: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
     """The words of all texts one after another, and how many each text has."""
     if not len(a):
