@@ -68,7 +68,7 @@ class Segment:
 
     def __init__(self, row: dict, terms: list[str]):
         own = {t: i for i, t in enumerate(row["terms"])}
-        offsets = row["offsets"]
+        offsets = row["offsets"].astype(np.int64)
         at = np.array([own.get(t, -1) for t in terms], np.int64)
         self.begin = np.where(at >= 0, offsets[at], 0)
         self.count = np.where(at >= 0, offsets[np.minimum(at + 1, len(offsets) - 1)] - self.begin, 0)
