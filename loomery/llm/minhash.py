@@ -7,10 +7,11 @@ Signatures: one hash for each shingle; its high part picks one of bands * rows b
 copy a bin that their own random permutation of the bins reaches first among the full ones (optimal densification). Bins are
 cut into bands, and a bucket is the classes that agree in a band.
 
-Candidates: every bucket is a star, its least class linked with each other member, so a bucket of n members gives n - 1 pairs. Pairs are
-confirmed on the full sets. A bucket that still holds several components then gives further stars: its members outside the
-component of the first centre are centres in turn, 1, 2, 4 ... of them in a round, against members of other components, until no bucket has an unchecked
-pair across components. So no link between two classes that share a bucket is lost, and members of one component are never paired again.
+Candidates: every bucket is a star, one centre linked with each other member, so a bucket of n members gives n - 1 pairs. The centre is the
+least id in half of the buckets and the least hash in the others, so that a class meets different centres. Pairs are confirmed on the
+full sets. Classes in buckets that still hold several components go on to a finer level, whose buckets agree in two, then four bands
+together: there a centre is like its members, and again each bucket is a star. So a class is in at most BANDS times as many pairs as the levels have
+combinations, however large a group is. A link is lost only if no centre of the buckets that its two ends share connects them.
 
 Components: alternating large-star and small-star steps over the confirmed links, written out in each round.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
@@ -33,6 +34,8 @@ from .shared import stash
 
 #: At a similarity of 0.8 a pair misses all 40 bands of 6 bins with a chance of 5 in a million; at 0.85, of 6 in a billion.
 BANDS, ROWS = 40, 6
+#: Bands that must agree together, as steps from each band: one, then two, then four.
+LEVELS = ([(0,)], [(0, 1), (0, 3), (0, 7), (0, 12)], [(0, 1, 3, 7), (0, 5, 12, 20)])
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,7 +125,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     """Of the pairs (a, b), those whose full sets have 100 * intersection >= percent * union, with the texts' own sets."""
     kind = docs.schema["id"].dataType.simpleString()
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    own = docs.join(ends, "id", "left_semi").dropDuplicates(["id"])
+    own = docs.join(ends, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +162,20 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _starred(classes: DataFrame, level: int, offsets: list[tuple[int, ...]], bands: int) -> DataFrame:
+    """key, id, n, centre and n_centre of every member of a bucket of two or more."""
+
+    def keys(t: int, steps: tuple[int, ...]):
+        band = lambda i, step: F.get("bands", F.pmod(i + step, F.lit(bands)).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.lit(100 * level + t), i, *[band(i, x) for x in steps]))
+
+    places = classes.select("id", "n", F.explode(F.concat(*[keys(t, x) for t, x in enumerate(offsets)])).alias("key"))
+    rank = F.when(F.col("key") % 2 == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("id", "key"))
+    best = places.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "n")).alias("best"), F.count("*").alias("c")).filter("c > 1")
+    stars = places.join(best.select("key", F.col("best.id").alias("centre"), F.col("best.n").alias("n_centre")), "key")
+    return stash(stars.select("key", "id", "n", "centre", "n_centre"), "stars")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the least id reachable) and kept (id = component_id) of every row."""
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -168,36 +185,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     one = signed.filter("id is not null and n_shingles > 0")
     classes = one.groupBy(*key).agg(F.min("id").alias("rep"))
     reps = one.join(classes, [*[F.col("id") == F.col("rep")], *[one[k] == classes[k] for k in key]], "left_semi").dropDuplicates(["id", *key])
-    places = reps.select("id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "bucket"))
-    shared = places.groupBy("band", "bucket").agg(F.min("id").alias("centre"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    members = stash(places.join(shared, ["band", "bucket"]), "members")
-    like = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent  # noqa: E731  sets of too unlike sizes can't be linked
-    size = members.filter("id = centre").select("band", "bucket", F.col("n").alias("n_centre"))
-    pairs = members.filter("id > centre").join(size, ["band", "bucket"]).filter(like(F.col("n"), F.col("n_centre"))).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    checked = stash(pairs, "pairs")
-    links = stash(_confirmed(checked, known, width, percent), "confirmed")
-    found, centres = components(links), 1
-    while True:
-        label = found.select(F.col("node").alias("id"), "component")
-        named = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = named.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "id").alias("of_centre")).filter("lo <> hi").select("band", "bucket", "of_centre")
-        open_ = named.join(mixed, ["band", "bucket"])
-        rank = F.row_number().over(Window.partitionBy("band", "bucket").orderBy("id"))
-        lead = open_.filter("component <> of_centre").withColumn("rank", rank).filter(F.col("rank") <= centres)
-        lead = lead.select("band", "bucket", F.col("id").alias("c"), F.col("n").alias("n_c"), F.col("component").alias("comp_c"))
-        more = open_.join(lead, ["band", "bucket"]).filter("component <> comp_c").filter(like(F.col("n"), F.col("n_c")))
-        more = more.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-        more = stash(more, "pairs")
-        # Done when every outsider has been a centre and nothing new came up.
-        waiting = open_.filter("component <> of_centre").groupBy("band", "bucket").count().agg(F.max("count")).first()[0] or 0
-        if not more.isEmpty():
-            new = stash(_confirmed(more, known, width, percent), "confirmed")
-            checked, links = checked.union(more), links.union(new)
-            if not new.isEmpty():
-                found = components(links)
-        elif waiting <= centres:
-            break
-        centres *= 2
+    at, found, checked = reps.select("id", F.col("n_shingles").alias("n"), "bands"), None, None
+    for level, offsets in enumerate(LEVELS):
+        starred = _starred(at, level, offsets, bands)
+        like = F.least("n", "n_centre") * 100 >= F.greatest("n", "n_centre") * percent  # sets of too unlike sizes can't be linked
+        pairs = starred.filter((F.col("id") != F.col("centre")) & like).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+        pairs = stash(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        checked = pairs if checked is None else checked.union(pairs)
+        new = _confirmed(pairs, known, width, percent)
+        found = components(new if found is None else new.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        if level + 1 < len(LEVELS):
+            named = starred.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+            mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+            open_ = stash(named.join(mixed, "key", "left_semi").select("id").distinct(), "open")
+            if open_.isEmpty():
+                break
+            at = at.join(open_, "id", "left_semi")
     label = found.select(F.col("node").alias("rep"), "component")
     named = signed.join(classes, key, "left").join(label, "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", F.least("rep", "id"), "id"))
