@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 from . import words
 from .shared import shared_dir, stash, worker_state
-from .token_counts import CACHE_WORDS, PRE_TOKENS, load
+from .token_counts import PRE_TOKENS, load
 
 SEQUENCE = 2048
 #: Sequences in a record batch.
 ROWS = 256
+#: Pre-tokens that a worker remembers; beyond it the memory starts afresh. It only saves time.
+CACHE_WORDS = 700_000
 
 
 def _open_out(path: str):
@@ -118,21 +120,15 @@ def _encode(chunks: list[str], path: str, dtype: np.dtype) -> list[bytes]:
 
     ASCII chunks are cut into pre-tokens, which recur far more often than chunks; special strings and other chunks go whole to the library.
     """
-    kept = worker_state().setdefault(("ids", path, dtype.str), ({}, {}))
-    for cache in kept:
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-    whole, part = kept
-    new, cuts = [w for w in chunks if w not in whole], []
-    for w in new:
-        cuts.append(PRE_TOKENS.findall(w.lower()) if w.isascii() and "<|" not in w else [w])
-    names = list({p: None for c in cuts for p in c if p not in part})
+    known = worker_state().setdefault(("ids", path, dtype.str), {})
+    if len(known) > CACHE_WORDS:
+        known.clear()
+    cuts = [PRE_TOKENS.findall(w.lower()) if w.isascii() and "<|" not in w else [w] for w in chunks]
+    names = list({p: None for c in cuts for p in c if p not in known})
     for at in range(0, len(names), 10_000):
         some = names[at : at + 10_000]
-        part.update(zip(some, (np.array(e.ids, dtype).tobytes() for e in load(path).encode_batch_fast(some, add_special_tokens=False)), strict=True))
-    for w, c in zip(new, cuts, strict=True):
-        whole[w] = part[c[0]] if len(c) == 1 else b"".join([part[p] for p in c])
-    return [whole[w] for w in chunks]
+        known.update(zip(some, (np.array(e.ids, dtype).tobytes() for e in load(path).encode_batch_fast(some, add_special_tokens=False)), strict=True))
+    return [known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in cuts]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_size: int, folder: str | None = None, length: int = SEQUENCE, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,7 +150,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_s
         name = f"{folder}/shard-{uuid.uuid4().hex}"
         out, index, at, docs_seen, first = None, None, 0, 0, None
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", 8 << 20):
                 if out is None:
                     out, first = SequenceWriter(f"{name}.arrow", dtype, length), part.column("id").slice(0, 1)
                     index_sink = _open_out(f"{name}.index.arrow")
