@@ -252,6 +252,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     if len(found) > 1:
         for more in found[1:]:
             merged = merged.unionByName(more)
-        merged = merged.groupBy("segment", "place").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        merged = merged.groupBy("segment", "place").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    merged = merged.withColumn("items", F.array_distinct("items"))
     out = merged.select(F.col("id").alias(id_col), "n_words", _hit_words(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), "spans", "items")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

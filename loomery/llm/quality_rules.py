@@ -1,7 +1,7 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
 Every rule votes good (1) or bad (-1) or abstains (0) on a document. A latent two-class model holds, for each rule and class,
-how often the rule votes each way; expectation-maximisation estimates these rates (a rule's accuracies) and the share of
+how often the rule votes each way where it votes (abstaining says nothing); expectation-maximisation estimates these rates (a rule's accuracies) and the share of
 good documents from how votes agree over the whole corpus, without labels. The posterior probability of the good class
 decides, in place of all rules having to pass.
 
@@ -98,7 +98,7 @@ RULES = (
 
 @dataclass(frozen=True)
 class VoteModel:
-    """prior: share of good documents. rates[rule][class][vote], class 0 bad and 1 good, vote 0 bad, 1 abstain, 2 good."""
+    """prior: share of good documents. rates[rule][class][vote], class 0 bad and 1 good, vote 0 bad, 2 good; 1 (abstain) is 1 for either class."""
 
     prior: float
     rates: tuple[tuple[tuple[float, float, float], ...], ...]
@@ -119,18 +119,19 @@ def fit_votes(counts: dict[tuple[int, ...], int], n_rules: int, rounds: int = 10
     """EM over the counts of vote combinations. Starts from documents without a bad vote being mostly good."""
     total = sum(counts.values())
     if not total:
-        return VoteModel(0.5, tuple(((1 / 3,) * 3,) * 2 for _ in range(n_rules)))
+        return VoteModel(0.5, tuple(((0.5, 1.0, 0.5),) * 2 for _ in range(n_rules)))
     good = {v: 0.05 if -1 in v else 0.95 for v in counts}
     model = None
     for _ in range(rounds):
         n_good = sum(good[v] * n for v, n in counts.items())
         rates = []
         for j in range(n_rules):
-            sums = [[1.0] * 3, [1.0] * 3]  # one document of each vote more, so that no rate is 0
+            sums = [[1.0, 0.0, 1.0], [1.0, 0.0, 1.0]]  # one document of each vote more, so that no rate is 0
             for v, n in counts.items():
-                sums[1][v[j] + 1] += n * good[v]
-                sums[0][v[j] + 1] += n * (1 - good[v])
-            rates.append(tuple(tuple(x / sum(s) for x in s) for s in sums))
+                if v[j]:
+                    sums[1][v[j] + 1] += n * good[v]
+                    sums[0][v[j] + 1] += n * (1 - good[v])
+            rates.append(tuple((b / (b + g), 1.0, g / (b + g)) for b, _, g in sums))
         new = VoteModel((n_good + 1) / (total + 2), tuple(rates))
         good = {v: 1 / (1 + math.exp(-max(-700.0, min(700.0, new.log_odds(v))))) for v in counts}
         if model and abs(new.prior - model.prior) < 1e-9:
