@@ -15,7 +15,7 @@ combinations, however large a group is. A link is lost only if no centre of the
 
 Components: alternating large-star and small-star steps over the confirmed links, written out in each round.
 
-Null ids: such rows are linked with nothing, have no component and are kept. Rows of one id count as one node. Extra columns
+Ids are integers. Null ids: such rows are linked with nothing, have no component and are kept. Rows of one id count as one node. Extra columns
 are ignored; an empty table gives an empty result. Whole texts are used, and equal inputs give equal results.
 """
 
@@ -34,6 +34,8 @@ from .shared import stash
 
 #: At a similarity of 0.8 a pair misses all 40 bands of 6 bins with a chance of 5 in a million; at 0.85, of 6 in a billion.
 BANDS, ROWS = 40, 6
+#: Ids that are broadcast at most (8 bytes each).
+MOST_SENT = 1_000_000
 #: Bands that must agree together, as steps from each band: one, then two, then four.
 LEVELS = ([(0,)], [(0, 1), (0, 3), (0, 7), (0, 12)], [(0, 1, 3, 7), (0, 5, 12, 20)])
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +127,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     """Of the pairs (a, b), those whose full sets have 100 * intersection >= percent * union, with the texts' own sets."""
     kind = docs.schema["id"].dataType.simpleString()
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    own = docs.join(ends, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    ends = stash(ends, "ends")
+    # A bounded number of ids may be sent to every task; beyond it, texts are shuffled to find their pairs.
+    own = docs.join(F.broadcast(ends) if ends.count() <= MOST_SENT else ends, "id", "left_semi")
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,16 +173,18 @@ def _starred(classes: DataFrame, level: int, offsets: list[tuple[int, ...]], ban
         band = lambda i, step: F.get("bands", F.pmod(i + step, F.lit(bands)).cast("int"))
         return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.lit(100 * level + t), i, *[band(i, x) for x in steps]))
 
+    # A least value of id XOR a mask of the bucket: the mask is 0 in half of the buckets, and gives the id back. All sums are of plain longs, so they hash.
+    mask = F.when(F.col("key") % 2 == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("key"))
     places = classes.select("id", "n", F.explode(F.concat(*[keys(t, x) for t, x in enumerate(offsets)])).alias("key"))
-    rank = F.when(F.col("key") % 2 == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("id", "key"))
-    best = places.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "n")).alias("best"), F.count("*").alias("c")).filter("c > 1")
-    stars = places.join(best.select("key", F.col("best.id").alias("centre"), F.col("best.n").alias("n_centre")), "key")
+    order = F.col("id").bitwiseXOR(mask)
+    best = places.groupBy("key").agg(F.min(order).alias("best"), F.min_by("n", order).alias("n_centre"), F.count("*").alias("c")).filter("c > 1")
+    stars = places.join(best.select("key", F.col("best").bitwiseXOR(mask).alias("centre"), "n_centre"), "key")
     return stash(stars.select("key", "id", "n", "centre", "n_centre"), "stars")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the least id reachable) and kept (id = component_id) of every row."""
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = own.filter(F.col("id").isNotNull())
     signed = stash(_signed(own, width, bands, rows), "signed")
     key = ["k1", "k2", "n_shingles"]
