@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ HTML_STEPS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Computes value once and uses it in body any number of times; keeps generated code small."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     """Unicode white space off both ends (Spark's own trim takes spaces only)."""
     return F.regexp_replace(c, _EDGES, "")
@@ -36,20 +43,28 @@ def normalize_body(c: Column, most: int = 3000) -> Column:
     """Unix line ends, no blanks at line ends, at most one empty line in a row, trimmed, clipped, fences defused; null if nothing is left."""
     for pattern, to in ((r"\r\n", "\n"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
         c = F.regexp_replace(c, pattern, to)
-    c = trim(c)
-    cut = F.when(F.length(c) > most, F.concat(F.regexp_replace(F.left(c, F.lit(most)), r"(?U)\s+$", ""), F.lit("\n..."))).otherwise(c)
-    return F.nullif(F.regexp_replace(cut, "```", "'''"), F.lit(""))
+
+    def clip(t: Column) -> Column:
+        cut = F.when(F.length(t) > most, F.concat(F.regexp_replace(F.left(t, F.lit(most)), r"(?U)\s+$", ""), F.lit("\n..."))).otherwise(t)
+        return F.replace(cut, F.lit("```"), F.lit("'''"))
+
+    return let(trim(c), lambda t: F.when(t != "", clip(t)))
 
 
 def body_of(text: Column, html: Column, preview: Column, most: int = 3000) -> Column:
     """The first of the three that isn't blank, normalised. The choice is on the raw value: markup without text gives null."""
-    full = lambda c: c.isNotNull() & (trim(c) != "")
-    return F.when(full(text), normalize_body(text, most)).when(full(html), normalize_body(html_to_text(html), most)).when(full(preview), normalize_body(preview, most))
+    blank_to_null = lambda c: let(c, lambda v: F.when(trim(v) != "", v))
+    # Only the raw value of the first stage that isn't blank goes on, so it is normalised once.
+    chosen = let(
+        F.array(*[F.struct(blank_to_null(c).alias("t"), F.lit(m).alias("markup")) for c, m in ((text, False), (html, True), (preview, False))]),
+        lambda all_: F.get(F.filter(all_, lambda x: x["t"].isNotNull()), F.lit(0)),
+    )
+    return let(chosen, lambda x: normalize_body(F.when(x["markup"], html_to_text(x["t"])).otherwise(x["t"]), most))
 
 
 def pick_string(records: list[Column], keys: list[str]) -> Column:
     """The first string that isn't blank: record by record, and key by key in each. Records are JSON texts."""
-    found = [F.when(F.get_json_object(r, f"$.{k}").isNotNull() & (trim(F.get_json_object(r, f"$.{k}")) != ""), F.get_json_object(r, f"$.{k}")) for r in records for k in keys]
+    found = [let(F.get_json_object(r, f"$.{k}"), lambda v: F.when(trim(v) != "", v)) for r in records for k in keys]
     return F.coalesce(*found)
 
 
