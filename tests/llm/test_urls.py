@@ -53,3 +53,10 @@ def test_automaton(seed):
     got = ShiftAnd(globs).match(texts)
     for t, row in zip(texts, got, strict=True):
         assert [bool(r.fullmatch(t)) for r in regs] == row.tolist()
+
+
+def test_twin(spark):
+    from compare import assert_same
+    from loomery.llm import registry
+
+    assert assert_same(spark, registry.queries()["op3_url_automaton"], registry.oracle_sql()["op3_url_automaton"], "/root/testdata/sf0.01") == 250
