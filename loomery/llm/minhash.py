@@ -10,8 +10,12 @@ cut into bands, and a bucket is the classes that agree in a band.
 Candidates: every bucket is a star, one centre linked with each other member, so a bucket of n members gives n - 1 pairs. The centre is the
 least id in half of the buckets and the least hash in the others, so that a class meets different centres. Pairs are confirmed on the
 full sets. Classes in buckets that still hold several components go on to a finer level, whose buckets agree in two, then four bands
-together: there a centre is like its members, and again each bucket is a star. So a class is in at most BANDS times as many pairs as the levels have
-combinations, however large a group is. A link is lost only if no centre of the buckets that its two ends share connects them.
+together: there a centre is like its members, and again each bucket is a star.
+
+Finish: buckets that are still mixed after the levels (large groups whose members are alike, but below the threshold) are checked exactly: every pair
+of their members across components. Buckets that share members form a family; a family is compared as a whole where that is less work than
+its buckets one by one. Members are dealt by hash into blocks, and each pair of blocks is a task of its own, which counts the common shingles of
+all its pairs at once. So a link of two classes that share a bucket is never lost; the work grows with the square of a mixed group.
 
 Components: alternating large-star and small-star steps over the confirmed links, written out in each round.
 
@@ -38,6 +42,8 @@ BANDS, ROWS = 40, 6
 MOST_SENT = 1_000_000
 #: Bands that must agree together, as steps from each band: one, then two, then four.
 LEVELS = ([(0,)], [(0, 1), (0, 3), (0, 7), (0, 12)], [(0, 1, 3, 7), (0, 5, 12, 20)])
+#: Members and shingles of a block in the finish, on average; columns of a dense product; pairs expanded at a time.
+BLOCK_MEMBERS, BLOCK_SHINGLES, DENSE, EXPANDED = 1024, 1_000_000, 2048, 1 << 21
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,6 +155,98 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, f"a {kind}, b {kind}")
 
 
+def common_counts(ha: np.ndarray, da: np.ndarray, n_a: int, hb: np.ndarray, db: np.ndarray, n_b: int) -> np.ndarray:
+    """How many hashes each of n_a sets shares with each of n_b others; d is the number of the set that each hash h belongs to."""
+    both = np.intersect1d(ha, hb)
+    out = np.zeros((n_a, n_b), np.float32)
+    if not len(both):
+        return out
+
+    def columns(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, h), len(both) - 1)
+        held = both[at] == h
+        order = np.argsort(at[held], kind="stable")
+        at, d = at[held][order], d[held][order]
+        return at, d, np.bincount(at, minlength=len(both))
+
+    (ca, da, fa), (cb, db, fb) = columns(ha, da), columns(hb, db)
+    # Frequent hashes are multiplied as dense columns, the pairs of the others are listed.
+    frequent = np.flatnonzero(fa * fb * 64 > n_a * n_b)
+    for at in range(0, len(frequent), DENSE):
+        place = np.full(len(both), -1)
+        place[frequent[at : at + DENSE]] = np.arange(len(frequent[at : at + DENSE]))
+        x, y = (np.zeros((n, DENSE), np.float32) for n in (n_a, n_b))
+        for m, c, d in ((x, ca, da), (y, cb, db)):
+            use = place[c] >= 0
+            m[d[use], place[c[use]]] = 1
+        out += x @ y.T
+    rare = np.ones(len(both), bool)
+    rare[frequent] = False
+    use = rare[ca]
+    ca, da = ca[use], da[use]
+    n, begin = fb[ca], (np.cumsum(fb) - fb)[ca]
+    done, at = np.cumsum(n), 0
+    while at < len(ca):
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + EXPANDED, side="right")))
+        k = n[at:to]
+        other = db[np.repeat(begin[at:to] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        pair, times = np.unique(np.repeat(da[at:to], k) * np.int64(n_b) + other, return_counts=True)
+        out.ravel()[pair] += times
+        at = to
+    return out
+
+
+def _finished(rest: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between components, from all pairs across components in the buckets rest (key, id, n); None if no bucket is mixed."""
+    named = rest.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # The one pair of a bucket of two was that of its star.
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("head"), F.count("*").alias("m")).filter("lo <> hi and m > 2")
+    open_ = stash(named.join(mixed.select("key", "head", "m"), "key"), "mixed")
+    if open_.isEmpty():
+        return None
+    family = components(open_.select(F.col("id").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    placed = open_.join(family, "id")
+    cost = placed.groupBy("family").agg(F.sum("m").alias("squares"), F.count_distinct("id").alias("size"))
+    whole = F.col("size") * F.col("size") <= F.col("squares")
+    units = placed.join(cost, "family").select(whole.alias("whole"), F.when(whole, F.col("family")).otherwise(F.col("key")).alias("unit"), "id", "n", "component")
+    units = stash(units.distinct(), "units")
+    blocks = units.groupBy("whole", "unit").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).alias("g"))
+    dealt = units.drop("n").distinct().join(blocks, ["whole", "unit"]).withColumn("s", F.pmod(F.xxhash64("id"), "g"))
+    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).select("whole", "unit", "id", "component", "s", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"))
+    ids = stash(units.select("id").distinct(), "ends")
+    own = docs.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "id", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.slices(batch, "text", 1 << 20):
+                h, doc = shingle_sets(words.texts(part, "text"), width)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32()), pa.array(h.view(np.int64)))], ["id", "h"])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        s, i, j, component = (rows.column(c).to_numpy() for c in ("s", "i", "j", "component"))
+        lists = rows.column("h").chunk(0)
+        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        h, doc = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(size)), size)
+        a, b = np.flatnonzero(s == i), np.flatnonzero(s == j)
+        out = np.zeros((0, 2), np.int64)
+        if len(a) and len(b) and component.min() != component.max():
+            sides = []
+            for side in (a, b):
+                place = np.full(len(size), -1)
+                place[side] = np.arange(len(side))
+                use = place[doc] >= 0
+                sides += [h[use], place[doc[use]], len(side)]
+            common = common_counts(*sides)
+            x, y = np.nonzero((component[a][:, None] != component[b]) & (100 * common >= percent * (size[a][:, None] + size[b] - common)) & (common > 0))
+            found = np.stack([component[a][x], component[b][y]], axis=1)
+            out = np.unique(np.sort(found, axis=1), axis=0)
+        return pa.table({"a": out[:, 0], "b": out[:, 1]})
+
+    full = own.mapInArrow(sets, "id long, h array<long>").join(dealt, "id")
+    return full.groupBy("whole", "unit", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and the least node it is connected with (component), for all nodes of the links (a, b)."""
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
@@ -201,12 +299,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         new = _confirmed(pairs, known, width, percent)
         found = components(new if found is None else new.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if level + 1 < len(LEVELS):
-            named = starred.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+            named = starred.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
             mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-            open_ = stash(named.join(mixed, "key", "left_semi").select("id").distinct(), "open")
+            left = named.join(mixed, "key", "left_semi")
+            if not level:
+                # Every bucket of a finer level lies in one of these, and components only grow.
+                left = rest = stash(left.select("key", "id", "n"), "rest")
+            open_ = stash(left.select("id").distinct(), "open")
             if open_.isEmpty():
                 break
             at = at.join(open_, "id", "left_semi")
+    more = _finished(rest, found, known, width, percent)
+    if more is not None:
+        found = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     label = found.select(F.col("node").alias("rep"), "component")
     named = signed.join(classes, key, "left").join(label, "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", F.least("rep", "id"), "id"))

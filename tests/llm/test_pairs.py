@@ -5,11 +5,12 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from compare import assert_same
 from loomery.llm import registry
-from loomery.llm.minhash import components, near_duplicates
+from loomery.llm.minhash import common_counts, components, near_duplicates
 from loomery.llm.plans import op2_positional_decontam, op8_oph_dedup
 from loomery.llm.positional_index import build_index, contamination, proximity_matches, words_of
 
@@ -111,3 +112,31 @@ def test_components_of_long_paths(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (300, 300)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert all(got[i] == 0 for i in range(1, 201)) and got[500] == 400
+
+
+def test_planted_pairs_in_a_large_family(spark):
+    # Members share a template (similarity of about 0.74); the two of a planted pair share half of their own words too (about 0.86).
+    rnd = random.Random(5)
+    template, docs = [f"t{i}" for i in range(240)], []
+    for k in range(1500):
+        slots = rnd.sample(range(2, 238, 4), 9)
+        for half in range(2 if k % 4 == 0 else 1):
+            w = list(template)
+            for n, at in enumerate(slots[:3] + slots[3 + 3 * half : 6 + 3 * half]):
+                w[at] = f"m{k}x{n}" if n < 3 else f"m{k}h{half}x{n}"
+            docs.append((2 * k + half, " ".join(w)))
+    rnd.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    # By construction: each pair differs in 18 of 238 shingles, others in about 36.
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, 3, 85).collect()}
+    assert [i for i, _ in docs if got[i] != i - i % 2] == []
+
+
+def test_common_counts_by_both_ways():
+    rnd = np.random.default_rng(3)
+    # Every other hash is in nearly all sets, the rest in few.
+    sets = [np.unique(np.concatenate([rnd.choice(40, 35, replace=False), 100 + rnd.integers(0, 5000, 60)])).astype(np.uint64) for _ in range(90)]
+    a, b = sets[:50], sets[50:]
+    flat = lambda some: (np.concatenate(some), np.repeat(np.arange(len(some)), [len(x) for x in some]), len(some))
+    got = common_counts(*flat(a), *flat(b))
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
