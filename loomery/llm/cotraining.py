@@ -3,8 +3,8 @@
 The content view sees the text alone: shares of characters, word length, repeated words and lines. The metadata view sees the other
 columns alone: hashed strings, and numbers on a log scale. Each view is a ridge logistic regression.
 
-From a bounded sample of labelled rows (MOST_LABELLED) and a bounded pool of other rows (MOST_POOL), the views teach each other: in each round
-a view scores the pool and hands its most confident good and bad rows, as pseudo-labels, to the other view's training set. Each
+From a bounded sample of labelled rows (MOST_LABELLED) and all other rows, the views teach each other: in each round
+a view scores all of them on the executors and hands its most confident good and bad rows, as pseudo-labels, to the other view's training set. Each
 view is then calibrated on labelled rows that no view trained on, and the calibrated log odds are added (less the prior, which both
 hold). The result scores every row of the corpus by its whole text.
 
@@ -15,7 +15,7 @@ stay; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +24,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words
+from .shared import stash
 
-MOST_LABELLED, MOST_POOL = 4000, 4000
+MOST_LABELLED = 4000
 ROUNDS, TAKEN = 5, 100
 HASHED = 64
 
@@ -108,29 +110,28 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(sum(odds) - self.prior * (len(odds) - 1), -30, 30)))
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, taken: int = TAKEN) -> CoTrained | None:
-    """labelled and pool: a feature matrix for each view, rows in the same order."""
+#: Picks of a round: for (pupil, label), the features of the chosen rows in the pupil's view.
+Picks = dict[tuple[int, float], np.ndarray]
+Give = Callable[[list[Logistic], dict[float, int]], Picks]
+
+
+def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray] | Give, rounds: int = ROUNDS, taken: int = TAKEN) -> CoTrained | None:
+    """labelled: a feature matrix for each view, rows in the same order; pool: the same of the other rows, or what gives a round's picks."""
     if not len(y):
         return None
     held = np.arange(len(y)) % 4 == 3 if len(y) >= 8 else np.zeros(len(y), bool)
     good = (y.sum() + 1) / (len(y) + 2)
     sets = [([x[~held]], [y[~held]]) for x in labelled]
-    left = [np.ones(len(pool[0]), bool) for _ in labelled]
+    give = pool if callable(pool) else _local(pool)
     fit = lambda: [Logistic.fit(np.vstack(xs), np.concatenate(ys)) for xs, ys in sets]
     views = fit()
+    quota = {1.0: max(1, round(taken * good)), 0.0: max(1, round(taken * (1 - good)))}
     for _ in range(rounds):
-        given = 0
-        for teacher, model in enumerate(views):
-            pupil = 1 - teacher
-            odds = model.log_odds(pool[teacher])
-            for label, n in ((1.0, max(1, round(taken * good))), (0.0, max(1, round(taken * (1 - good))))):
-                sure = np.flatnonzero(left[pupil] & (odds * (2 * label - 1) > 2))
-                pick = sure[np.argsort(-np.abs(odds[sure]), kind="stable")[:n]]
-                left[pupil][pick] = False
-                sets[pupil][0].append(pool[pupil][pick])
-                sets[pupil][1].append(np.full(len(pick), label))
-                given += len(pick)
-        if not given:
+        picks = {k: x for k, x in give(views, quota).items() if len(x)}
+        for (pupil, label), x in picks.items():
+            sets[pupil][0].append(x)
+            sets[pupil][1].append(np.full(len(x), label))
+        if not picks:
             break
         views = fit()
     use = held if held.any() else ~held
@@ -138,17 +139,84 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray],
     return CoTrained(views, calibration, float(np.log(good / (1 - good))))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("lang", "source", "n_chars"), label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL) -> DataFrame:
+def _local(pool: list[np.ndarray]) -> Give:
+    left = [np.ones(len(pool[0]), bool) for _ in pool]
+
+    def give(views: list[Logistic], quota: dict[float, int]) -> Picks:
+        out = {}
+        for teacher, model in enumerate(views):
+            pupil = 1 - teacher
+            odds = model.log_odds(pool[teacher])
+            for label, n in quota.items():
+                sure = np.flatnonzero(left[pupil] & (odds * (2 * label - 1) > 2))
+                pick = sure[np.argsort(-np.abs(odds[sure]), kind="stable")[:n]]
+                left[pupil][pick] = False
+                out[pupil, label] = pool[pupil][pick]
+        return out
+
+    return give
+
+
+def _distributed(rows: DataFrame, metadata: list[str]) -> Give:
+    """Scores all rows in each round; every task keeps its surest ids of each view and class, of which the surest of all are taken."""
+    kind = rows.schema["id"].dataType.simpleString()
+    given: list[set] = [set(), set()]
+
+    def give(views: list[Logistic], quota: dict[float, int]) -> Picks:
+        used = [set(x) for x in given]
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict = {(1 - t, label): {} for t in range(2) for label in quota}
+            for batch in batches:
+                for part in words.slices(batch, "text"):
+                    ids = part.column("id").to_pylist()
+                    x = [content_features(words.texts(part, "text")), metadata_features([part.column(c) for c in metadata])]
+                    for teacher, model in enumerate(views):
+                        pupil, odds = 1 - teacher, model.log_odds(x[teacher])
+                        for label, n in quota.items():
+                            top = kept[pupil, label]
+                            sure, seen = np.flatnonzero(odds * (2 * label - 1) > 2), set()
+                            # The n surest ids of a slice are enough.
+                            for i in sure[np.argsort(-np.abs(odds[sure]), kind="stable")]:
+                                k = ids[i]
+                                if len(seen) == n:
+                                    break
+                                if k not in used[pupil] and k not in seen:
+                                    seen.add(k)
+                                    if k not in top or top[k][0] < abs(odds[i]):
+                                        top[k] = (float(abs(odds[i])), x[pupil][i].tobytes())
+                            if len(top) > n:
+                                kept[pupil, label] = dict(sorted(top.items(), key=lambda e: (-e[1][0], e[0]))[:n])
+            flat = [(p, label, k, *v) for (p, label), top in kept.items() for k, v in top.items()]
+            cols = list(zip(*flat, strict=True)) if flat else [[]] * 5
+            types = [pa.int32(), pa.float64(), batch_type, pa.float64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["pupil", "label", "id", "sure", "x"])
+
+        batch_type = to_arrow_type(rows.schema["id"].dataType)
+        found = stash(rows.mapInArrow(best, f"pupil int, label double, id {kind}, sure double, x binary"), "surest")
+        found = found.groupBy("pupil", "label", "id").agg(F.max("sure").alias("sure"), F.max_by("x", F.struct("sure", "x")).alias("x"))
+        out = {}
+        for pupil in range(2):
+            for label, n in quota.items():
+                top = found.filter((F.col("pupil") == pupil) & (F.col("label") == label)).orderBy(F.desc("sure"), "id").limit(n).collect()
+                given[pupil].update(r.id for r in top)
+                out[pupil, label] = np.stack([np.frombuffer(r.x) for r in top]) if top else np.zeros((0, 1))
+        return out
+
+    return give
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("lang", "source", "n_chars"), label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """id, text_score, metadata_score, quality (both views together) and kept (quality >= least) of every row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"m{i}") for i, c in enumerate(metadata)])
     kind, m = rows.schema["id"].dataType.simpleString(), [f"m{i}" for i in range(len(metadata))]
     order = [F.xxhash64(F.lit(11), "id"), F.col("id")]
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("y"))
-    # Both samples have at most as many ids as their bounds say, so they may be sent to every task.
+    # The sample has at most as many ids as its bound says, so it may be sent to every task.
     chosen = known.join(rows.select("id"), "id", "left_semi").orderBy(*order).limit(most_labelled)
-    others = rows.select("id").filter("id is not null").distinct().orderBy(F.xxhash64(F.lit(12), "id"), "id").limit(most_pool)
-    sample = others.withColumn("y", F.lit(None).cast("double")).join(chosen, "id", "left_anti").union(chosen)
-    drawn = rows.join(F.broadcast(sample), "id")
+    chosen = stash(chosen, "labelled")
+    drawn = rows.join(F.broadcast(chosen), "id")
+    free = rows.filter("id is not null").join(F.broadcast(chosen), "id", "left_anti")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +228,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] =
     got = drawn.mapInArrow(features, f"id {kind}, y double, content binary, metadata binary").toPandas()
     got = got.assign(h=pd.util.hash_array(got["id"].astype(str).to_numpy(object), categorize=False)).sort_values(["h", "id", "content"], kind="stable").groupby("id").head(1)
     view = lambda rows: [np.stack([np.frombuffer(x) for x in rows[c]]) if len(rows) else np.zeros((0, 1)) for c in ("content", "metadata")]
-    named, free = got[got["y"].notna()], got[got["y"].isna()]
-    pool = view(free) if len(free) else [x[:0] for x in view(named)]
-    model = co_train(view(named), named["y"].to_numpy(float), pool) if len(named) else None
+    model = co_train(view(got), got["y"].to_numpy(float), _distributed(free, m)) if len(got) else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,11 +6,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomery.llm.context_mixing import END, Mixer, Spelling, inputs, score_texts, table_bits
-from loomery.llm.cotraining import co_train, quality_scores
+from loomery.llm.cotraining import Logistic, _distributed, co_train, metadata_features, quality_scores
 from loomery.llm.plans import op6_context_mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,3 +96,18 @@ def test_quality_of_odd_rows(spark):
     assert len(got) == len(ODD) and all(0 <= r.quality <= 1 for r in got)
     assert {r.quality for r in quality_scores(df, labels.limit(0)).collect()} == {0.5}
     assert quality_scores(df.limit(0), labels).count() == 0
+
+
+def test_surest_rows_of_the_whole_pool(spark):
+    # The surest rows are the last few of many; all of them are found, each id once.
+    n = 6000
+    rows = [(i, "a b", i) for i in range(n)] + [(n - 1, "a b", n - 1)]
+    df = spark.createDataFrame(rows, "id long, text string, m0 long")
+    column = metadata_features([pa.array([1])]).shape[1]
+    flat = Logistic(np.zeros(140), np.ones(140), np.zeros(141))
+    rising = Logistic(np.zeros(column), np.ones(column), np.array([1.0, 0, 0, 0]))
+    give = _distributed(df, ["m0"])
+    for first in (n - 5, n - 10):
+        got = give([flat, rising], {1.0: 5, 0.0: 5})
+        assert {k: len(x) for k, x in got.items()} == {(0, 1.0): 5, (0, 0.0): 0, (1, 1.0): 0, (1, 0.0): 0}, first
+    assert [c.cell_contents for c in give.__closure__ if isinstance(c.cell_contents, list) and isinstance(c.cell_contents[0], set)] == [[set(range(n - 10, n)), set()]]
