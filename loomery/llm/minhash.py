@@ -9,18 +9,20 @@ cut into bands, and a bucket is the classes that agree in a band.
 
 Candidates: every bucket is a star, one centre linked with each other member, so a bucket of n members gives n - 1 pairs. The centre is the
 least id in half of the buckets and the least hash in the others, so that a class meets different centres. Pairs are confirmed on the
-full sets. Classes in buckets that still hold several components go on to a finer level, whose buckets agree in two, then four bands
-together: there a centre is like its members, and again each bucket is a star.
+full sets, which are kept for classes that share a bucket.
 
-Finish: buckets that are still mixed after the levels (large groups whose members are alike, but below the threshold) are checked exactly: every pair
-of their members across components. Buckets that share members form a family; a family is compared as a whole where that is less work than
-its buckets one by one. Members are dealt by hash into blocks, and each pair of blocks is a task of its own, which counts the common shingles of
-all its pairs at once. So a link of two classes that share a bucket is never lost; the work grows with the square of a mixed group.
+Finish: a bucket that still holds several components (members like each other, but not like the centre) is checked through: all its pairs across
+components, each in the first bucket that both share. Members are dealt by hash into blocks, and each pair of blocks is a task of its own. It first
+compares sketches (a byte for each bin, which at the threshold lose a pair with a chance of about one in a billion), and then, for members with a
+candidate left, counts the common shingles of all pairs. So no link of two classes that share a bucket is lost. What a block emits is a forest, never its pairs;
+only the compared bytes grow with the square of a mixed bucket.
 
-Components: alternating large-star and small-star steps over the confirmed links, written out in each round.
+Components: alternating large-star and small-star steps over the confirmed links. Least neighbours are broadcast while they are few, and else joined
+with tables that adaptive execution can split at a hub.
 
-Ids are integers. Null ids: such rows are linked with nothing, have no component and are kept. Rows of one id count as one node. Extra columns
-are ignored; an empty table gives an empty result. Whole texts are used, and equal inputs give equal results.
+Ids are integers. Null ids: such rows are linked with nothing, have no component and are kept. Rows of one id count as one node. Null and empty texts
+have empty sets. Very long texts are used whole. Ties have no order: equal sets are one class, and the least id names a component. Extra columns
+of any name are ignored; an empty table gives an empty result. Equal inputs give equal results.
 """
 
 from __future__ import annotations
@@ -34,16 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import stash
+from .shared import free, stash
 
 #: At a similarity of 0.8 a pair misses all 40 bands of 6 bins with a chance of 5 in a million; at 0.85, of 6 in a billion.
 BANDS, ROWS = 40, 6
-#: Ids that are broadcast at most (8 bytes each).
+#: Rows that are broadcast at most (two longs each).
 MOST_SENT = 1_000_000
-#: Bands that must agree together, as steps from each band: one, then two, then four.
-LEVELS = ([(0,)], [(0, 1), (0, 3), (0, 7), (0, 12)], [(0, 1, 3, 7), (0, 5, 12, 20)])
+#: Parts of a class's rows where they meet the class.
+SALTS = 16
 #: Members and shingles of a block in the finish, on average; columns of a dense product; pairs expanded at a time.
-BLOCK_MEMBERS, BLOCK_SHINGLES, DENSE, EXPANDED = 1024, 1_000_000, 2048, 1 << 21
+BLOCK_MEMBERS, BLOCK_SHINGLES, DENSE, EXPANDED = 1024, 1_000_000, 2048, 1 << 20
+#: Standard deviations that a sketch may fall short of the threshold.
+DEVIATIONS = 6
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,7 +62,7 @@ def shingle_sets(text: pa.StringArray, width: int) -> tuple[np.ndarray, np.ndarr
     doc, begin = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
     place, size = np.arange(len(h)) - begin, np.repeat(n, n)
     rolled = np.zeros(len(h), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(h))):
         rolled *= _MUL
         rolled[: len(h) - k] += h[k:]
     whole = place + width <= size
@@ -84,8 +88,8 @@ def _probes(bins: int) -> np.ndarray:
     return np.argsort(rnd.random((bins, bins)), axis=1)
 
 
-def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, bands: int, rows: int) -> np.ndarray:
-    """A band hash for each text and band; rows of texts with empty sets have no meaning. h ascends within each text."""
+def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bins of each text and a hash of each band; rows of texts with empty sets have no meaning. h ascends within each text."""
     bins = bands * rows
     sig, full = np.zeros((n_docs, bins), np.uint64), np.zeros((n_docs, bins), bool)
     which = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
@@ -107,7 +111,7 @@ def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, bands: int, rows: in
     out = np.zeros((n_docs, bands), np.uint64)
     for k in range(rows):
         out = words.mix64(out * _MUL + sig.reshape(n_docs, bands, rows)[:, :, k] + np.uint64(k))
-    return out
+    return sig, out
 
 
 def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -122,37 +126,40 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 count = np.bincount(doc, minlength=m)
                 total = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[np.concatenate([[0], np.cumsum(count)])])  # noqa: B023, E731
                 keys = [total(words.mix64(h ^ np.uint64(c))).view(np.int64) for c in (0x1234567, 0x7654321ABCDEF)]
-                band = signatures(h, doc, m, bands, rows).view(np.int64)
+                band = signatures(h, doc, m, bands, rows)[1].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * bands, pa.int32()), pa.array(band.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(count.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists], ["id", "n_shingles", "k1", "k2", "bands"])
 
     return docs.mapInArrow(sign, f"id {kind}, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets have 100 * intersection >= percent * union, with the texts' own sets."""
-    kind = docs.schema["id"].dataType.simpleString()
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ends = stash(ends, "ends")
-    # A bounded number of ids may be sent to every task; beyond it, texts are shuffled to find their pairs.
-    own = docs.join(F.broadcast(ends) if ends.count() <= MOST_SENT else ends, "id", "left_semi")
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def _sets(docs: DataFrame, ends: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """id, h (the set) and sketch (a byte of each bin, then four bytes of each band) of the given ids; a row for each text of an id."""
+    own = docs.join(_sent(ends), "id", "left_semi").select("id", "text").distinct()
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "text_a", 1 << 20):
-                (ha, da), (hb, db) = (shingle_sets(words.texts(part, c), width) for c in ("text_a", "text_b"))
-                h, d = np.concatenate([ha, hb]), np.concatenate([da, db])
-                order = np.lexsort((h, d))
-                h, d = h[order], d[order]
-                twice = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
+            for part in words.slices(batch, "text", 1 << 20):
+                h, doc = shingle_sets(words.texts(part, "text"), width)
                 m = part.num_rows
-                common = np.bincount(d[1:][twice], minlength=m)
-                union = np.bincount(d, minlength=m) - common
-                ok = pa.array((union > 0) & (100 * common >= percent * union))
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(ok), part.column("b").filter(ok)], ["a", "b"])
+                bins, band = signatures(h, doc, m, bands, rows)
+                sketch = np.hstack([bins.astype(np.uint8), band.astype("<u4").view(np.uint8).reshape(m, 4 * bands)])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(m + 1)), pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], ["id", "h", "sketch"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, f"a {kind}, b {kind}")
+    return own.mapInArrow(sets, "id long, h array<long>, sketch binary")
+
+
+def _sent(few: DataFrame) -> DataFrame:
+    """The table itself, marked for broadcast if it is a stash of at most MOST_SENT rows."""
+    return F.broadcast(few) if few.count() <= MOST_SENT else few
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets have 100 * intersection >= percent * union."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("h").alias(f"h_{x}"))
+    counted = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.size("h_a") + F.size("h_b")).alias("both"), F.size(F.array_intersect("h_a", "h_b")).alias("common"))
+    return counted.filter(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b")
 
 
 def common_counts(ha: np.ndarray, da: np.ndarray, n_a: int, hb: np.ndarray, db: np.ndarray, n_b: int) -> np.ndarray:
@@ -196,88 +203,125 @@ def common_counts(ha: np.ndarray, da: np.ndarray, n_a: int, hb: np.ndarray, db:
     return out
 
 
-def _finished(rest: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between components, from all pairs across components in the buckets rest (key, id, n); None if no bucket is mixed."""
-    named = rest.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _candidates(sketch: np.ndarray, size: np.ndarray, component: np.ndarray, a: np.ndarray, b: np.ndarray, before: int, bins: int, percent: int) -> np.ndarray:
+    """Which of the members a may be linked with which of b: of other components, of like size, of like sketch, and not together in a band before."""
+    na, nb = size[a][:, None], size[b]
+    ok = (component[a][:, None] != component[b]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    band = sketch[:, bins:].copy().view("<u4")
+    for k in range(before):
+        ok &= band[a, k][:, None] != band[b, k]
+    if not ok.any():
+        return ok
+    x, y = np.ascontiguousarray(sketch[a, :bins].T), np.ascontiguousarray(sketch[b, :bins].T)
+    agree = np.zeros(ok.shape, np.uint16)
+    for k in range(bins):
+        agree += x[k][:, None] == y[k]
+    # Small sets fill few bins with hashes of their own, so their sketches vary more.
+    p, n = percent / 100, 1 / (1 / bins + 1 / np.maximum(1, np.minimum(na, nb)))
+    return ok & (agree >= bins * (p - DEVIATIONS * np.sqrt(p * (1 - p) / n)))
+
+
+def _block(rows: pa.Table) -> dict[str, np.ndarray]:
+    """The columns of a pair of blocks, with the members of either side."""
+    out = {c: rows.column(c).to_numpy() for c in ("id", "s", "i", "j", "n", "component", "band")}
+    out["sketch"] = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    return out | {"a": np.flatnonzero(out["s"] == out["i"]), "b": np.flatnonzero(out["s"] == out["j"])}
+
+
+def _dealt(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Deals the members of each bucket into blocks, for every pair (i, j) of blocks; s is a member's own block."""
+    blocks = sizes.select("key", F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("total") / BLOCK_SHINGLES)).alias("g"))
+    dealt = members.join(blocks, "key").withColumn("s", F.pmod(F.xxhash64("id"), "g"))
+    return dealt.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).withColumn("i", F.least("s", "t")).withColumn("j", F.greatest("s", "t")).drop("g", "t")
+
+
+def _finished(named: DataFrame, sets: DataFrame, bins: int, percent: int) -> DataFrame | None:
+    """Links (a, b) of components, from all pairs across components in the buckets of named (key, band, id, n, component); None if no bucket is mixed."""
+    sized = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("total"))
     # The one pair of a bucket of two was that of its star.
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("head"), F.count("*").alias("m")).filter("lo <> hi and m > 2")
-    open_ = stash(named.join(mixed.select("key", "head", "m"), "key"), "mixed")
-    if open_.isEmpty():
+    mixed = stash(sized.filter("lo <> hi and m > 2").select("key", "m", "total"), "mixed")
+    if mixed.isEmpty():
+        free(mixed)
         return None
-    family = components(open_.select(F.col("id").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("family"))
-    placed = open_.join(family, "id")
-    cost = placed.groupBy("family").agg(F.sum("m").alias("squares"), F.count_distinct("id").alias("size"))
-    whole = F.col("size") * F.col("size") <= F.col("squares")
-    units = placed.join(cost, "family").select(whole.alias("whole"), F.when(whole, F.col("family")).otherwise(F.col("key")).alias("unit"), "id", "n", "component")
-    units = stash(units.distinct(), "units")
-    blocks = units.groupBy("whole", "unit").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).alias("g"))
-    dealt = units.drop("n").distinct().join(blocks, ["whole", "unit"]).withColumn("s", F.pmod(F.xxhash64("id"), "g"))
-    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).select("whole", "unit", "id", "component", "s", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"))
-    ids = stash(units.select("id").distinct(), "ends")
-    own = docs.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "id", "left_semi")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in words.slices(batch, "text", 1 << 20):
-                h, doc = shingle_sets(words.texts(part, "text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32()), pa.array(h.view(np.int64)))], ["id", "h"])
+    def sift(rows: pa.Table) -> pa.Table:
+        x = _block(rows)
+        ok = _candidates(x["sketch"], x["n"], x["component"], x["a"], x["b"], int(x["band"][0]), bins, percent)
+        alive = np.union1d(x["a"][ok.any(axis=1)], x["b"][ok.any(axis=0)])
+        return rows.select(["key", "band", "id", "n", "component"]).take(pa.array(alive, pa.int64()))
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        s, i, j, component = (rows.column(c).to_numpy() for c in ("s", "i", "j", "component"))
-        lists = rows.column("h").chunk(0)
-        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        h, doc = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(size)), size)
-        a, b = np.flatnonzero(s == i), np.flatnonzero(s == j)
-        out = np.zeros((0, 2), np.int64)
-        if len(a) and len(b) and component.min() != component.max():
+        x = _block(rows)
+        ok = _candidates(x["sketch"], x["n"], x["component"], x["a"], x["b"], int(x["band"][0]), bins, percent)
+        names, at = np.unique(x["component"], return_inverse=True)
+        if ok.any():
+            a, b = x["a"][ok.any(axis=1)], x["b"][ok.any(axis=0)]
+            ok = ok[ok.any(axis=1)][:, ok.any(axis=0)]
+            lists = rows.column("h").chunk(0)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            n = np.diff(offsets)
             sides = []
             for side in (a, b):
-                place = np.full(len(size), -1)
-                place[side] = np.arange(len(side))
-                use = place[doc] >= 0
-                sides += [h[use], place[doc[use]], len(side)]
+                each = [flat[offsets[k] : offsets[k + 1]] for k in side]
+                sides += [np.concatenate(each), np.repeat(np.arange(len(side)), [len(h) for h in each]), len(side)]
             common = common_counts(*sides)
-            x, y = np.nonzero((component[a][:, None] != component[b]) & (100 * common >= percent * (size[a][:, None] + size[b] - common)) & (common > 0))
-            found = np.stack([component[a][x], component[b][y]], axis=1)
-            out = np.unique(np.sort(found, axis=1), axis=0)
-        return pa.table({"a": out[:, 0], "b": out[:, 1]})
-
-    full = own.mapInArrow(sets, "id long, h array<long>").join(dealt, "id")
-    return full.groupBy("whole", "unit", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+            u, v = np.nonzero(ok & (100 * common >= percent * (n[a][:, None] + n[b] - common)))
+            u, v, label = at[a][u], at[b][v], np.arange(len(names))
+            while True:  # the least component that each is linked with, within the block
+                new = label.copy()
+                np.minimum.at(new, u, label[v])
+                np.minimum.at(new, v, label[u])
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+            at = label
+        else:
+            at = np.arange(len(names))
+        linked = np.flatnonzero(at != np.arange(len(names)))
+        return pa.table({"a": names[linked], "b": names[at[linked]]})
+
+    light = sets.select("id", "sketch")
+    sifted = _dealt(named, mixed).join(light, "id").groupBy("key", "i", "j").applyInArrow(sift, "key long, band int, id long, n long, component long").distinct()
+    alive = stash(sifted, "alive")
+    sizes = stash(alive.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "alive_sizes")
+    links = stash(_dealt(alive, sizes).join(sets, "id").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "more")
+    free(mixed, alive, sizes)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and the least node it is connected with (component), for all nodes of the links (a, b)."""
+    """node and the least node it is connected with (component), for all nodes of the links (a, b) that aren't the least themselves."""
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = stash(small.filter("u <> v").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
-
-
-def _starred(classes: DataFrame, level: int, offsets: list[tuple[int, ...]], bands: int) -> DataFrame:
-    """key, id, n, centre and n_centre of every member of a bucket of two or more."""
-
-    def keys(t: int, steps: tuple[int, ...]):
-        band = lambda i, step: F.get("bands", F.pmod(i + step, F.lit(bands)).cast("int"))
-        return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.lit(100 * level + t), i, *[band(i, x) for x in steps]))
-
+        both = edges.select("u", "v", F.lit(True).alias("down")).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(False).alias("down")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if("down").alias("below"), F.count_if(~F.col("down")).alias("above"))
+        least = stash(least, "least")
+        # Done when every node has one edge to a least node, or is one.
+        if least.filter("below > 1 or (below = 1 and above > 0)").isEmpty():
+            free(least)
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.behind = [edges]
+            return out
+        moved = stash(least.filter("m <> u and above > 0").select(F.col("u").alias("v"), "m"), "moved")
+        large = stash(edges.join(_sent(moved), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "large")
+        low = stash(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(_sent(low), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = stash(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        free(edges, least, moved, large, low)
+        edges = new
+
+
+def _starred(classes: DataFrame, bands: int) -> DataFrame:
+    """key, band, id, n, centre and n_centre of every member of a bucket of two or more."""
     # A least value of id XOR a mask of the bucket: the mask is 0 in half of the buckets, and gives the id back. All sums are of plain longs, so they hash.
     mask = F.when(F.col("key") % 2 == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("key"))
-    places = classes.select("id", "n", F.explode(F.concat(*[keys(t, x) for t, x in enumerate(offsets)])).alias("key"))
+    places = classes.select("id", "n", F.posexplode("bands").alias("band", "hash")).select("id", "n", "band", F.xxhash64("band", "hash").alias("key"))
     order = F.col("id").bitwiseXOR(mask)
     best = places.groupBy("key").agg(F.min(order).alias("best"), F.min_by("n", order).alias("n_centre"), F.count("*").alias("c")).filter("c > 1")
     stars = places.join(best.select("key", F.col("best").bitwiseXOR(mask).alias("centre"), "n_centre"), "key")
-    return stash(stars.select("key", "id", "n", "centre", "n_centre"), "stars")
+    return stars.select("key", "band", "id", "n", "centre", "n_centre")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,33 +331,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     signed = stash(_signed(own, width, bands, rows), "signed")
     key = ["k1", "k2", "n_shingles"]
     one = signed.filter("id is not null and n_shingles > 0")
-    classes = one.groupBy(*key).agg(F.min("id").alias("rep"))
-    reps = one.join(classes, [*[F.col("id") == F.col("rep")], *[one[k] == classes[k] for k in key]], "left_semi").dropDuplicates(["id", *key])
-    at, found, checked = reps.select("id", F.col("n_shingles").alias("n"), "bands"), None, None
-    for level, offsets in enumerate(LEVELS):
-        starred = _starred(at, level, offsets, bands)
-        like = F.least("n", "n_centre") * 100 >= F.greatest("n", "n_centre") * percent  # sets of too unlike sizes can't be linked
-        pairs = starred.filter((F.col("id") != F.col("centre")) & like).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        pairs = stash(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        checked = pairs if checked is None else checked.union(pairs)
-        new = _confirmed(pairs, known, width, percent)
-        found = components(new if found is None else new.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        if level + 1 < len(LEVELS):
-            named = starred.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-            mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-            left = named.join(mixed, "key", "left_semi")
-            if not level:
-                # Every bucket of a finer level lies in one of these, and components only grow.
-                left = rest = stash(left.select("key", "id", "n"), "rest")
-            open_ = stash(left.select("id").distinct(), "open")
-            if open_.isEmpty():
-                break
-            at = at.join(open_, "id", "left_semi")
-    more = _finished(rest, found, known, width, percent)
+    classes = stash(one.groupBy(*key).agg(F.min("id").alias("id"), F.count("*").alias("c")), "classes")
+    reps = one.join(classes.select("id", *key), ["id", *key], "left_semi").dropDuplicates(["id", *key])
+    stars = stash(_starred(reps.select("id", F.col("n_shingles").alias("n"), "bands"), bands), "stars")
+    ends = stash(stars.select("id").distinct(), "ends")
+    sets = stash(_sets(known, ends, width, bands, rows), "sets")
+    like = F.least("n", "n_centre") * 100 >= F.greatest("n", "n_centre") * percent  # sets of too unlike sizes can't be linked
+    pairs = stars.filter((F.col("id") != F.col("centre")) & like).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    pairs = stash(pairs.distinct(), "pairs")
+    found = components(_confirmed(pairs, sets, percent))
+    named = stars.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("component"))
+    named = stash(named, "named")
+    more = _finished(named, sets, bands * rows, percent)
+    free(stars, ends, sets, pairs, named)
+    own_stashes = found.behind
     if more is not None:
-        found = components(more.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    label = found.select(F.col("node").alias("rep"), "component")
-    named = signed.join(classes, key, "left").join(label, "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", F.least("rep", "id"), "id"))
-    out = named.select("id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
+        further = components(more)
+        own_stashes += [more, *further.behind]
+        joined = further.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        both = found.join(joined, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+        # A component's own name is no node of the stars' components.
+        found = both.union(joined)
+    label = stash(found.select(F.col("node").alias("id"), F.col("component").alias("final")), "label")
+    free(*own_stashes)
+    # Classes of one row that are linked with no other name themselves; the rows of the others meet their class in SALTS parts.
+    named = classes.join(label, "id", "left").filter("c > 1 or final is not null").select(*key, F.coalesce("final", "id").alias("final"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows_ = signed.select("id", *key, F.pmod(F.xxhash64("id", F.spark_partition_id()), F.lit(SALTS)).cast("int").alias("salt"))
+    out = rows_.join(named, [*key, "salt"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("final", "id")).alias("component_id"))
+    out = out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
+    out.behind = [signed, classes, label]
+    return out

@@ -10,16 +10,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Folders made where the cluster names none, by application.
+#: Folders made where a local session names none, by application.
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI below spark.checkpoint.dir; where that is unset (tests), below one of this process."""
+    """A new folder's URI below spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; a cluster's is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         app = spark.sparkContext.applicationId
-        base = _OWN.setdefault(app, "") or _OWN.update({app: "file://" + tempfile.mkdtemp(prefix="loomery-shared-")}) or _OWN[app]
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="loomery-shared-")
+        base = _OWN[app]
     return f"{base.rstrip('/')}/loomery-{uuid.uuid4().hex}"
 
 
@@ -27,7 +31,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def free(*stashed: DataFrame) -> None:
+    """Deletes stashes whose last reader has run. An operator's result lists those that it still reads as its behind."""
+    for df in stashed:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stash_path.rpartition("/")[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def worker_state() -> dict:
