@@ -89,4 +89,6 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), total: floa
     targets = source_targets(rows, weights, total, most)
     dealt = _join(rows.withColumn("class", size_class(F.col("size"))), targets, ["source"])
     copied = systematic_copies(dealt, "source", "rate", "offset", "class", "id")
-    return copied.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = copied.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out.behind = [rows]
+    return out

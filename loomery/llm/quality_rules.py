@@ -8,8 +8,9 @@ decides, in place of all rules having to pass.
 EM needs only how many documents cast each combination of votes. Seven rules have at most 3^7 = 2187 combinations, at any corpus
 size; those counts, and nothing else, reach the driver.
 
-Null texts have no words. Words are runs of characters other than space and 0x09-0x0D. Repeated rows and ties are judged alike;
-extra columns are kept apart (only id and text are read); an empty table gives an empty result.
+Null and empty texts have no words: every count is 0, and the length rule votes bad. Words are runs of characters other than space and 0x09-0x0D.
+Very long texts are counted whole, in arrays of one row. Repeated rows and ties are judged alike; null ids stay null. Extra columns of any name
+are ignored (only id and text are read); an empty table gives an empty result and a model without evidence.
 """
 
 from __future__ import annotations
@@ -140,13 +141,30 @@ def fit_votes(counts: dict[tuple[int, ...], int], n_rules: int, rounds: int = 10
     return model
 
 
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
-    """id, the statistics, votes (array in the order of rules), quality (posterior of good) and good (quality >= least)."""
-    stats = text_stats(docs, id_col, text_col)
+def _voted(docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
     vote = [F.when(F.expr(r.bad), -1).when(F.expr(r.good), 1).otherwise(0).cast("tinyint") for r in rules]
-    voted = stash(stats.withColumn("votes", F.array(*vote)), "votes")
-    counts = {tuple(r.votes): r["count"] for r in voted.groupBy("votes").count().collect()}
-    model = fit_votes(counts, len(rules))
+    return text_stats(docs, id_col, text_col).withColumn("votes", F.array(*vote))
+
+
+def _fitted(voted: DataFrame, n_rules: int) -> VoteModel:
+    return fit_votes({tuple(r.votes): r["count"] for r in voted.groupBy("votes").count().collect()}, n_rules)
+
+
+def fit_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> VoteModel:
+    """The model of how the rules vote on all documents. Nothing is written."""
+    return _fitted(_voted(docs, text_col, text_col, rules), len(rules))
+
+
+def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5, model: VoteModel | None = None) -> DataFrame:
+    """id, the statistics, votes (array in the order of rules), quality (posterior of good) and good (quality >= least).
+
+    Without a model, one is fitted to these documents, whose ids, statistics and votes are written for it. With a model nothing is written, and id_col
+    may be as wide as a struct of the whole row.
+    """
+    voted = _voted(docs, id_col, text_col, rules)
+    if model is None:
+        voted = stash(voted, "votes")
+        model = _fitted(voted, len(rules))
     odds = F.lit(math.log(model.prior / (1 - model.prior)))
     for j, w in enumerate(model.weights()):
         odds = odds + F.get(F.array(*[F.lit(float(x)) for x in w]), F.get("votes", F.lit(j)) + 1)
