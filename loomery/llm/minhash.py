@@ -45,7 +45,7 @@ MOST_SENT = 1_000_000
 #: Parts of a class's rows where they meet the class.
 SALTS = 16
 #: Members and shingles of a block in the finish, on average; columns of a dense product; pairs expanded at a time.
-BLOCK_MEMBERS, BLOCK_SHINGLES, DENSE, EXPANDED = 1024, 1_000_000, 2048, 1 << 20
+BLOCK_MEMBERS, BLOCK_SHINGLES, DENSE, EXPANDED = 512, 500_000, 2048, 1 << 20
 #: Standard deviations that a sketch may fall short of the threshold.
 DEVIATIONS = 6
 _MUL = np.uint64(0x9E3779B97F4A7C15)

@@ -2,17 +2,20 @@
 
 The index is cut by documents into segments of a few MB of text, one row each: for every term the ascending positions of all its
 occurrences in the segment, documents being laid one after another with a gap, so that no phrase runs from one into the next. It is
-written as Parquet to the shared folder. A search needs no shuffle: each segment holds whole documents.
+written as Parquet to the shared folder. A search needs no shuffle: each segment holds whole documents. All terms of all documents are kept, whatever
+will be searched for. Positions are stored as steps from one to the next, the lowest bytes of all steps first, then the next ones, which compresses well.
 
 A phrase search starts from the postings of the phrase's rarest term in the segment, moved back by the term's offset, and keeps the
 starts found, in order of rarity, in the offset-adjusted postings of every other term. All phrases of a block of the test set are intersected at once; the
 candidates held at a time are bounded. A proximity search asks for every other term within `slop` words of the rarest one.
 
-The test set goes to the tasks in blocks of at most BLOCK_WORDS words, one pass over the index for each block, so what is sent is
-bounded at any size of the test set. The index may be built for the terms of the test set alone: no other term is ever looked up.
+The test set goes to the tasks in blocks of at most BLOCK_WORDS words (or one item), one pass over the index for each block, so what is sent, and held by the
+driver, is bounded at any size of the test set.
 
-Words: A-Z lower-cased, then runs of ASCII digits, ASCII letters and all non-ASCII characters. Null and empty texts have none. Repeated
-rows are separate documents. Items with equal windows all count. Extra columns are ignored; empty tables give empty results.
+Words: A-Z lower-cased, then runs of ASCII digits, ASCII letters and all non-ASCII characters. Null and empty texts have none: such documents have no hits,
+such items no windows. A very long text is a segment of its own, whole. Repeated rows are separate documents, and null ids stay null. Items with equal windows all
+count. The words of an item without an id are hit like others, but it has no name to be listed by. Extra columns of any name are ignored; empty
+tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -42,6 +45,20 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").translate(_LOWER))
 
 
+def steps_of(positions: np.ndarray, offsets: np.ndarray) -> bytes:
+    """Positions that ascend between offsets, as steps, byte by byte."""
+    steps = np.diff(positions, prepend=0)
+    first = offsets[:-1]
+    steps[first] = positions[first]
+    return steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def positions_of(steps: bytes, offsets: np.ndarray) -> np.ndarray:
+    out = np.cumsum(np.ascontiguousarray(np.frombuffer(steps, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.int64)
+    before = np.concatenate([[0], out])[offsets[:-1]]
+    return out - np.repeat(before, np.diff(offsets))
+
+
 class TestSet:
     """Windows of a block of items: each window's terms, length and items. __test__: not a test case."""
 
@@ -67,12 +84,11 @@ class Segment:
     """Postings of a segment for the terms of a test set, ready to be intersected."""
 
     def __init__(self, row: dict, terms: list[str]):
-        own = {t: i for i, t in enumerate(row["terms"])}
         offsets = row["offsets"].astype(np.int64)
-        at = np.array([own.get(t, -1) for t in terms], np.int64)
+        at = pc.fill_null(pc.index_in(pa.array(terms, pa.string()), value_set=row["terms"]), -1).to_numpy().astype(np.int64)
         self.begin = np.where(at >= 0, offsets[at], 0)
         self.count = np.where(at >= 0, offsets[np.minimum(at + 1, len(offsets) - 1)] - self.begin, 0)
-        self.positions = row["positions"].astype(np.int64)
+        self.positions = positions_of(row["steps"], offsets)
         # Terms and, in them, positions ascend, so these keys do too.
         self.shift = int(self.positions.max(initial=0)).bit_length() + 1
         self.row_of = at
@@ -127,12 +143,12 @@ class Segment:
         return p
 
 
-def test_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[str]]]]:
+def test_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, list[str]]]]:
     """Items with words, some at a time, so that a block has at most block_words words (or is one item)."""
     block, n = [], 0
     for r in items.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
         w = words_of(r[1])
-        if w and r[0] is not None:
+        if w:
             if block and n + len(w) > block_words:
                 yield block
                 block, n = [], 0
@@ -145,36 +161,30 @@ def test_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int =
 test_blocks.__test__ = False
 
 
-def build_index(docs: DataFrame, terms: list[str] | None = None, gap: int = 64, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """Writes the index of all documents (of the given terms alone, if any) and returns it, a row for each segment.
+def build_index(docs: DataFrame, gap: int = 64, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """Writes the index of all documents and returns it, a row for each segment.
 
     gap: the longest phrase or slop that may be searched for.
     """
     table = words.byte_table(lower=True, keep_alnum_only=True)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    known = None if terms is None else pa.array(sorted(terms), pa.string())
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.slices(batch, "text", segment_bytes):
                 flat, n = words.split(words.texts(part, "text"), table)
-                if known is None:
-                    coded = flat.dictionary_encode()
-                    names, term = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-                else:
-                    names, term = known, pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy().astype(np.int64)
+                coded = flat.dictionary_encode()
+                term = coded.indices.to_numpy()
                 start = np.cumsum(n + gap) - (n + gap)
                 position = np.arange(len(flat)) + np.repeat(start - (np.cumsum(n) - n), n)
-                kept = np.flatnonzero(term >= 0)
-                order = kept[np.argsort(term[kept].astype(np.int32), kind="stable")]
-                count = np.bincount(term[kept], minlength=len(names))
-                full = np.flatnonzero(count)
-                lists = [part.column("id"), pa.array(start, pa.int32()), pa.array(n, pa.int64()), names.take(pa.array(full)), pa.array(np.concatenate([[0], np.cumsum(count[full])]), pa.int32()), pa.array(position[order], pa.int32())]
-                cols = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-                yield pa.RecordBatch.from_arrays(cols, ["ids", "starts", "n_words", "terms", "offsets", "positions"])
-
-    made = rows.mapInArrow(post, f"ids array<{kind}>, starts array<int>, n_words array<long>, terms array<string>, offsets array<int>, positions array<int>")
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(coded.dictionary)))])
+                steps = steps_of(position[np.argsort(term, kind="stable")], offsets)
+                lists = [part.column("id"), pa.array(start, pa.int32()), pa.array(n, pa.int64()), coded.dictionary, pa.array(offsets, pa.int32())]
+                cols = [*(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists), pa.array([steps], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["ids", "starts", "n_words", "terms", "offsets", "steps"])
+
+    made = rows.mapInArrow(post, f"ids array<{kind}>, starts array<int>, n_words array<long>, terms array<string>, offsets array<int>, steps binary")
     return stash(made.withColumn("segment", F.expr("uuid()")), "index")
 
 
@@ -182,15 +192,17 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             value = lambda c: batch.column(c)[i].values  # noqa: B023, E731
-            row = {c: value(c).to_numpy(zero_copy_only=False) for c in ("starts", "n_words", "offsets", "positions")}
-            yield row | {"segment": batch.column("segment")[i].as_py(), "ids": value("ids"), "terms": value("terms").to_pylist()}
+            row = {c: value(c).to_numpy(zero_copy_only=False) for c in ("starts", "n_words", "offsets")}
+            yield row | {"segment": batch.column("segment")[i].as_py(), "steps": batch.column("steps")[i].as_py(), "ids": value("ids"), "terms": value("terms")}
 
 
-def phrase_matches(index: DataFrame, items: list[tuple[str, list[str]]], width: int) -> DataFrame:
+def phrase_matches(index: DataFrame, items: list[tuple[str | None, list[str]]], width: int) -> DataFrame:
     """For every document of the index: segment, place, id, n_words, spans (disjoint, of words in any occurrence of a window) and items."""
-    kind, test = index.schema["ids"].dataType.elementType.simpleString(), TestSet(items, width)
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+    sent = index.sparkSession.sparkContext.broadcast(TestSet(items, width))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = sent.value
         for row in _segments(batches):
             starts, n_docs = row["starts"].astype(np.int64), len(row["starts"])
             end = int(starts[-1] + row["n_words"][-1]) + 1 if n_docs else 0
@@ -209,7 +221,7 @@ def phrase_matches(index: DataFrame, items: list[tuple[str, list[str]]], width:
             found: list[set[int]] = [set() for _ in range(n_docs)]
             for d, w in (np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist() if pairs else ()):
                 found[d].update(test.items[w])
-            items_found = pa.array([[test.item_ids[k] for k in sorted(s)] for s in found], pa.list_(pa.string()))
+            items_found = pa.array([[test.item_ids[k] for k in sorted(s) if test.item_ids[k] is not None] for s in found], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([row["segment"]] * n_docs), pa.array(np.arange(n_docs), pa.int32()), row["ids"], pa.array(row["n_words"]), spans, items_found], ["segment", "place", "id", "n_words", "spans", "items"])
 
     return index.mapInArrow(search, f"segment string, place int, id {kind}, n_words long, spans array<struct<start: int, end: int>>, items array<string>")
@@ -240,19 +252,20 @@ def _hit_words(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), spans and items of every document."""
-    terms = set()
+    index = build_index(docs, max(64, width), id_col, text_col, segment_bytes)
+    behind, merged, n_blocks = [index], None, 0
     for block in test_blocks(benchmark, item_col, "text", block_words):
-        terms.update(x for _, w in block for x in w)
-    # Beyond this bound the terms are not sent with the task, and the index takes all of them.
-    index = build_index(docs, list(terms) if len(terms) <= BLOCK_WORDS else None, max(64, width), id_col, text_col, segment_bytes)
-    found = [phrase_matches(index, block, width) for block in test_blocks(benchmark, item_col, "text", block_words)]
-    if not found:
-        found = [phrase_matches(index, [], width)]
-    merged = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            merged = merged.unionByName(more)
-        merged = merged.groupBy("segment", "place").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        if n_blocks:
+            # A block is done before the next is held.
+            behind.append(stash(found, "found"))
+            merged = behind[-1] if merged is None else merged.unionByName(behind[-1])
+        found, n_blocks = phrase_matches(index, block, width), n_blocks + 1
+    if n_blocks > 1:
+        merged = merged.unionByName(found).groupBy("segment", "place").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    else:
+        merged = found if n_blocks else phrase_matches(index, [], width)
     merged = merged.withColumn("items", F.array_distinct("items"))
     out = merged.select(F.col("id").alias(id_col), "n_words", _hit_words(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), "spans", "items")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    out.behind = behind
+    return out

@@ -6,13 +6,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from compare import assert_same
 from loomery.llm import registry
-from loomery.llm.minhash import common_counts, components, near_duplicates
+from loomery.llm.minhash import common_counts, components, near_duplicates, shingle_sets
 from loomery.llm.plans import op2_positional_decontam, op8_oph_dedup
-from loomery.llm.positional_index import build_index, contamination, proximity_matches, words_of
+from loomery.llm.positional_index import build_index, contamination, positions_of, proximity_matches, steps_of, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -32,21 +34,24 @@ def plain_hits(text, items, width=13):
             for p in range(len(w) - len(g) + 1):
                 if w[p : p + len(g)] == g:
                     hit |= set(range(p, p + len(g)))
-                    found.add(str(name))
+                    found |= {str(name)} - {"None"}
     return len(w), len(hit), sorted(found)
 
 
 def test_contamination_of_odd_rows(spark):
     rnd = random.Random(1)
     text = lambda n, k: " ".join(rnd.choice("abcdefgh"[:k]) for _ in range(n))
-    items = [(1, text(20, 3)), (2, "A b"), (10, "a-b"), (3, None), (4, ""), (5, "..."), (6, text(13, 2)), (None, "a"), (7, "é1 Ü\x00x"), (8, text(14, 2))]
-    docs = [(i, text(rnd.randint(0, 60), 3)) for i in range(40)] + [(40, None), (41, ""), (42, "!!"), (None, "a b"), (43, "É1 é1, ü"), (43, "x é1 Ü x"), (44, text(20, 3) + " " + items[0][1] * 3), (45, "a b " * 3000)]
+    items = [(1, text(20, 3)), (2, "A b"), (10, "a-b"), (3, None), (4, ""), (5, "..."), (6, text(13, 2)), (None, "a"), (7, "é1 Ü\x00x"), (8, text(14, 2)), (None, "q r"), (None, "h g")]
+    docs = [(i, text(rnd.randint(0, 60), 3)) for i in range(40)] + [(40, None), (41, ""), (42, "!!"), (None, "a b"), (43, "É1 é1, ü"), (43, "x é1 Ü x"), (44, text(20, 3) + " " + items[0][1] * 3), (45, "a b " * 3000), (46, "q r s"), (47, "x " * 200_000 + "h g")]
     d = spark.createDataFrame([(*x, "n") for x in docs], "doc_id long, text string, n_words string")
     b = spark.createDataFrame([(*x, "n") for x in items], "item_id long, text string, spans string")
     for kw in ({}, {"block_words": 15}, {"segment_bytes": 50}):
         got = contamination(d, b, **kw).collect()
-        want = sorted(repr((i, n, k, len(f), hashlib.sha256(",".join(f).encode()).hexdigest(), 20 * k >= n and k > 0)) for i, t in docs for n, k, f in [plain_hits(t, [x for x in items if x[0] is not None])])
+        want = sorted(repr((i, n, k, len(f), hashlib.sha256(",".join(f).encode()).hexdigest(), 20 * k >= n and k > 0)) for i, t in docs for n, k, f in [plain_hits(t, items)])
         assert sorted(repr((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in got) == want, kw
+    assert got and {r.n_hit for r in got if r.doc_id in (46, 47)} == {2}  # an item without an id
+    inner = d.withColumns({c: F.lit(1) for c in ("segment", "place", "spans", "items", "id", "terms", "steps")})
+    assert contamination(inner, b.withColumn("items", F.lit(1))).count() == len(docs)
     assert contamination(d.limit(0), b).count() == 0
     assert contamination(d, b.limit(0)).filter("contaminated or n_hit > 0").count() == 0
 
@@ -59,6 +64,14 @@ def test_proximity(spark):
     assert {t for r in index.select("terms").collect() for t in r.terms} == {"x", "a", "y", "b", "z", "q"}
 
 
+def test_positions_come_back():
+    rnd = np.random.default_rng(0)
+    lists = [np.sort(rnd.choice(1 << 22, n, replace=False)) for n in (1, 5, 1000, 3)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    assert positions_of(steps_of(np.concatenate(lists), offsets), offsets).tolist() == np.concatenate(lists).tolist()
+    assert positions_of(steps_of(np.zeros(0, np.int64), np.array([0])), np.array([0])).tolist() == []
+
+
 def plain_components(docs, width, percent):
     def sets(t):
         w = [x.lower() if x.isascii() else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in WORD.findall(t or "")]
@@ -108,6 +121,29 @@ def test_null_ids_repeats_and_empty(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_shingles_of_few_words(width):
+    for texts in (["a b"], ["a b c"], [""], [], ["a"], ["a b", "A  B", "b a"], ["x" * 3_000_000, "y " * 300_000], ["a b c d e f g", "", "a"]):
+        h, doc = shingle_sets(pa.array(texts, pa.string()), width)
+        got = [frozenset(h[doc == k]) for k in range(len(texts))]
+        assert [len(x) for x in got] == [n for n, _ in plain_components(list(enumerate(texts)), width, 80).values()]
+        if len(texts) == 3 and texts[0] == "a b":
+            assert got[0] == got[1] and (width == 1 or got[0] != got[2])
+
+
+def test_one_short_text_with_clashing_columns(spark):
+    df = spark.createDataFrame([(0, "a b", 1)], "doc_id long, text string, k1 long")
+    df = df.withColumns({c: F.lit(None).cast("string") for c in ("id", "n", "key", "component", "salt", "final", "kept", "n_shingles")})
+    assert [(r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, 5).collect()] == [(1, 0, True)]
+
+
+def test_ids_of_several_texts(spark):
+    # One id is one node; a repeated row and a null id change nothing.
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (1, b), (2, b), (3, c), (3, c), (None, a), (4, c + " d")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in near_duplicates(df).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 3), (3, 3), (4, 3)]
+
+
 def test_components_of_long_paths(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (300, 300)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
@@ -132,6 +168,24 @@ def test_planted_pairs_in_a_large_family(spark):
     assert [i for i, _ in docs if got[i] != i - i % 2] == []
 
 
+def test_family_of_two_thousand_keeps_its_planted_pairs(spark):
+    # 1,000 pairs of 0.85 and more among 2,000 documents that are about 0.75 alike.
+    rnd = random.Random(9)
+    template, docs = [f"t{i}" for i in range(200)], []
+    for k in range(1000):
+        own = {at: f"m{k}x{at}" for at in rnd.sample(range(200), 10)}
+        for half in range(2):
+            w = [own.get(i, t) for i, t in enumerate(template)]
+            for at in rnd.sample(range(200), 2):
+                w[at] = f"h{k}{half}x{at}"
+            docs.append((2 * k + half, " ".join(w)))
+    sets = {i: {tuple(t.split()[at : at + 3]) for at in range(198)} for i, t in docs}
+    linked = [i for i in range(0, 2000, 2) if 100 * len(sets[i] & sets[i + 1]) >= 85 * len(sets[i] | sets[i + 1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, 3, 85).collect()}
+    assert len(linked) > 900 and [i for i in linked if got[i] != got[i + 1]] == []
+
+
 def test_common_counts_by_both_ways():
     rnd = np.random.default_rng(3)
     # Every other hash is in nearly all sets, the rest in few.
