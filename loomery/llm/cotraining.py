@@ -1,16 +1,17 @@
 """A quality classifier by co-training on two views of a document.
 
-The content view sees the text alone: shares of characters, word length, repeated words and lines. The metadata view sees the other
-columns alone: hashed strings, and numbers on a log scale. Each view is a ridge logistic regression.
+The content view sees the text alone: hashed words and word pairs, shares of characters, word length, repeated words and lines. The metadata view sees the
+other columns alone: hashed strings, and numbers on a log scale. Each view is a ridge logistic regression.
 
 From a bounded sample of labelled rows (MOST_LABELLED) and all other rows, the views teach each other: in each round
 a view scores all of them on the executors and hands its most confident good and bad rows, as pseudo-labels, to the other view's training set. Each
 view is then calibrated on labelled rows that no view trained on, and the calibrated log odds are added (less the prior, which both
-hold). The result scores every row of the corpus by its whole text.
+hold). The result scores every row of the corpus by its whole text. Features are computed once for each row and written, in half precision, for all rounds.
 
-Sampling is by a hash of the id, so reruns agree. Null texts are empty; null metadata is a value of its own. Labels that are null, or of
-unknown documents, are not used; a document with several labels counts as good if any is. Without labels every score is 0.5. Repeated rows
-stay; extra columns are ignored; an empty table gives an empty result.
+Sampling is by a hash of the id, so reruns agree. Null and empty texts have no words (all features 0); very long texts are read whole. Null metadata is a value
+of its own. Labels that are null, or of unknown documents, are not used; a document with several labels counts as good if any is. Of rows that share a labelled id
+one is learnt from, the least by its features; ties among the surest go by id. Rows without an id are scored, but teach nothing. Without labels every score
+is 0.5. Repeated rows stay; extra columns of any name are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ from .shared import stash
 
 MOST_LABELLED = 4000
 ROUNDS, TAKEN = 5, 100
-HASHED = 64
+HASHED, WORDS, PAIRS = 64, 256, 128
 
 
 def content_features(text: pa.StringArray) -> np.ndarray:
-    """Shares of ASCII characters and of 8 ranges of other bytes, and four measures of words and lines."""
+    """Shares of ASCII characters and of 8 ranges of other bytes, four measures of words and lines, and shares of hashed words and word pairs."""
     m = len(text)
     kind = np.concatenate([np.arange(128), 128 + np.arange(128) // 16])
     n_kinds = 136
@@ -54,7 +55,17 @@ def content_features(text: pa.StringArray) -> np.ndarray:
     lines = pc.split_pattern(text, "\n")
     n_lines = pc.list_value_length(lines).to_numpy().astype(np.int64)
     more = [np.log1p(n), (size - n) / np.maximum(n, 1), distinct(flat, n), distinct(lines.flatten(), n_lines)]
-    return np.hstack([np.sqrt(share), np.stack(more, axis=1)])
+    coded = flat.dictionary_encode()
+    each = words.mix64(pd.util.hash_array(np.array(coded.dictionary.to_pylist(), object), categorize=False)) if len(flat) else np.zeros(0, np.uint64)
+    h, doc = each[coded.indices.to_numpy()], np.repeat(np.arange(m), n)
+    same = doc[1:] == doc[:-1]
+    pair = words.mix64(h[:-1] * np.uint64(31) + h[1:])[same]
+
+    def hashed(x: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+        at = (x % np.uint64(size)).astype(np.int64)
+        return np.sqrt(np.bincount(of * size + at, minlength=m * size).reshape(m, size) / np.maximum(n, 1)[:, None])
+
+    return np.hstack([np.sqrt(share), np.stack(more, axis=1), hashed(h, doc, WORDS), hashed(pair, doc[1:][same], PAIRS)])
 
 
 def metadata_features(columns: list[pa.Array]) -> np.ndarray:
@@ -123,7 +134,8 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray] |
     good = (y.sum() + 1) / (len(y) + 2)
     sets = [([x[~held]], [y[~held]]) for x in labelled]
     give = pool if callable(pool) else _local(pool)
-    fit = lambda: [Logistic.fit(np.vstack(xs), np.concatenate(ys)) for xs, ys in sets]
+    # A view of many features needs a stronger ridge.
+    fit = lambda: [Logistic.fit(np.vstack(xs), np.concatenate(ys), ridge=max(1.0, xs[0].shape[1] / 10)) for xs, ys in sets]
     views = fit()
     quota = {1.0: max(1, round(taken * good)), 0.0: max(1, round(taken * (1 - good)))}
     for _ in range(rounds):
@@ -157,8 +169,25 @@ def _local(pool: list[np.ndarray]) -> Give:
     return give
 
 
-def _distributed(rows: DataFrame, metadata: list[str]) -> Give:
-    """Scores all rows in each round; every task keeps its surest ids of each view and class, of which the surest of all are taken."""
+def _rows(a: pa.Array) -> np.ndarray:
+    """Vectors in half precision, as a matrix."""
+    return np.frombuffer(b"".join(a.to_pylist()), np.float16).reshape(len(a), -1).astype(float)
+
+
+def features_of(rows: DataFrame, metadata: list[str]) -> DataFrame:
+    """id, content and metadata (vectors of half floats) of every row."""
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.slices(batch, "text"):
+                x = [content_features(words.texts(part, "text")), metadata_features([part.column(c) for c in metadata])]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array([row.tobytes() for row in v.astype(np.float16)], pa.binary()) for v in x)], ["id", "content", "metadata"])
+
+    return rows.mapInArrow(features, f"id {rows.schema['id'].dataType.simpleString()}, content binary, metadata binary")
+
+
+def _distributed(rows: DataFrame) -> Give:
+    """Scores all rows (id and both views' vectors) in each round; every task keeps its surest ids of each view and class, of which the surest of all are taken."""
     kind = rows.schema["id"].dataType.simpleString()
     given: list[set] = [set(), set()]
 
@@ -168,9 +197,10 @@ def _distributed(rows: DataFrame, metadata: list[str]) -> Give:
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept: dict = {(1 - t, label): {} for t in range(2) for label in quota}
             for batch in batches:
-                for part in words.slices(batch, "text"):
+                for at in range(0, batch.num_rows, 2000):
+                    part = batch.slice(at, 2000)
                     ids = part.column("id").to_pylist()
-                    x = [content_features(words.texts(part, "text")), metadata_features([part.column(c) for c in metadata])]
+                    x = [_rows(part.column("content")), _rows(part.column("metadata"))]
                     for teacher, model in enumerate(views):
                         pupil, odds = 1 - teacher, model.log_odds(x[teacher])
                         for label, n in quota.items():
@@ -215,31 +245,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] =
     # The sample has at most as many ids as its bound says, so it may be sent to every task.
     chosen = known.join(rows.select("id"), "id", "left_semi").orderBy(*order).limit(most_labelled)
     chosen = stash(chosen, "labelled")
-    drawn = rows.join(F.broadcast(chosen), "id")
-    free = rows.filter("id is not null").join(F.broadcast(chosen), "id", "left_anti")
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in words.slices(batch, "text"):
-                x = [content_features(words.texts(part, "text")), metadata_features([part.column(c) for c in m])]
-                cols = [pa.array([row.tobytes() for row in v]) for v in x]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), *cols], ["id", "y", "content", "metadata"])
-
-    got = drawn.mapInArrow(features, f"id {kind}, y double, content binary, metadata binary").toPandas()
-    got = got.assign(h=pd.util.hash_array(got["id"].astype(str).to_numpy(object), categorize=False)).sort_values(["h", "id", "content"], kind="stable").groupby("id").head(1)
-    view = lambda rows: [np.stack([np.frombuffer(x) for x in rows[c]]) if len(rows) else np.zeros((0, 1)) for c in ("content", "metadata")]
-    model = co_train(view(got), got["y"].to_numpy(float), _distributed(free, m)) if len(got) else None
+    made = stash(features_of(rows, m), "features")
+    free = made.filter("id is not null").join(F.broadcast(chosen), "id", "left_anti")
+    # At most one row of each chosen id reaches the driver.
+    one = made.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("content", "metadata", "y")).alias("s")).select("id", "s.*")
+    got = one.withColumn("h", F.xxhash64("id")).orderBy("h", "id").toArrow()
+    view = [_rows(got.column(c).combine_chunks()) if got.num_rows else np.zeros((0, 1)) for c in ("content", "metadata")]
+    model = co_train(view, got.column("y").to_numpy().astype(float), _distributed(free)) if got.num_rows else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "text"):
-                if model is None:
-                    cols = [np.full(part.num_rows, 0.5)] * 3
-                else:
-                    x = [content_features(words.texts(part, "text")), metadata_features([part.column(c) for c in m])]
-                    odds = [model.log_odds(v, x[v]) for v in range(2)]
-                    cols = [*(1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in odds), model.combined(odds)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, cols)], ["id", "text_score", "metadata_score", "quality"])
-
-    scored = rows.mapInArrow(score, f"id {kind}, text_score double, metadata_score double, quality double")
+            if model is None:
+                cols = [np.full(batch.num_rows, 0.5)] * 3
+            else:
+                odds = [model.log_odds(v, _rows(batch.column(c))) if batch.num_rows else np.zeros(0) for v, c in enumerate(("content", "metadata"))]
+                cols = [*(1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in odds), model.combined(odds)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, cols)], ["id", "text_score", "metadata_score", "quality"])
+
+    scored = made.mapInArrow(score, f"id {kind}, text_score double, metadata_score double, quality double")
     return scored.withColumn("kept", F.col("quality") >= least).withColumnRenamed("id", id_col)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.llm.context_mixing import END, LEAN, Code, Mixer, chained, score_texts
-from loomery.llm.cotraining import Logistic, _distributed, co_train, metadata_features, quality_scores
+from loomery.llm.cotraining import Logistic, _distributed, co_train, quality_scores
 from loomery.llm.plans import op6_context_mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -171,13 +171,12 @@ def test_quality_of_odd_rows(spark):
 
 def test_surest_rows_of_the_whole_pool(spark):
     # The surest rows are the last few of many; all of them are found, each id once.
-    n = 6000
-    rows = [(i, "a b", i) for i in range(n)] + [(n - 1, "a b", n - 1)]
-    df = spark.createDataFrame(rows, "id long, text string, m0 long")
-    column = metadata_features([pa.array([1])]).shape[1]
-    flat = Logistic(np.zeros(140), np.ones(140), np.zeros(141))
-    rising = Logistic(np.zeros(column), np.ones(column), np.array([1.0, 0, 0, 0]))
-    give = _distributed(df, ["m0"])
+    n = 2000
+    vector = lambda *x: np.array(x, np.float16).tobytes()
+    rows = [(i, vector(0), vector(i)) for i in range(n)] + [(n - 1, vector(0), vector(n - 1))]
+    df = spark.createDataFrame(rows, "id long, content binary, metadata binary")
+    flat, rising = Logistic(np.zeros(1), np.ones(1), np.zeros(2)), Logistic(np.zeros(1), np.ones(1), np.array([1.0, 0]))
+    give = _distributed(df)
     for first in (n - 5, n - 10):
         got = give([flat, rising], {1.0: 5, 0.0: 5})
         assert {k: len(x) for k, x in got.items()} == {(0, 1.0): 5, (0, 0.0): 0, (1, 1.0): 0, (1, 0.0): 0}, first
