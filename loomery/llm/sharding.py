@@ -5,16 +5,15 @@ from the multivariate hypergeometric law that a uniform permutation of all rows
 to the exact shard sizes (at most one row apart). Within a bucket rows are permuted (ordered by a hash) and cut at the
 row's counts; within a shard they are permuted again by another hash, which gives the slots.
 
-The matrix has at most MOST_BUCKETS rows at any input size and is part of the plan. Both permutations work on parts of about sqrt(n)
+The matrix has 4 sqrt(n) rows, one for each bucket, drawn on the driver and written as a table. Both permutations work on parts of about sqrt(n)
 rows: buckets, and slices of a shard by ranges of the second hash, whose counts are added up in a small table.
 
-Null ids and texts are allowed (a null text has no bytes). Equal rows are interchangeable and get places of their own. An empty table
-gives an empty result. The same input and seed give the same places.
+Null ids and texts are allowed (a null text has no bytes); very long texts count by their bytes. Equal rows are interchangeable and get places of their own, but
+share a bucket, as their hashes are equal. Extra columns of any name are ignored. An empty table gives an empty result. The same input and seed give the same places.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import random
 
@@ -23,8 +22,6 @@ from pyspark.sql import functions as F
 
 from .shared import stash
 
-MOST_BUCKETS = 4096
-
 
 def hypergeometric(rnd: random.Random, good: int, bad: int, draws: int) -> int:
     """How many good items are among draws from good + bad. Inversion from the mode outwards: steps grow with the deviation."""
@@ -73,9 +70,9 @@ def shard_uniformly(docs: DataFrame, shards: int = 24, seed: int = 20, id_col: s
     """id, size (UTF-8 bytes and 8 more), text_crc32, shard and slot (from 0 without gaps) of every row."""
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    rows = stash(rows, "rows")
+    spark, rows = docs.sparkSession, stash(rows, "rows")
     total = rows.count()
-    n_buckets = max(1, min(MOST_BUCKETS, 4 * math.isqrt(total)))
+    n_buckets = max(1, 4 * math.isqrt(total))
     n_slices = max(1, 4 * math.isqrt(total // shards))
     hashed = rows.withColumn("h1", F.xxhash64(F.lit(seed), "id", "text_crc32")).withColumn("h2", F.xxhash64(F.lit(seed + 1), "text_crc32", "id"))
     hashed = hashed.withColumn("bucket", F.pmod(F.xxhash64("h1"), F.lit(n_buckets)).cast("int"))
@@ -83,13 +80,13 @@ def shard_uniformly(docs: DataFrame, shards: int = 24, seed: int = 20, id_col: s
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = communication_matrix([found.get(b, 0) for b in range(n_buckets)], sizes, seed)
     ends = [[sum(line[: j + 1]) for j in range(shards)] for line in matrix]
-    # A literal after constant folding: no join, at most MOST_BUCKETS x shards numbers.
-    cuts = F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")
+    # About sqrt(n) rows; a table, so that no plan holds them. Spark broadcasts it while it is small.
+    cuts = stash(spark.createDataFrame(list(enumerate(ends)), "bucket int, ends array<long>"), "matrix")
     local = Window.partitionBy("bucket").orderBy("h1", F.col("id").asc_nulls_first(), "text_crc32", "size")
-    dealt = hashed.withColumn("place", F.row_number().over(local) - 1)
-    passed = F.filter(F.get(cuts, F.col("bucket")), lambda end: end <= F.col("place"))
+    dealt = hashed.withColumn("place", F.row_number().over(local) - 1).join(cuts, "bucket")
+    passed = F.filter("ends", lambda end: end <= F.col("place"))
     dealt = dealt.withColumn("shard", F.size(passed)).withColumn("slice", F.shiftright(F.shiftrightunsigned(F.col("h2"), 33) * n_slices, 31).cast("int"))
-    dealt = stash(dealt.drop("bucket", "place", "h1"), "dealt")
+    dealt = stash(dealt.drop("bucket", "place", "h1", "ends"), "dealt")
     counts = dealt.groupBy("shard", "slice").count()
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))

@@ -3,10 +3,12 @@
 A vocabulary string that the library encodes alone as one token counts 1 wherever it is a whole pre-token. That is proved
 once, for every vocabulary string, before the corpus is read; only the other pre-tokens are merged by the library.
 
-White space never joins two tokens here (the pre-tokenizer drops it), so a text's count is the sum over its
-white-space-separated chunks, and each distinct chunk of a slice is counted once.
+The shortcut needs a vocabulary file whose rules are RULES: there white space never joins two tokens (the pre-tokenizer drops it), so a text's count is the sum
+over its white-space-separated chunks, and each distinct chunk of a slice is counted once. Any other vocabulary file (.json), and any .model file, is counted by its
+library on whole texts.
 
-Nulls and empty texts have no tokens; repeated rows stay; any other columns are ignored, so names can't clash.
+Nulls and empty texts have no tokens; very long texts are whole; null ids stay null; repeated rows stay; any other columns are ignored, so names can't
+clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,12 @@ from .shared import worker_state
 CACHE_WORDS = 300_000
 SCHEMA = "n_bytes long, n_tokens long"
 
-# The ASCII case of the pre-tokenizer's pattern (fixed value of the vocabulary file).
+# Fixed values of the vocabulary file that the shortcut knows: its rules, and the ASCII case of its pattern.
+RULES = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "suffix": "</w>",
+}
 PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
 
 
@@ -45,6 +52,33 @@ def load(path: str):
     return state[path]
 
 
+def shortcut_holds(path: str) -> bool:
+    """Whether a vocabulary file has the rules that the shortcut knows."""
+    if path.endswith(".model"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    steps = ((t.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    found = {
+        "normalizer": [n["type"] for n in (t.get("normalizer") or {}).get("normalizers", [])],
+        "pattern": (steps.get("pattern") or {}).get("Regex") if steps.get("behavior") == "Removed" else None,
+        "suffix": t["model"].get("end_of_word_suffix"),
+    }
+    return found == RULES and not t.get("post_processor")
+
+
+def count_whole(texts: list[str], path: str) -> list[int]:
+    """Tokens of whole texts, by the file's library."""
+    if not path.endswith(".model"):
+        return [len(e.ids) for e in load(path).encode_batch(texts, add_special_tokens=False)]
+    state = worker_state()
+    if path not in state:
+        import sentencepiece
+
+        state[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [len(x) for x in state[path].encode(texts, num_threads=1)]
+
+
 def proven_tokens(path: str) -> frozenset[str]:
     """The strings of the vocabulary that, alone, encode as exactly one token and are one pre-token."""
     t = load(path)
@@ -96,19 +130,23 @@ def _count_chunks(chunks: list[str], path: str, proven: frozenset[str]) -> list[
 
 def with_token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes (UTF-8) and n_tokens of every row's whole text."""
-    proven, table = proven_tokens(tokenizer_path), words.byte_table(lower=False)
+    holds, table = shortcut_holds(tokenizer_path), words.byte_table(lower=False)
+    proven = docs.sparkSession.sparkContext.broadcast(proven_tokens(tokenizer_path) if holds else frozenset())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.slices(batch, "text"):
                 text = words.texts(part, "text")
-                flat, per_doc = words.split(text, table)
-                coded = flat.dictionary_encode()
-                each = np.array(_count_chunks(coded.dictionary.to_pylist(), tokenizer_path, proven), np.int64)
-                total = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy()])]) if len(flat) else np.zeros(1, np.int64)
-                ends = np.cumsum(per_doc)
-                n = total[ends] - total[ends - per_doc]
+                if holds:
+                    flat, per_doc = words.split(text, table)
+                    coded = flat.dictionary_encode()
+                    each = np.array(_count_chunks(coded.dictionary.to_pylist(), tokenizer_path, proven.value), np.int64)
+                    total = np.concatenate([[0], np.cumsum(each[coded.indices.to_numpy()])]) if len(flat) else np.zeros(1, np.int64)
+                    ends = np.cumsum(per_doc)
+                    n = total[ends] - total[ends - per_doc]
+                else:
+                    n = np.array(count_whole(text.to_pylist(), tokenizer_path), np.int64)
                 size = pc.binary_length(text).to_numpy().astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size), pa.array(n)], ["id", "n_bytes", "n_tokens"])
 

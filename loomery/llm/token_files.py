@@ -1,12 +1,14 @@
 """Token ids as Arrow IPC files of fixed-size lists.
 
-A shard file holds record batches of two columns, ids: fixed_size_list<uint16 or uint32>[L] and mask: fixed_size_list<bool>[L].
+A shard file holds record batches of two columns, ids: fixed_size_list<uint16 or uint32>[L] and mask: fixed_size_list<uint8>[L] (1 for ids of
+documents, 0 for padding; whole bytes, so that masks too are views of the file).
 Sequence k of a file is row k % rows of batch k // rows, so any sequence is found without a scan and read as a view of the
 mapped file. The ids of a shard's documents follow one another, each document closed by an end id; the last sequence
 is padded, with its mask off. Beside it lies an index file: the documents of the shard with their place in its ids.
 
-Documents are dealt to shards by ranges of doc_id, so that shards in order hold ascending ids (equal ids by text).
-Null ids come first; null texts are empty ones (one end id). Repeated rows stay. An empty table gives no files.
+Documents are dealt to shards by ranges of doc_id and the text's first characters, so that shards in order hold ascending ids (equal ids by text); the number of
+shards follows the bytes of all texts. Null ids come first; null and empty texts are one end id. Very long texts are whole; a reader holds the ids of one
+shard. Repeated rows stay; extra columns of any name are ignored. An empty table gives no files.
 A task writes under a name of its own, and only names that reached the manifest count, so a lost
 executor leaves at worst an unused file.
 """
@@ -25,13 +27,15 @@ from pyspark.sql import functions as F
 
 from . import words
 from .shared import shared_dir, stash, worker_state
-from .token_counts import PRE_TOKENS, load
+from .token_counts import PRE_TOKENS, load, shortcut_holds
 
 SEQUENCE = 2048
 #: Sequences in a record batch.
 ROWS = 256
 #: Pre-tokens that a worker remembers; beyond it the memory starts afresh. It only saves time.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
+#: Bytes of text in a shard, on average.
+SHARD_BYTES = 32 << 20
 
 
 def _open_out(path: str):
@@ -55,7 +59,7 @@ class SequenceWriter:
 
     def __init__(self, path: str, dtype: np.dtype, length: int = SEQUENCE, rows: int = ROWS, pad: int = 0):
         self.length, self.rows, self.pad, self.dtype = length, rows, pad, dtype
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
         self.sink = _open_out(path)
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.rest: list[np.ndarray] = []
@@ -74,7 +78,7 @@ class SequenceWriter:
             self.rest, self.held = [all_ids[cut:]], len(all_ids) - cut
 
     def _emit(self, ids: np.ndarray, real: int) -> None:
-        mask = np.arange(len(ids)) < real
+        mask = (np.arange(len(ids)) < real).astype(np.uint8)
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
@@ -99,19 +103,19 @@ class SequenceReader:
         return sum(self.counts)
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the file) and mask of sequence k."""
+        """Ids and mask of sequence k, both views of the file."""
         rows = self.counts[0]
         batch = self.file.get_batch(k // rows)
         at = (k % rows) * self.length
-        ids = batch.column("ids").values.slice(at, self.length).to_numpy(zero_copy_only=True)
-        return ids, batch.column("mask").values.slice(at, self.length).to_numpy(zero_copy_only=False)
+        return tuple(batch.column(c).values.slice(at, self.length).to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
 
     def ids(self) -> np.ndarray:
         """All ids whose mask is on."""
         parts = []
         for i in range(self.file.num_record_batches):
             b = self.file.get_batch(i)
-            parts.append(b.column("ids").values.filter(b.column("mask").values).to_numpy())
+            ids, mask = (b.column(c).values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+            parts.append(ids[mask == 1])
         return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
@@ -144,13 +148,19 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_s
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     order = [F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = rows.repartitionByRange(shards, order[0]) if shards else rows.repartitionByRange(order[0])
+    if not shards:
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(1, -(-total // SHARD_BYTES))
+    # A prefix sorts as its text does, and keeps the sample for the ranges small.
+    dealt = rows.repartitionByRange(shards, order[0], F.left("text", F.lit(32)).asc_nulls_first())
+    if not shortcut_holds(tokenizer_path):
+        raise ValueError("texts are cut at white space here, which this vocabulary file does not allow")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{folder}/shard-{uuid.uuid4().hex}"
         out, index, at, docs_seen, first = None, None, 0, 0, None
         for batch in batches:
-            for part in words.slices(batch, "text", 8 << 20):
+            for part in words.slices(batch, "text", 4 << 20):
                 if out is None:
                     out, first = SequenceWriter(f"{name}.arrow", dtype, length), part.column("id").slice(0, 1)
                     index_sink = _open_out(f"{name}.index.arrow")
@@ -212,7 +222,7 @@ def read_sequences(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 k = 0
                 for i in range(f.num_record_batches):
                     b = f.get_batch(i)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * b.num_rows), pa.array(np.arange(k, k + b.num_rows)), pc.cast(b.column("ids"), pa.list_(pa.int64())), pc.cast(b.column("mask"), pa.list_(pa.bool_()))], ["path", "k", "ids", "mask"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * b.num_rows), pa.array(np.arange(k, k + b.num_rows)), pc.cast(b.column("ids"), pa.list_(pa.int64())), pc.cast(b.column("mask"), pa.list_(pa.int32()))], ["path", "k", "ids", "mask"])
                     k += b.num_rows
 
-    return manifest.select("path").mapInArrow(read, "path string, k long, ids array<long>, mask array<boolean>")
+    return manifest.select("path").mapInArrow(read, "path string, k long, ids array<long>, mask array<int>")

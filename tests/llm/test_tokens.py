@@ -5,10 +5,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from tokenizers import Tokenizer
 
 from loomery.llm.plans import op7_arrow_tokens, op9_token_counts
-from loomery.llm.token_counts import with_token_counts
+from loomery.llm.token_counts import shortcut_holds, with_token_counts
 from loomery.llm.token_files import SequenceReader, read_documents, read_sequences, write_token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +37,22 @@ def test_counts_equal_the_library(odd):
     assert got == {(None if i == 3 else i): (len((t or "").encode()), len(_ids(t))) for i, t in enumerate(ODD)}
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_other_vocabularies_are_counted_by_their_library(odd, name):
+    path = public_tokenizers.path(name)
+    if name.endswith(".json"):
+        library = Tokenizer.from_file(path)
+        count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    else:
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        count = lambda t: len(library.encode(t))
+    got = {r.doc_id: r.n_tokens for r in with_token_counts(odd, path).collect()}
+    assert got == {(None if i == 3 else i): count(t or "") for i, t in enumerate(ODD)}
+    assert shortcut_holds(PATH) and not shortcut_holds(path)
+    with pytest.raises(ValueError):
+        write_token_files(odd, path, 2, 50_257)
+
+
 def test_counts_over_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
     got = op9_token_counts.query(spark, sf).toPandas().set_index("doc_id")
@@ -69,7 +86,7 @@ def test_odd_rows_in_several_shards(odd, spark):
     flat = reader.ids()
     for k in range(len(reader)):
         ids, mask = reader.sequence(k)
-        assert len(ids) == 16 and (ids[mask] == flat[k * 16 : k * 16 + 16]).all()
+        assert len(ids) == len(mask) == 16 and set(mask) <= {0, 1} and ids.base is not None and mask.base is not None and (ids[mask == 1] == flat[k * 16 : k * 16 + 16]).all()
     assert read_sequences(spark, manifest).count() == sum(len(SequenceReader(r.path)) for r in rows)
 
 
