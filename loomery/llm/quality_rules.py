@@ -16,6 +16,7 @@ are ignored (only id and text are read); an empty table gives an empty result an
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -61,21 +62,29 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_upper, n_lines and n_dup_lines (of lines with a word), n_repeat_words."""
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
-    cut = own.select("id", "text", words_of(F.col("text")).alias("words"), lines.alias("lines"))
-    return cut.select(
-        "id",
-        F.size("words").cast("long").alias("n_words"),
-        _without(F.col("text"), _SPACES).cast("long").alias("word_chars"),
-        (F.length("text") - _without(F.col("text"), _SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.length("text") - _without(F.col("text"), _UPPER)).cast("long").alias("n_upper"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-    )
+STATS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+def stats_of(text: Column) -> Column:
+    """A struct of STATS of a text: words, their characters, symbols, capitals, lines and repeated lines (of lines with a word), words in repeated windows."""
+    text = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACES, "")) > 0)
+
+    def struct(w: Column, rows: Column) -> Column:
+        n_lines = F.size(rows)
+        values = (
+            F.size(w), _without(text, _SPACES), F.length(text) - _without(text, _SYMBOLS), F.length(text) - _without(text, _UPPER),
+            n_lines, n_lines - F.size(F.array_distinct(rows)), repeated_words(w),
+        )
+        return F.struct(*[v.cast("long").alias(name) for name, v in zip(STATS, values, strict=True)])
+
+    return let(words_of(text), lambda w: let(lines, lambda rows: struct(w, rows)))
+
+
+def within(stats: str, sql: str) -> Column:
+    """An SQL expression over the names in STATS, in which the struct column stats is read once, so that nothing moves or copies its computation."""
+    named = re.sub(r"\b(" + "|".join(STATS) + r")\b", r"s.\1", sql)
+    return F.expr(f"get(transform(array({stats}), s -> {named}), 0)")
 
 
 @dataclass(frozen=True)
@@ -142,29 +151,25 @@ def fit_votes(counts: dict[tuple[int, ...], int], n_rules: int, rounds: int = 10
 
 
 def _voted(docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
-    vote = [F.when(F.expr(r.bad), -1).when(F.expr(r.good), 1).otherwise(0).cast("tinyint") for r in rules]
-    return text_stats(docs, id_col, text_col).withColumn("votes", F.array(*vote))
+    own = docs.select(F.col(id_col).alias("id"), stats_of(F.col(text_col)).alias("stats"))
+    vote = ", ".join(f"CAST(CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END AS TINYINT)" for r in rules)
+    both = within("stats", f"named_struct('votes', array({vote}), 'stats', s)")
+    return own.select("id", both.alias("b")).select("id", "b.stats.*", "b.votes")
 
 
-def _fitted(voted: DataFrame, n_rules: int) -> VoteModel:
-    return fit_votes({tuple(r.votes): r["count"] for r in voted.groupBy("votes").count().collect()}, n_rules)
+def _fitted(votes: DataFrame, n_rules: int) -> VoteModel:
+    return fit_votes({tuple(r.votes): r["count"] for r in votes.groupBy("votes").count().collect()}, n_rules)
 
 
 def fit_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> VoteModel:
     """The model of how the rules vote on all documents. Nothing is written."""
-    return _fitted(_voted(docs, text_col, text_col, rules), len(rules))
+    return _fitted(_voted(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id", "text", rules).select("votes"), len(rules))
 
 
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5, model: VoteModel | None = None) -> DataFrame:
-    """id, the statistics, votes (array in the order of rules), quality (posterior of good) and good (quality >= least).
-
-    Without a model, one is fitted to these documents, whose ids, statistics and votes are written for it. With a model nothing is written, and id_col
-    may be as wide as a struct of the whole row.
-    """
-    voted = _voted(docs, id_col, text_col, rules)
-    if model is None:
-        voted = stash(voted, "votes")
-        model = _fitted(voted, len(rules))
+def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
+    """id, the statistics, votes (array in the order of rules), quality (posterior of good) and good (quality >= least)."""
+    voted = stash(_voted(docs, id_col, text_col, rules), "votes")
+    model = _fitted(voted, len(rules))
     odds = F.lit(math.log(model.prior / (1 - model.prior)))
     for j, w in enumerate(model.weights()):
         odds = odds + F.get(F.array(*[F.lit(float(x)) for x in w]), F.get("votes", F.lit(j)) + 1)
@@ -172,6 +177,18 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return voted.withColumn("quality", quality).withColumn("good", F.col("quality") >= least).withColumnRenamed("id", id_col)
 
 
+def keep_good(docs: DataFrame, model: VoteModel, text_col: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
+    """The rows that a model finds good and that don't fail the rule of thumb. Nothing is written or shuffled; the texts are read once more."""
+    terms = [f"CAST({math.log(model.prior / (1 - model.prior))!r} AS DOUBLE)"]
+    terms += [f"CASE WHEN {r.bad} THEN CAST({bad!r} AS DOUBLE) WHEN {r.good} THEN CAST({good!r} AS DOUBLE) ELSE 0D END" for r, (bad, _, good) in zip(rules, model.weights(), strict=True)]
+    good = within("stats", f"({' + '.join(terms)}) >= {math.log(least / (1 - least))!r}D AND NOT ({BASE_FAILED})")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), stats_of(docs[text_col]).alias("stats"))
+    return own.filter(good).select("row.*")
+
+
+#: The rule of thumb that holds beside the votes: too short, or mostly repeated word windows.
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
+
+
 def base_failed() -> Column:
-    """The rule of thumb that holds beside the votes: too short, or mostly repeated word windows."""
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return F.expr(BASE_FAILED)

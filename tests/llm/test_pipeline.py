@@ -47,6 +47,29 @@ def test_stages(spark):
         start += len(ids)
 
 
+#: Names that the stages and operators use inside.
+INSIDE = ["row", "h1", "h2", "key", "id", "k", "k1", "bad_id", "bad_h", "stats", "s", "votes", "n_words", "copies", "times", "part", "n", "kept", "component_id", "place", "source_size", "size", "segment", "spans", "copy"]
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    good = " ".join(f"word{i} goes here" for i in range(60))
+    rows = [(1, "a b"), (2, ""), (3, None), (None, good), (4, good + " end"), (4, good + " end"), (5, good[::-1]), (5, good.upper()), (6, "y " * 400_000), (7, " ".join(str(k * k) for k in range(150_000)))]
+    docs = spark.createDataFrame([(*r, "en", None if i % 2 else "s", 5) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("clash") for c in INSIDE}).withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id")))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        kept[name] = sorted((r.doc_id or 0, (r.text or "")[:20]) for r in out.collect())
+    texts = {k: (t or "")[:20] for k, t in rows}
+    assert kept["quality_rules"] and all(t for _, t in kept["quality_rules"])
+    # Of id 4's equal rows one stays. An id is one document: a text of id 5 is like id 4's, so id 5 goes. The text without an id is linked with nothing.
+    assert kept["minhash_near_dedup"] == sorted((k or 0, (t or "")[:20]) for k, t in dict(rows).items() if k != 5)
+    assert len(kept["benchmark_decontamination"]) == len(rows)
+    assert set(kept["mix_sources"]) <= {(k or 0, (t or "")[:20]) for k, t in rows} and texts[7] in {t for _, t in kept["mix_sources"]}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
 def test_run_and_empty(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
