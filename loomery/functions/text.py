@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGES = r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$"
+#: Fixed value: the white space of the trimming rules, as a character class (U+0085 is none of it).
+WHITE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_EDGES = rf"^{WHITE}+|{WHITE}+\z"
 #: Replacements from HTML to text, in this order (so doubly escaped entities decode twice).
 HTML_STEPS = (
     (r"(?is)<style.*?</style>", " "),
@@ -22,6 +24,14 @@ HTML_STEPS = (
     (r"(?i)&#39;", "'"),
 )
 
+#: Line ends, blanks before them, empty lines in a row.
+LINE_ENDS = ((r"\r\n", "\n"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"))
+#: Where a mail event may nest its content, and the names of text, markup and preview, in order.
+NESTED = ("data", "email", "message", "body", "content")
+TEXT_KEYS = ("text", "plain", "plaintext", "text_body", "body_text", "raw_text", "body")
+HTML_KEYS = ("html", "html_body", "body_html", "raw_html")
+PREVIEW_KEYS = ("snippet", "preview", "summary")
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Computes value once and uses it in body any number of times; keeps generated code small."""
@@ -41,11 +51,11 @@ def html_to_text(c: Column) -> Column:
 
 def normalize_body(c: Column, most: int = 3000) -> Column:
     """Unix line ends, no blanks at line ends, at most one empty line in a row, trimmed, clipped, fences defused; null if nothing is left."""
-    for pattern, to in ((r"\r\n", "\n"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
+    for pattern, to in LINE_ENDS:
         c = F.regexp_replace(c, pattern, to)
 
     def clip(t: Column) -> Column:
-        cut = F.when(F.length(t) > most, F.concat(F.regexp_replace(F.left(t, F.lit(most)), r"(?U)\s+$", ""), F.lit("\n..."))).otherwise(t)
+        cut = F.when(F.length(t) > most, F.concat(F.regexp_replace(F.left(t, F.lit(most)), rf"{WHITE}+\z", ""), F.lit("\n..."))).otherwise(t)
         return F.replace(cut, F.lit("```"), F.lit("'''"))
 
     return let(trim(c), lambda t: F.when(t != "", clip(t)))
@@ -62,10 +72,26 @@ def body_of(text: Column, html: Column, preview: Column, most: int = 3000) -> Co
     return let(chosen, lambda x: normalize_body(F.when(x["markup"], html_to_text(x["t"])).otherwise(x["t"]), most))
 
 
-def pick_string(records: list[Column], keys: list[str]) -> Column:
-    """The first string that isn't blank: record by record, and key by key in each. Records are JSON texts."""
-    found = [let(F.get_json_object(r, f"$.{k}"), lambda v: F.when(trim(v) != "", v)) for r in records for k in keys]
-    return F.coalesce(*found)
+def pick_string(records: list[Column], keys: tuple[str, ...]) -> Column:
+    """The first string that isn't blank: record by record, and key by key in each. Records are variants; other kinds of values are passed over."""
+
+    def found(r: Column, k: str) -> Column:
+        # Numbers would be cast to strings, so the kind is asked for first.
+        is_text = F.schema_of_variant(F.try_variant_get(r, f"$.{k}", "variant")) == "STRING"
+        return F.when(is_text, let(F.try_variant_get(r, f"$.{k}", "string"), lambda v: F.when(trim(v) != "", v)))
+
+    return F.coalesce(*[found(r, k) for r in records for k in keys])
+
+
+def records_of(event: Column) -> list[Column]:
+    """A variant and the objects nested in it under NESTED."""
+    return [event, *[F.try_variant_get(event, f"$.{k}", "variant") for k in NESTED]]
+
+
+def mail_body(event: Column, most: int = 3000) -> Column:
+    """The body of a mail event (a variant): text, else markup as text, else the preview, from the event and its nested objects."""
+    records = records_of(event)
+    return body_of(*[pick_string(records, keys) for keys in (TEXT_KEYS, HTML_KEYS, PREVIEW_KEYS)], most)
 
 
 def truncated(c: Column, most: int) -> tuple[Column, Column]:
@@ -73,10 +99,17 @@ def truncated(c: Column, most: int) -> tuple[Column, Column]:
     return F.left(c, F.lit(most)), F.coalesce(F.length(c) > most, F.lit(False))
 
 
+def json_text(json: Column) -> Column:
+    """A JSON text written compactly, its keys in the order they came in; null if it doesn't parse."""
+    value = F.try_parse_json(json)
+    nested = F.ltrim(json).rlike(r"^\s*[\[{]")
+    return F.when(value.isNotNull(), F.when(nested, F.get_json_object(json, "$")).otherwise(F.to_json(value)))
+
+
 def json_or_text(json: Column, text: Column) -> Column:
     """A JSON value that parses and isn't null, else the text."""
     value = F.try_parse_json(json)
-    return F.coalesce(F.when(value.isNotNull() & ~F.is_variant_null(value), F.to_json(value)), text)
+    return F.coalesce(F.when(value.isNotNull() & ~F.is_variant_null(value), json_text(json)), text)
 
 
 def percent_encode(c: Column) -> Column:
@@ -94,10 +127,10 @@ def session_key(c: Column) -> Column:
 
 
 def allowed_redirect(uri: Column) -> Column:
-    """https anywhere, http on loopback hosts, never with a fragment."""
-    scheme, host = F.lower(F.regexp_extract(uri, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lower(F.regexp_extract(uri, r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    plain = ~F.coalesce(uri.rlike("#."), F.lit(False)) & (host != "")
-    return F.coalesce(plain & ((scheme == "https") | ((scheme == "http") & host.isin("localhost", "127.0.0.1"))), F.lit(False))
+    """https anywhere, http on loopback hosts, never with a fragment. White space, backslashes and hosts of odd characters are refused, not repaired."""
+    shape = r"^(?i)(https?)://(?:[^/?#@\\\s\p{Cntrl}]*@)?([a-z0-9](?:[a-z0-9.-]*[a-z0-9])?|\[[0-9a-f:.]+\])(?::\d{0,5})?(?:[/?][^#\\\s\p{Cntrl}]*)?#?\z"
+    scheme, host = (F.lower(F.regexp_extract(uri, shape, k)) for k in (1, 2))
+    return F.coalesce((scheme == "https") | ((scheme == "http") & host.isin("localhost", "127.0.0.1")), F.lit(False))
 
 
 def hash_bits(hex_: Column, n: int = 128) -> Column:
@@ -108,6 +141,7 @@ def hash_bits(hex_: Column, n: int = 128) -> Column:
 
 def frontmatter(raw: Column) -> Column:
     """A struct of data (map) and body, null without a block or with a line that has no colon. Comments and blank lines are skipped; the last of equal keys counts."""
+    # Fixed value: the shape of a file with a header.
     block = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
     lines = F.filter(F.transform(F.split(F.regexp_extract(raw, block, 1), r"\r?\n"), trim), lambda x: (x != "") & ~x.startswith("#"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import json_or_text, truncated
+from ..functions.text import json_or_text, json_text, truncated
 
 
 def fetch_result(pages: DataFrame, most: int = 60_000) -> DataFrame:
@@ -18,7 +18,7 @@ def json_result(rows: DataFrame, body: str, most: int = 60_000) -> DataFrame:
     """The JSON value where the body parses; the text only where it doesn't."""
     value = F.try_parse_json(F.col(body))
     ok = value.isNotNull()
-    return rows.withColumn("json_parse_ok", ok).withColumn("json", F.to_json(value)).withColumn("body_text", F.when(~ok, F.left(body, F.lit(most))))
+    return rows.withColumn("json_parse_ok", ok).withColumn("json", json_text(F.col(body))).withColumn("body_text", F.when(~ok, F.left(body, F.lit(most))))
 
 
 def network_calls(calls: Column, include_bodies: bool, most: int = 4000) -> Column:
@@ -34,6 +34,12 @@ def network_calls(calls: Column, include_bodies: bool, most: int = 4000) -> Colu
     return F.transform(calls, one)
 
 
+def first_events(events: DataFrame, key: list[str], order: list[str], most: int) -> DataFrame:
+    """The first `most` events of each key. Spark keeps no more than that of a key in each task before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return events.withColumn("place", place).filter(F.col("place") <= most).drop("place")
+
+
 def stream_values(values: Column, most_events: int, most_chars: int) -> Column:
     """The first events of a stream, each value cut."""
     return F.transform(F.slice(values, 1, most_events), lambda v: F.struct(*[x.alias(n) for x, n in zip(truncated(v, most_chars), ("value", "truncated"), strict=True)]))

@@ -15,7 +15,7 @@ LAST = 2**53 - 1
 def merged_rank() -> list[Column]:
     """Featured place and popularity rank on one scale, then score, title and id."""
     place = F.coalesce(F.col("featured").cast("long"), F.col("popularity_rank").cast("long"), F.lit(LAST))
-    return [place.asc(), F.coalesce("popularity_score", F.lit(-1.0)).desc(), F.col("title").asc(), F.col("id").asc()]
+    return [place.asc(), F.coalesce("popularity_score", F.lit(-1.0)).desc(), F.collate("title", "UNICODE").asc(), F.col("id").asc()]
 
 
 def stored_order() -> list[Column]:
@@ -23,14 +23,46 @@ def stored_order() -> list[Column]:
     return [F.asc_nulls_last("featured"), F.asc_nulls_last("popularity_rank"), F.desc_nulls_last("popularity_score"), F.asc("name"), F.asc("id")]
 
 
+def placed(tools: DataFrame) -> DataFrame:
+    """Adds each tool's place in the stored order. Places are counted within a pair of featured place and rank, and the few pairs before are added up."""
+    pair = ["featured", "popularity_rank"]
+    before = Window.orderBy(*[F.asc_nulls_last(c) for c in pair]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = tools.groupBy(*pair).count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).select(F.col(pair[0]).alias("f"), F.col(pair[1]).alias("r"), "start")
+    within = F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc_nulls_last("popularity_score"), "name", "id"))
+    joined = tools.withColumn("within", within).join(counts, F.col("featured").eqNullSafe(F.col("f")) & F.col("popularity_rank").eqNullSafe(F.col("r")))
+    return joined.withColumn("place", F.col("start") + F.col("within")).drop("f", "r", "start", "within")
+
+
+def facet(tools: DataFrame, category: str | None) -> str | None:
+    """The asked category if the catalogue has it, else none (so no filter)."""
+    return category if category and not tools.filter(F.col("category") == category).isEmpty() else None
+
+
+def storefront(tools: DataFrame, category: str | None = None, least: int = 9, k: int = 6) -> DataFrame:
+    """Tools with their section: a popular strip of k only without a facet and from `least` tools on, else all in the grid."""
+    active = facet(tools, category)
+    if active:
+        return tools.filter(F.col("category") == active).withColumn("section", F.lit("grid"))
+    if tools.limit(least).count() < least:
+        return tools.withColumn("section", F.lit("grid"))
+    strip = F.broadcast(popular(tools, k).select("id", F.lit("popular").alias("section")))
+    return tools.join(strip, "id", "left").withColumn("section", F.coalesce("section", F.lit("grid")))
+
+
 def search(tools: DataFrame, query: str | None = None, category: str | None = None, limit: int = 8) -> DataFrame:
-    """The tools that hold most of the query's terms (repeated terms count again), best first. No query: all tools, score 0."""
+    """The tools that hold most of the query's terms (repeated terms count again), best first. No query: all tools, score 0.
+
+    Where the catalogue has keywords, they are searched too; where it has a description for search engines, credits, an input schema or examples, the
+    result shows them.
+    """
     if not 1 <= limit <= 20:
         raise ValueError("limit must be between 1 and 20")
     terms = [t for t in re.split(r"\s+", (query or "").strip().lower()) if t]
     if category:
         tools = tools.filter(F.col("category") == category)
-    text = F.lower(F.concat_ws(" ", "name", "title", "description", category_label(F.col("category"))))
+    has = lambda c: c in tools.columns
+    keywords = [F.array_join("keywords", " ")] if has("keywords") else []
+    text = F.lower(F.concat_ws(" ", "name", "title", "description", *keywords, category_label(F.col("category"))))
     matches = F.lit(0)
     for t in terms:
         matches = matches + F.contains(text, F.lit(t)).cast("int")
@@ -38,7 +70,9 @@ def search(tools: DataFrame, query: str | None = None, category: str | None = No
     if terms:
         found = found.filter("matches > 0")
     best = found.orderBy(F.desc("matches"), *merged_rank()).limit(limit)
-    return best.select("id", "name", "title", "category", category_label(F.col("category")).alias("category_label"), "matches")
+    shown = [F.coalesce("seo_description", "description").alias("description")] if has("seo_description") else []
+    shown += [c for c in ("credits_estimate", "input_schema", "examples") if has(c)]
+    return best.select("id", "name", "title", "category", category_label(F.col("category")).alias("category_label"), *shown, "matches")
 
 
 def popular(tools: DataFrame, k: int = 6) -> DataFrame:
@@ -55,7 +89,7 @@ def categories(tools: DataFrame) -> DataFrame:
 
     A category's place follows its best tool. Categories are ranked from one row each; only the places within a category sort it.
     """
-    key = F.struct(F.coalesce(F.col("featured").cast("long"), F.col("popularity_rank").cast("long"), F.lit(LAST)).alias("a"), (-F.coalesce("popularity_score", F.lit(-1.0))).alias("b"), F.col("title").alias("c"), F.col("id").alias("d"))
+    key = F.struct(F.coalesce(F.col("featured").cast("long"), F.col("popularity_rank").cast("long"), F.lit(LAST)).alias("a"), (-F.coalesce("popularity_score", F.lit(-1.0))).alias("b"), F.collate("title", "UNICODE").alias("c"), F.col("id").alias("d"))
     groups = tools.groupBy("category").agg(F.count("*").alias("tool_count"), F.min(key).alias("best"))
     ranked = groups.select("category", "tool_count", F.row_number().over(Window.orderBy("best")).alias("category_place"))
     place = F.row_number().over(Window.partitionBy("category").orderBy(*merged_rank()))

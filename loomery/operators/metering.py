@@ -63,10 +63,20 @@ def flags_after(usage: DataFrame, alerts: DataFrame, delivered: Column) -> DataF
     return out.withColumn("notified_80", F.col("notified_80") | F.col("state").isNotNull()).withColumn("notified_100", F.col("notified_100") | F.coalesce(F.col("state") == "cap", F.lit(False))).drop("state")
 
 
-def admit(events: DataFrame, quota: int, key: list[str], order: list[str]) -> DataFrame:
-    """The first `quota` calls of each key are admitted, the rest refused."""
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return events.withColumn("call", place.cast("long")).withColumn("admitted", F.col("call") <= quota)
+def admit(events: DataFrame, quota: int, key: list[str], order: list[str], piece: Column) -> DataFrame:
+    """The first `quota` calls of each key are admitted, the rest refused.
+
+    piece never falls along the order (a day, say). Calls are numbered within a piece, and the pieces' counts before it are added, so no task sorts all
+    calls of a key.
+    """
+    cut = events.withColumn("__piece", piece)
+    counts = cut.groupBy(*key, "__piece").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*key).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("__piece").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy(*key, "__piece").orderBy(*order))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key] + [F.col("__piece").eqNullSafe(F.col("__p"))]
+    joined = cut.withColumn("__place", place).join(starts, same).withColumn("call", (F.col("__start") + F.col("__place")).cast("long"))
+    return joined.select(*events.columns, "call", (F.col("call") <= quota).alias("admitted"))
 
 
 def progress(calls: Column, quota: Column) -> Column:

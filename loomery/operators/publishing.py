@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trim
+
 # Names that are taken already, or kept for later.
 RESERVED = (
     "search_tools", "run_tool", "fetch_url", "scrape_json", "screenshot_url", "discover_apis", "get_clearance",
@@ -13,13 +15,17 @@ RESERVED = (
 # Output fields to hide (envelope and noise), and those to lead with, in order.
 HIDDEN = ("query", "count", "ok", "results", "places", "items", "lat", "lng", "latitude", "longitude", "id", "uuid", "index")
 LEADING = ("name", "title", "rating", "reviews", "price", "phone", "website", "email", "address", "url", "snippet", "text", "author", "byline", "category")
-# Patterns of a manifest's fields.
-NAME, VERSION, CATEGORY, ENTRY = r"^[a-z][a-z0-9_]{2,63}$", r"^\d+\.\d+\.\d+$", r"^[a-z][a-z0-9-]{1,31}$", r"^src/.+\.(ts|js)$"
+# Patterns of a manifest's and a payload's fields (\z: a line end after the last character is no match).
+NAME, VERSION, CATEGORY, ENTRY = r"^[a-z][a-z0-9_]{2,63}\z", r"^[0-9]+\.[0-9]+\.[0-9]+\z", r"^[a-z][a-z0-9-]{1,31}\z", r"^src/[^\n\r\x{2028}\x{2029}]+\.(ts|js)\z"
+SHA256, DIRECTORY, SLUG, DATE, UUID = r"^[0-9a-f]{64}\z", r"^tools/[A-Za-z0-9._-]+\z", r"^[a-z0-9]+(?:-[a-z0-9]+)*\z", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z", r"(?i)^[0-9a-f-]{36}\z"
+# What an inline SVG must not hold.
+SVG_BANNED = (r"(?i)<\s*(script|foreignObject|iframe|object|embed|link|style)\b", r"(?i)\son[a-z]+\s*=", r"(?i)\b(?:href|xlink:href|src)\s*=", r"(?i)url\(\s*['\"]?(?!#)")
+MOST_BUNDLE = 2 * 1024 * 1024
 
 
 def semver(c: Column) -> Column:
     """A version as an array of numbers, which compares as versions do."""
-    return F.transform(F.split(c, r"\."), lambda x: F.try_to_number(x, F.lit("999999999")).cast("long"))
+    return F.transform(F.split(c, r"\."), lambda x: x.try_cast("long"))
 
 
 def between(length: Column, low: int, high: int) -> Column:
@@ -43,19 +49,23 @@ def first_failing(rules: dict[str, Column], otherwise: Column) -> Column:
 
 def safe_svg(c: Column) -> Column:
     """An inline SVG without scripts, handlers, links or outside references."""
-    t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    bad = (r"(?i)<\s*(script|foreignObject|iframe|object|embed|link|style)\b", r"(?i)\son[a-z]+\s*=", r"(?i)\b(?:href|xlink:href|src)\s*=", r"(?i)url\(\s*['\"]?(?!#)")
-    ok = t.rlike(r"(?i)^<svg[\s>]") & t.rlike(r"(?i)</svg>$")
-    for pattern in bad:
+    t = trim(c)
+    ok = t.rlike(r"(?i)^<svg[\s>]") & t.rlike(r"(?i)</svg>\z")
+    for pattern in SVG_BANNED:
         ok = ok & ~t.rlike(pattern)
     return F.coalesce(ok, F.lit(False))
 
 
 def tool_name(path: Column) -> Column:
-    """The last part of a path, with underscores for hyphens."""
+    """The last part of a directory's path, with underscores for hyphens."""
     return F.replace(F.element_at(F.split(path, "/"), -1), F.lit("-"), F.lit("_"))
 
 
+def repo_tool_name(repo: Column) -> Column:
+    """The second part of a repository's name (empty without one), with underscores for hyphens."""
+    return F.replace(F.coalesce(F.get(F.split(repo, "/"), F.lit(1)), F.lit("")), F.lit("-"), F.lit("_"))
+
+
 def publish_verdict(existing_version: Column, existing_hash: Column, version: Column, sha: Column) -> Column:
     """Versions only grow: a lower one is rejected; an equal one is a repeat if its content is equal, else a conflict."""
     old, new = semver(existing_version), semver(version)
@@ -67,7 +77,8 @@ def leading_fields(fields: Column, limit: int = 5) -> Column:
     order = F.array(*[F.lit(x) for x in LEADING])
     shown = F.filter(fields, lambda f: ~f.isin(*HIDDEN))
     place = lambda f: F.when(F.array_position(order, f) > 0, F.array_position(order, f)).otherwise(F.lit(len(LEADING) + 1).cast("long"))
-    return F.slice(F.transform(F.array_sort(F.transform(shown, lambda f: F.struct(place(f).alias("p"), f.alias("f")))), lambda x: x["f"]), 1, limit)
+    ranked = F.array_sort(F.transform(shown, lambda f: F.struct(place(f).alias("p"), F.collate(f, "UNICODE").alias("by"), f.alias("f"))))
+    return F.slice(F.transform(ranked, lambda x: x["f"]), 1, limit)
 
 
 def schema_fields(schemas: DataFrame, key: str, props: str, required: str) -> DataFrame:
@@ -89,20 +100,35 @@ def schema_fields(schemas: DataFrame, key: str, props: str, required: str) -> Da
     return own.unionByName(inner.select(key, F.concat_ws(".", "name", "sub").alias("name"), kind(F.col("m")).alias("type"), both.alias("required")))
 
 
-def coerce(value: Column, kind: Column) -> Column:
-    """Form text to a typed value, as a struct with one field set; text that isn't a number gives null."""
-    lines = F.filter(F.transform(F.split(value, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+def number_of(text: Column) -> Column:
+    """The number that a form text stands for: decimal, with an exponent, hexadecimal, or Infinity; null for any other text, and for a blank one."""
+    t = trim(text)
+    decimal = t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z")
+    return F.when(decimal, t.try_cast("double")).when(t.rlike(r"^[+-]?Infinity\z"), F.when(t.startswith("-"), float("-inf")).otherwise(float("inf"))).when(t.rlike(r"^0[xX][0-9a-fA-F]{1,13}\z"), F.conv(F.substr(t, F.lit(3)), 16, 10).cast("double"))
+
+
+def coerce(value: Column, kind: Column, items: Column | None = None) -> Column:
+    """Form text to a typed value, as a struct with one field set at most.
+
+    Text is trimmed; a blank one, and one that isn't a number where a number is wanted, gives nothing. Arrays are lines that aren't blank, typed by items
+    (string if not given); lines that are no numbers are dropped from arrays of numbers.
+    """
+    items = F.lit("string") if items is None else items
+    lines = F.filter(F.transform(F.split(value, "\n"), trim), lambda x: x != "")
+    some, number, text = F.when((kind == "array") & (F.size(lines) > 0), lines), kind.isin("number", "integer"), trim(value)
     return F.struct(
-        F.when(kind == "boolean", value == "true").alias("as_boolean"),
-        F.when(kind.isin("number", "integer"), value.try_cast("double")).alias("as_number"),
-        F.when(kind == "array", lines).alias("as_array"),
-        F.when(kind == "string", value).alias("as_string"),
+        F.when(kind == "boolean", F.coalesce(value == "true", F.lit(False))).alias("as_boolean"),
+        F.when(number, number_of(value)).alias("as_number"),
+        F.when(~items.isin("number", "integer", "boolean"), some).alias("as_array"),
+        F.when(items.isin("number", "integer"), F.filter(F.transform(some, number_of), lambda x: x.isNotNull())).alias("as_numbers"),
+        F.when(items == "boolean", F.transform(some, lambda x: x == "true")).alias("as_booleans"),
+        F.when((kind == "string") & (text != ""), text).alias("as_string"),
     )
 
 
 def reconcile(tools: DataFrame, repos: DataFrame, key: str) -> DataFrame:
-    """delist where the repository is missing or archived; an uncertain lookup keeps the tool."""
-    state = F.when(F.col("known").isNull() | (F.col("archived")), "delist").otherwise("keep")
+    """delist where the repository is missing or archived; a lookup without an answer (archived is null) keeps the tool."""
+    state = F.when(F.col("known").isNull() | F.coalesce("archived", F.lit(False)), "delist").otherwise("keep")
     return tools.join(repos.withColumn("known", F.lit(True)), key, "left").withColumn("action", state).drop("known")
 
 

@@ -2,32 +2,70 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .metering import PLANS, plan_value
 
 
+def folded(rows: DataFrame, key: list[str], order: list[str], values: list[str], start: Callable[[], list], step: Callable[..., None], out: str) -> DataFrame:
+    """A fold over the rows of each key in order, one row for each key: the key and out's columns, which are the start of the state list.
+
+    The rows of a key are streamed through a task in sorted batches and never held together, so a key with most of the rows costs time, not memory.
+    """
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), out])
+    n_key, n_out = len(key), len(out.split(","))
+    arrow = to_arrow_schema(rows.select(*key).schema)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        names = [*arrow.names, *[x.split()[0] for x in out.split(",")]]
+
+        def packed() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) if done else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), arrow.field(i).type if i < n_key else pa.int64()) for i, c in enumerate(columns)], names)
+
+        now, state = None, None
+        for batch in batches:
+            for k, row in zip(zip(*[batch.column(i).to_pylist() for i in range(n_key)], strict=True), zip(*[c.to_pylist() for c in batch.columns[n_key:]], strict=True), strict=True):
+                if k != now or state is None:
+                    if state is not None:
+                        done.append((*now, *state[:n_out]))
+                    now, state = k, start()
+                step(state, *row)
+            if len(done) > 10_000:
+                yield packed()
+                done.clear()
+        if state is not None:
+            done.append((*now, *state[:n_out]))
+        yield packed()
+
+    return rows.select(*key, *values).repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(fold, schema)
+
+
 def rate_limit(events: DataFrame, key: str, micros: str, order: str, limit: int, window_us: int) -> DataFrame:
     """One row for each key: accepted and rejected runs of a sliding window that refused runs don't fill.
 
     Acceptance depends on what was accepted before, so it is a fold over the key's ordered times, not a window frame. The state is the
-    last `limit` accepted times. A key's times (8 bytes each) are in one array; the streaming form bounds that too.
+    last `limit` accepted times.
     """
-    times = F.array_sort(F.collect_list(F.struct(F.col(micros).alias("t"), F.col(order).alias("i"))))
-    grouped = events.groupBy(key).agg(F.transform(times, lambda x: x["t"]).alias("times"))
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("rejected"))
 
-    def step(s: Column, t: Column) -> Column:
-        kept = F.filter(s["kept"], lambda x: t - x < window_us)
-        full = F.size(kept) >= limit
-        return F.struct(
-            F.when(full, kept).otherwise(F.concat(kept, F.array(t))).alias("kept"),
-            (s["accepted"] + F.when(full, 0).otherwise(1)).alias("accepted"),
-            (s["rejected"] + F.when(full, 1).otherwise(0)).alias("rejected"),
-        )
+    def step(s: list, t: int, _) -> None:
+        kept = s[2]
+        while kept and t - kept[0] >= window_us:
+            kept.popleft()
+        full = len(kept) >= limit
+        s[1 if full else 0] += 1
+        if not full:
+            kept.append(t)
 
-    return grouped.select(key, F.aggregate("times", start, step).alias("s")).select(key, "s.accepted", "s.rejected")
+    return folded(events, [key], [micros, order], [micros, order], lambda: [0, 0, deque()], step, "accepted long, rejected long")
 
 
 def latest_state(changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -40,7 +78,8 @@ def apply_subscription_changes(current: DataFrame, changes: DataFrame) -> DataFr
     """The subscriptions after the latest change of each customer.
 
     Internal accounts stay as they are. A cancelled one returns to the free tier, without period but with its customer id. Otherwise tier,
-    status and period follow the change; an unknown price gives no tier, no quota and 7 idle days. New customers with a user id are added.
+    status and period follow the change; an unknown price gives no tier, no quota and 7 idle days. New customers with a user id are added. Session limit, period end and subscription id
+    follow too where the snapshot has them; a cancel clears the last two.
     """
     free = {p[0]: p for p in PLANS}["free"]
     c = changes.select("customer_id", *[F.col(x).alias(f"new_{x}") for x in changes.columns if x != "customer_id"])
@@ -52,6 +91,9 @@ def apply_subscription_changes(current: DataFrame, changes: DataFrame) -> DataFr
         return F.when(touched & cancelled & old, if_cancelled).when(touched, if_changed).otherwise(F.col(before))
 
     none = F.lit(None)
+    # What a snapshot may hold besides.
+    more = {"session_limit": pick(F.lit(free[4]), F.coalesce(plan_value(tier, 4), F.lit(0)), "session_limit")} if "session_limit" in current.columns else {}
+    more |= {name: pick(none, F.col(f"new_{name}"), name) for name in ("period_end", "subscription_id") if name in current.columns}
     out = both.select(
         "customer_id",
         F.coalesce("user_id", "new_user_id").alias("user_id"),
@@ -60,6 +102,7 @@ def apply_subscription_changes(current: DataFrame, changes: DataFrame) -> DataFr
         pick(F.lit(free[3]), F.coalesce(plan_value(tier, 3), F.lit(0)), "quota").alias("quota"),
         pick(F.lit(free[5]), F.coalesce(plan_value(tier, 5), F.lit(7)), "idle_days").alias("idle_days"),
         pick(none.cast("timestamp_ntz"), F.col("new_period_start"), "period_start").alias("period_start"),
+        *[v.alias(name) for name, v in more.items()],
         (old | ~cancelled).alias("stays"),
     )
     return out.filter(F.col("user_id").isNotNull() & F.col("stays")).drop("stays")
@@ -76,16 +119,17 @@ def cache_status(requests: DataFrame, key: list[str], ts: str, order: str, ttl_u
 
     The last filling is the key's previous request that asked for caching and was no hit, so this is a fold over the key's requests.
     """
-    item = F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("i"), ttl_us.cast("long").alias("ttl"))
-    start = F.struct(F.lit(None).cast("long").alias("filled"), F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("miss"), F.lit(0).cast("long").alias("bypass"))
+    rows = requests.select(*key, F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"), F.col(order).alias("__i"), ttl_us.cast("long").alias("__ttl"))
 
-    def step(s: Column, x: Column) -> Column:
-        by, hit = x["ttl"] == 0, (x["ttl"] > 0) & F.coalesce(x["t"] - s["filled"] < x["ttl"], F.lit(False))
-        one = lambda c: F.when(c, 1).otherwise(0)
-        return F.struct(F.when(by | hit, s["filled"]).otherwise(x["t"]).alias("filled"), (s["hit"] + one(hit)).alias("hit"), (s["miss"] + one(~by & ~hit)).alias("miss"), (s["bypass"] + one(by)).alias("bypass"))
+    def step(s: list, t: int, _, ttl: int) -> None:
+        if not ttl:
+            s[2] += 1
+        elif s[3] is not None and t - s[3] < ttl:
+            s[0] += 1
+        else:
+            s[1], s[3] = s[1] + 1, t
 
-    grouped = requests.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    return grouped.select(*key, F.aggregate("all", start, step).alias("s")).select(*key, "s.hit", "s.miss", "s.bypass")
+    return folded(rows, key, ["__t", "__i"], ["__t", "__i", "__ttl"], lambda: [0, 0, 0, None], step, "hit long, miss long, bypass long")
 
 
 def set_where(table: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:

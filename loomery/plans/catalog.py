@@ -33,12 +33,38 @@ def catalog_search_category(spark, d):
 
 @query(
     "catalog_live_order",
-    f"WITH t AS ({TOOLS_SQL}) SELECT id, name, row_number() OVER (ORDER BY featured ASC NULLS LAST, popularity_rank ASC NULLS LAST, popularity_score DESC NULLS LAST, name, id) AS place FROM t WHERE popularity_score IS NOT NULL ORDER BY place LIMIT 50",
+    f"WITH t AS ({TOOLS_SQL}) SELECT id, name, row_number() OVER (ORDER BY featured ASC NULLS LAST, popularity_rank ASC NULLS LAST, popularity_score DESC NULLS LAST, name, id) AS place FROM t WHERE popularity_score IS NOT NULL",
 )
 def catalog_live_order(spark, d):
-    """The stored four-key order, first 50 (top-k, no full sort)."""
-    top = tools(spark, d).filter("popularity_score is not null").orderBy(*C.stored_order()).limit(50)
-    return top.select("id", "name", F.row_number().over(C.Window.orderBy(*C.stored_order())).cast("long").alias("place"))
+    """Every tool's place in the stored four-key order."""
+    return C.placed(tools(spark, d).filter("popularity_score is not null")).select("id", "name", "place")
+
+
+@query(
+    "catalog_storefront",
+    f"WITH t AS ({TOOLS_SQL}) SELECT id, CASE WHEN (SELECT count(*) FROM t) >= 9 AND id IN (SELECT id FROM t ORDER BY {MERGED} LIMIT 6) THEN 'popular' ELSE 'grid' END AS section FROM t",
+)
+def catalog_storefront(spark, d):
+    """The popular strip and the grid; an unknown facet is no filter."""
+    return C.storefront(tools(spark, d), "no such category").select("id", "section")
+
+
+_RICH = f"SELECT *, ['kw' || id % 7, 'Extra'] AS keywords, CASE WHEN id % 2 = 0 THEN 'seo ' || name END AS seo_description, (id % 50)::INT AS credits_estimate FROM ({TOOLS_SQL})"
+
+
+@query(
+    "catalog_search_full",
+    f"""
+WITH t AS ({_RICH}), h AS (SELECT *, lower(concat_ws(' ', name, title, description, array_to_string(keywords, ' '), {LABEL.format("category")})) AS hay FROM t), m AS (
+  SELECT *, contains(hay, 'kw3')::INT + contains(hay, 'extra')::INT + contains(hay, 'bolt')::INT AS matches FROM h)
+SELECT id, name, title, category, {LABEL.format("category")} AS category_label, coalesce(seo_description, description) AS description, credits_estimate, matches FROM m WHERE matches > 0 ORDER BY matches DESC, {MERGED} LIMIT 20""",
+)
+def catalog_search_full(spark, d):
+    """Search that reads keywords too and shows descriptions and credits."""
+    i = F.col("id")
+    keywords = F.array(F.concat(F.lit("kw"), i % 7), F.lit("Extra"))
+    rich = tools(spark, d).withColumns({"keywords": keywords, "seo_description": F.when(i % 2 == 0, F.concat(F.lit("seo "), "name")), "credits_estimate": (i % 50).cast("int")})
+    return C.search(rich, "KW3 extra bolt", None, 20)
 
 
 @query("catalog_popular_top6", f"WITH t AS ({TOOLS_SQL}) SELECT id, title, featured, popularity_rank FROM t ORDER BY {MERGED} LIMIT 6")
@@ -87,10 +113,10 @@ def category_labels(spark, d):
     return slugs.union(known).distinct().select("slug", category_label(F.col("slug")).alias("label"))
 
 
-@query("example_clip", "SELECT doc_id, CASE WHEN length(t) > 48 THEN left(t, 47) || '…' ELSE t END AS example FROM (SELECT doc_id, left(text, 40 + (doc_id % 12)::INT) AS t FROM documents)")
+@query("example_clip", "SELECT doc_id, CASE WHEN length(text) > 48 THEN left(text, 47) || '…' ELSE text END AS example FROM documents")
 def example_clip(spark, d):
     """Example values cut at 48 characters."""
-    return read(spark, d, "documents").select("doc_id", clipped(F.left("text", (40 + F.col("doc_id") % 12).cast("int"))).alias("example"))
+    return read(spark, d, "documents").select("doc_id", clipped(F.col("text")).alias("example"))
 
 
 @query("fk_embed_to_one", "SELECT s_suppkey, s_name, n_name AS nation_name, n_regionkey AS nation_region FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal IS NOT NULL")

@@ -90,7 +90,7 @@ def usage_alert_flags(spark, d):
 def quota_admission(spark, d):
     """Calls within a monthly quota of fifty."""
     e = read(spark, d, "events").select("event_id", "user_id", "ts", F.date_trunc("MONTH", "ts").alias("month"))
-    return M.admit(e, 50, ["user_id", "month"], ["ts", "event_id"]).select("event_id", "user_id", "call", "admitted")
+    return M.admit(e, 50, ["user_id", "month"], ["ts", "event_id"], F.to_date("ts")).select("event_id", "user_id", "call", "admitted")
 
 
 @query("usage_progress", f"SELECT user_id, least(100.0::DOUBLE, calls / greatest(1, user_id % 80)::DOUBLE * 100) AS progress FROM ({USAGE_SQL})")

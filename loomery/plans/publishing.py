@@ -181,7 +181,7 @@ def reconcile_delist(spark, d):
     "input_coercion",
     r"""
 SELECT event_id, CASE WHEN k = 0 THEN v = 'true' END AS as_boolean, CASE WHEN k = 1 THEN try_cast(v AS DOUBLE) END AS as_number,
-       CASE WHEN k = 2 THEN list_filter(list_transform(string_split(v, chr(10)), lambda x: trim(x)), lambda x: x <> '') END AS as_array, CASE WHEN k = 3 THEN v END AS as_string
+       CASE WHEN k = 2 THEN list_filter(list_transform(string_split(v, chr(10)), lambda x: trim(x)), lambda x: x <> '') END AS as_array, NULL::DOUBLE[] AS as_numbers, NULL::BOOLEAN[] AS as_booleans, CASE WHEN k = 3 THEN v END AS as_string
 FROM (SELECT event_id, event_id % 4 AS k, CASE event_id % 4 WHEN 0 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'no' END WHEN 1 THEN CASE WHEN user_id % 3 = 0 THEN 'x' ELSE user_id || '.5' END WHEN 2 THEN ' a' || chr(10) || chr(10) || event_type ELSE event_type END AS v FROM events)""",
 )
 def input_coercion(spark, d):

@@ -19,7 +19,7 @@ def _html_sql(c: str) -> str:
     return c
 
 
-_WS = r"[\s\x{A0}\x{FEFF}]"
+_WS = r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 def _body_sql(c: str, most: int = 3000) -> str:
@@ -35,24 +35,10 @@ def html_to_text(spark, d):
     return read(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("body"))
 
 
-_ODD = r"""CASE doc_id % 5 WHEN 0 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 1 THEN '  ' || replace(text, '. ', '.  ' || chr(10) || chr(10) || chr(10) || chr(10)) || chr(160) WHEN 2 THEN '```' || text WHEN 3 THEN ' ' || chr(9) || chr(10) ELSE text END"""
-
-
-def _odd():
-    t = F.col("text")
-    return (
-        F.when(F.col("doc_id") % 5 == 0, F.replace(t, F.lit("\n"), F.lit("\r\n")))
-        .when(F.col("doc_id") % 5 == 1, F.concat(F.lit("  "), F.replace(t, F.lit(". "), F.lit(".  \n\n\n\n")), F.lit(" ")))
-        .when(F.col("doc_id") % 5 == 2, F.concat(F.lit("```"), t))
-        .when(F.col("doc_id") % 5 == 3, " \t\n")
-        .otherwise(t)
-    )
-
-
-@query("body_normalize", f"SELECT doc_id, {_body_sql(_ODD)} AS body FROM documents")
+@query("body_normalize", f"SELECT doc_id, {_body_sql('text')} AS body FROM documents")
 def body_normalize(spark, d):
     """Line ends, blank lines, trimming, clipping at 3000."""
-    return read(spark, d, "documents").select("doc_id", T.normalize_body(_odd()).alias("body"))
+    return read(spark, d, "documents").select("doc_id", T.normalize_body(F.col("text")).alias("body"))
 
 
 @query("body_preview", "SELECT doc_id, left(text, 400) AS preview, length(text) > 400 AS preview_truncated, CASE WHEN length(text) > 48 THEN left(text, 47) || '…' ELSE text END AS chip FROM documents")
@@ -62,10 +48,10 @@ def body_preview(spark, d):
     return read(spark, d, "documents").select("doc_id", cut.alias("preview"), flag.alias("preview_truncated"), F.when(F.length("text") > 48, F.concat(F.left("text", F.lit(47)), F.lit("…"))).otherwise(F.col("text")).alias("chip"))
 
 
-@query("fetch_result_projection", "SELECT page_id, url, left(html, 500) AS html, length(html) > 500 AS html_truncated, octet_length(encode(html))::INT AS body_bytes FROM pages")
+@query("fetch_result_projection", "SELECT page_id, url, left(html, 60000) AS html, length(html) > 60000 AS html_truncated, octet_length(encode(html))::INT AS body_bytes FROM pages")
 def fetch_result_projection(spark, d):
     """Captured pages in the shape of a fetch result."""
-    return K.fetch_result(read(spark, d, "pages"), 500)
+    return K.fetch_result(read(spark, d, "pages"))
 
 
 _JSON = "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{broken' WHEN 2 THEN 'null' ELSE 'text' END"
@@ -85,33 +71,41 @@ def json_result_projection(spark, d):
 _GET = "CASE WHEN event_id % 4 = 0 THEN json(props)::VARCHAR ELSE event_type || repeat('x', 20) END"
 
 
-@query("network_calls_projection", f"SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, list({{'method': 'GET', 'url': '/' || event_type, 'status': 200 + event_id % 2, 'body': left({_GET}, 16), 'body_truncated': length({_GET}) > 16}} ORDER BY event_id) AS calls FROM events GROUP BY ALL")
+@query("network_calls_projection", f"SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, list({{'method': 'GET', 'url': '/' || event_type, 'status': 200 + event_id % 2, 'body': left({_GET}, 4000), 'body_truncated': length({_GET}) > 4000}} ORDER BY event_id)[1:500] AS calls FROM events GROUP BY ALL")
 def network_calls_projection(spark, d):
-    """A session's network calls with bodies: the JSON value, else the text."""
+    """A session's first 500 network calls with bodies: the JSON value, else the text."""
     e = read(spark, d, "events")
     call = F.struct("event_id", F.lit("GET").alias("method"), F.concat(F.lit("/"), F.col("event_type")).alias("url"), (200 + F.col("event_id") % 2).alias("status"), _json().alias("json"), F.concat("event_type", F.lit("x" * 20)).alias("body_text"))
-    kept = e.groupBy("user_id", F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("day")).agg(F.array_sort(F.collect_list(call)).alias("c"))
-    return kept.select("user_id", "day", K.network_calls(F.transform("c", lambda x: x.withField("json", F.when(x["json"] != "text", x["json"]))), True, 16).alias("calls"))
+    e = K.first_events(e.withColumn("day", F.date_trunc("DAY", "ts").cast("timestamp_ntz")), ["user_id", "day"], ["event_id"], 500)
+    kept = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(call)).alias("c"))
+    return kept.select("user_id", "day", K.network_calls(F.transform("c", lambda x: x.withField("json", F.when(x["json"] != "text", x["json"]))), True).alias("calls"))
 
 
-@query("stream_values_projection", "SELECT conv_id, list_transform(v[1:3], lambda t: {'value': left(t, 30), 'truncated': length(t) > 30}) AS values_ FROM (SELECT conv_id, list(text ORDER BY turn) AS v FROM conversations GROUP BY conv_id)")
+@query("stream_values_projection", "SELECT conv_id, list_transform(v[1:100], lambda t: {'value': left(t, 4000), 'truncated': length(t) > 4000}) AS values_ FROM (SELECT conv_id, list(text ORDER BY turn, text) AS v FROM conversations GROUP BY conv_id)")
 def stream_values_projection(spark, d):
-    """The first three values of each stream, cut at thirty characters."""
-    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("v"))
-    return c.select("conv_id", K.stream_values(F.col("v"), 3, 30).alias("values_"))
+    """The first hundred values of each stream, cut at 4,000 characters. A stream's later values are ranked out before any are gathered."""
+    first = K.first_events(read(spark, d, "conversations"), ["conv_id"], ["turn", "text"], 100)
+    c = first.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("v"))
+    return c.select("conv_id", K.stream_values(F.col("v"), 100, 4000).alias("values_"))
 
 
+# Each page as one of six events: values that aren't strings, blank ones and markup alone are passed over.
 @query(
     "first_nonblank_body",
-    f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN {_body_sql("url")} WHEN 1 THEN {_body_sql(_html_sql("html"))} WHEN 2 THEN NULL ELSE {_body_sql("url")} END AS body FROM pages""",
+    f"""SELECT page_id, CASE page_id % 6 WHEN 0 THEN {_body_sql("html")} WHEN 1 THEN {_body_sql(_html_sql("html"))} WHEN 2 THEN NULL WHEN 3 THEN {_body_sql("url")} WHEN 4 THEN {_body_sql("html")} END AS body FROM pages""",
 )
 def first_nonblank_body(spark, d):
-    """Text, else HTML as text, else the preview, from nested records; markup alone gives null."""
-    k = F.col("page_id") % 4
-    record = F.to_json(F.struct(F.when(k == 0, F.col("url")).when(k == 1, " ").alias("text"), F.struct(F.when(k == 1, F.col("html")).when(k == 2, "<p></p>").alias("html"), F.when(k >= 2, F.col("url")).alias("preview")).alias("data")))
-    r = read(spark, d, "pages").select("page_id", record.alias("r"))
-    records = [F.col("r"), F.get_json_object("r", "$.data")]
-    return r.select("page_id", T.body_of(T.pick_string(records, ["text", "plain"]), T.pick_string(records, ["html", "html_body"]), T.pick_string(records, ["snippet", "preview"])).alias("body"))
+    """The body of each mail event: text, else HTML as text, else the preview, from the event and its nested objects."""
+    k, html, url = F.col("page_id") % 6, F.col("html"), F.col("url")
+    event = (
+        F.when(k == 0, F.to_json(F.struct(F.lit(5).alias("text"), F.struct(html.alias("plain")).alias("data"))))
+        .when(k == 1, F.to_json(F.struct(F.lit(" ").alias("text"), F.struct(html.alias("body_html")).alias("email"))))
+        .when(k == 2, F.to_json(F.struct(F.lit("<p></p>").alias("html"), F.struct(url.alias("preview")).alias("data"))))
+        .when(k == 3, F.to_json(F.struct(F.struct(url.alias("summary")).alias("body"), F.lit("\u00a0").alias("text"))))
+        .when(k == 4, F.to_json(F.struct(F.struct(html.alias("snippet")).alias("content"))))
+        .otherwise(F.to_json(F.struct(html.alias("message"))))
+    )
+    return read(spark, d, "pages").select("page_id", F.try_parse_json(event).alias("event")).select("page_id", T.mail_body(F.col("event")).alias("body"))
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS sha, rtrim(translate(to_base64(unhex(sha256(text))), '+/', '-_'), '=') AS pkce FROM documents")

@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import frontmatter, slug_of
-
-_DATE = r"^\d{4}-\d{2}-\d{2}$"
+from ..operators.publishing import DATE, SLUG
 
 
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
-    """Published posts of the folder's .md files, the newest first. Files without a sound header, title, description or date are skipped."""
+    """Published posts of the folder's .md files, the newest first; hash is that of the whole file.
+
+    Files without a sound header, title, description, author or date are skipped, and so are those whose slug or published field is none.
+    """
     raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.md").select("value", F.col("_metadata.file_name").alias("file"))
-    f = raw.select("file", frontmatter(F.col("value")).alias("f"))
+    f = raw.select("file", "value", frontmatter(F.col("value")).alias("f"))
     field = lambda k: F.try_element_at("f.data", F.lit(k))
     posts = f.select(
         F.coalesce(field("slug"), slug_of(F.col("file"))).alias("slug"), field("title").alias("title"), field("description").alias("description"), field("date").alias("date"),
-        F.coalesce(field("author"), F.lit("Team")).alias("author"), F.col("f.body").alias("content"), F.sha2("f.body", 256).alias("hash"), F.coalesce(field("published"), F.lit("true")).alias("published"),
+        F.coalesce(field("author"), F.lit("Team")).alias("author"), F.col("f.body").alias("content"), F.sha2("value", 256).alias("hash"), field("slug").alias("given"), F.coalesce(field("published"), F.lit("true")).alias("published"),
     )
-    ok = (F.length("title") > 0) & (F.length("description") > 0) & F.col("date").rlike(_DATE) & (F.col("published") != "false")
-    return posts.filter(ok).drop("published").orderBy(F.desc("date"), "slug")
+    ok = (F.length("title") > 0) & (F.length("description") > 0) & (F.length("author") > 0) & F.col("date").rlike(DATE) & (F.col("published") == "true") & (F.col("given").isNull() | F.col("given").rlike(SLUG))
+    return posts.filter(ok).drop("published", "given").orderBy(F.desc("date"), "slug")
 
 
 def write_once(rows: DataFrame, path: str, key: str) -> None:

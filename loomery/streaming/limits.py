@@ -14,10 +14,14 @@ from ..operators.stateful import latest_state
 def rate_limit_stream(events: DataFrame, key: str, ts_us: str, order: str, limit: int, window_us: int) -> DataFrame:
     """Each event with whether it was accepted. State of a key: at most `limit` accepted times, so it is bounded at any rate.
 
-    Events of a micro-batch are taken in order of time; micro-batches in order of arrival.
+    Events of a micro-batch are taken in order of time; micro-batches in order of arrival. A key that sends nothing for a window of clock time is forgotten.
     """
+    idle_ms = max(1, window_us // 1000)
 
     def decide(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values([ts_us, order], kind="stable")
         accepted = []
@@ -27,22 +31,31 @@ def rate_limit_stream(events: DataFrame, key: str, ts_us: str, order: str, limit
             if accepted[-1]:
                 kept.append(int(t))
         state.update((kept,))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({key: rows[key], order: rows[order], "accepted": accepted})
 
     types = {f.name: f.dataType.simpleString() for f in events.schema}
     out = f"{key} {types[key]}, {order} {types[order]}, accepted boolean"
-    return events.groupBy(key).applyInPandasWithState(decide, out, "kept array<long>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(decide, out, "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def keep_latest(path: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that holds the last state of each key under path/<batch>: a repeated batch writes the same folder again.
 
-    Out-of-order changes are safe, since the order columns decide and not the arrival.
+    Out-of-order changes are safe, since the order columns decide and not the arrival. A batch builds on the newest folder before it, whatever its number, and
+    folders older than that one are removed.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        merged = batch if number == 0 else spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}").unionByName(batch)
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+        # A folder counts once its writer has finished it.
+        done = sorted(int(p.getName()) for p in there if p.getName().isdigit() and int(p.getName()) < number and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        merged = spark.read.schema(batch.schema).parquet(f"{path}/{done[-1]}").unionByName(batch) if done else batch
         latest_state(merged, key, order).select(batch.columns).write.mode("overwrite").parquet(f"{path}/{number}")
+        for old in done[:-1]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}"), True)
 
     return apply

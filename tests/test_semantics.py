@@ -1,6 +1,7 @@
 """Boundary rows, properties, and stream against batch."""
 
 import base64
+import datetime
 import hashlib
 import hmac
 import random
@@ -43,10 +44,59 @@ def test_text_edges(spark):
         assert (one(spark, text.frontmatter(lit(raw))) is not None) == ok, raw
     assert one(spark, text.frontmatter(lit("---\na: 1\na: 'x y'\n---\nb\n"))).data == {"a": "x y"}
     assert one(spark, text.json_or_text(lit("null"), lit("t"))) == "t" and one(spark, text.json_or_text(lit('{"a": 1}'), lit("t"))) == '{"a":1}'
-    for uri, ok in (("https://a.b/c", True), ("https://a.b/#f", False), ("http://localhost:3/x", True), ("http://a.b", False), ("nonsense", False), ("http://127.0.0.1/", True), (None, False)):
+    for uri, ok in (("https://a.b/c", True), ("https://a.b/#f", False), ("http://localhost:3/x", True), ("http://a.b", False), ("nonsense", False), ("http://127.0.0.1/", True), (None, False), ("http://evil.com\\@localhost/", False), ("https://a b/", False), ("http://localhost@evil.com/", False), ("HTTP://u:p@LocalHost:8080", True), ("https://a.b/#", True), ("https://a.b\n", False), ("https:///x", False), ("https://[::1]/x", True)):
         assert one(spark, text.allowed_redirect(lit(uri).cast("string"))) == ok, uri
 
 
+def test_boundaries_of_texts(spark):
+    lit = F.lit
+    assert one(spark, text.trim(lit("\u0085\ufeff\u00a0 x \u3000\u0085"))) == "\u0085\ufeff\u00a0 x \u3000\u0085"
+    assert one(spark, text.trim(lit("\ufeff\u00a0\u2028 x \u3000\n"))) == "x"
+    for pattern, sound in ((publishing.NAME, "good_name"), (publishing.VERSION, "1.0.0"), (publishing.CATEGORY, "a-b"), (publishing.ENTRY, "src/a.ts"), (publishing.SLUG, "a-b"), (publishing.DATE, "2024-01-01"), (publishing.SHA256, "0" * 64), (publishing.UUID, "A" * 36)):
+        assert one(spark, lit(sound).rlike(pattern)) and not one(spark, lit(sound + "\n").rlike(pattern)), pattern
+    assert one(spark, text.json_text(lit(' {"b": 1, "a": {"z": [1, 2], "y": null}}'))) == '{"b":1,"a":{"z":[1,2],"y":null}}'
+    assert [one(spark, text.json_text(lit(x))) for x in ('"s"', "5", "null", "{x", "[]")] == ['"s"', "5", "null", None, "[]"]
+    pick = lambda j: one(spark, text.pick_string([F.try_parse_json(lit(j))], ("text", "body")))
+    assert [pick(j) for j in ('{"text": 5}', '{"text": {"a": 1}, "body": "b"}', '{"text": " ", "body": ["x"]}', '{"body": "5"}', "[]", "x")] == [None, "b", None, "5", None, None]
+    mail = lambda j: one(spark, text.mail_body(F.try_parse_json(lit(j))))
+    assert mail('{"data": "{\\"text\\": \\"no\\"}", "content": {"raw_html": "<b>x</b>"}}') == "x"
+    numbers = {"NaN": None, "1d": None, " 1.5 ": 1.5, "": None, "  ": None, "0x1F": 31.0, ".5": 0.5, "5.": 5.0, "1e3": 1000.0, "-Infinity": float("-inf"), "1 2": None, "+7": 7.0, "1f": None}
+    assert {k: one(spark, publishing.number_of(lit(k))) for k in numbers} == numbers
+    typed = lambda v, k, i="string": one(spark, publishing.coerce(lit(v), lit(k), lit(i))).asDict()
+    set_ = lambda v, k, i="string": {n: x for n, x in typed(v, k, i).items() if x is not None}
+    assert set_(" a ", "string") == {"as_string": "a"} and set_("  ", "string") == {} and set_("x", "integer") == {} and set_("no", "boolean") == {"as_boolean": False}
+    assert set_("1\n x\n\n2 ", "array", "number") == {"as_numbers": [1.0, 2.0]} and set_("true\nno", "array", "boolean") == {"as_booleans": [True, False]} and set_(" \n", "array") == {}
+    assert one(spark, publishing.semver(lit("1.99999999999.3"))) == [1, 99999999999, 3]
+
+
+def test_titles_in_locale_order(spark):
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(["b", "a", "B", "A", "á", "Z", "c"])], "id int, title string, featured int, popularity_rank int, popularity_score double")
+    assert [r.title for r in df.orderBy(*catalog.merged_rank()).collect()] == ["a", "A", "á", "b", "B", "c", "Z"]
+    fields = F.array(*[F.lit(x) for x in ("zeta", "Beta", "alpha", "name")])
+    assert one(spark, publishing.leading_fields(fields)) == ["name", "alpha", "Beta", "zeta"]
+
+
+def test_cancel_clears_the_subscription(spark):
+    row = "customer_id long, user_id long, tier string, status string, quota int, idle_days int, period_start timestamp_ntz, period_end timestamp_ntz, subscription_id string, session_limit int"
+    at = datetime.datetime(2024, 1, 1)
+    current = spark.createDataFrame([(1, 10, "pro", "active", 100_000, 7, at, at, "s1", 50), (2, 20, "internal", "active", 1, 1, at, at, "s2", 9), (3, 30, "free", "active", 50, 7, None, None, None, 1)], row)
+    changes = spark.createDataFrame([(1, "canceled", None, None, at, at, "s1"), (2, "canceled", None, None, at, at, "s2"), (3, "active", "scale", None, at, at, "s3")], "customer_id long, status string, tier string, user_id long, period_start timestamp_ntz, period_end timestamp_ntz, subscription_id string")
+    got = {r.customer_id: (r.tier, r.period_end, r.subscription_id, r.session_limit) for r in stateful.apply_subscription_changes(current, changes).collect()}
+    assert got == {1: ("free", None, None, 1), 2: ("internal", at, "s2", 9), 3: ("scale", at, "s3", 250)}
+
+
+def test_a_key_of_most_rows(spark):
+    rnd = random.Random(3)
+    rows = [(0 if k % 10 else k, rnd.randrange(5_000_000), k) for k in range(30_000)]
+    df = spark.createDataFrame(rows, "user int, us long, id int")
+    got = {r.user: (r.accepted, r.rejected) for r in stateful.rate_limit(df, "user", "us", "id", 5, 1000).collect()}
+    own = plain_limit([t for u, t, i in sorted(rows, key=lambda r: r[1:]) if u == 0], 5, 1000)
+    assert got[0] == (sum(own), len(own) - sum(own)) and len(got) == 3000
+    calls = metering.admit(df, 100, ["user"], ["us", "id"], F.floor(F.col("us") / 100_000)).filter("user = 0").orderBy("us", "id").collect()
+    assert [r.call for r in calls] == list(range(1, len(own) + 1)) and sum(r.admitted for r in calls) == 100
+    assert metering.admit(df.limit(0), 1, ["user"], ["us"], F.col("us")).count() == 0 and stateful.rate_limit(df.limit(0), "user", "us", "id", 1, 1).count() == 0
+
+
 def test_publish_versions(spark):
     v = lambda old, h, new, s: one(spark, publishing.publish_verdict(F.lit(old).cast("string"), F.lit(h).cast("string"), F.lit(new), F.lit(s)))
     assert [v(None, None, "1.0.0", "a"), v("1.9.9", "a", "1.10.0", "b"), v("1.10.0", "a", "1.9.9", "a"), v("1.0.0", "a", "1.0.0", "a"), v("1.0.0", "a", "1.0.0", "b")] == ["created", "updated", "version_not_newer", "unchanged", "version_exists"]
