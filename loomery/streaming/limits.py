@@ -6,17 +6,18 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.stateful import latest_state
 
 
-def rate_limit_stream(events: DataFrame, key: str, ts_us: str, order: str, limit: int, window_us: int) -> DataFrame:
+def rate_limit_stream(events: DataFrame, key: str, ts_us: str, order: str, limit: int, window_us: int, lateness: str = "1 hour") -> DataFrame:
     """Each event with whether it was accepted. State of a key: at most `limit` accepted times, so it is bounded at any rate.
 
-    Events of a micro-batch are taken in order of time; micro-batches in order of arrival. A key that sends nothing for a window of clock time is forgotten.
+    Events of a micro-batch are taken in order of time; micro-batches in order of arrival. A key is forgotten once the watermark (the
+    latest time less `lateness`; older events are dropped) has passed its last event by a window.
     """
-    idle_ms = max(1, window_us // 1000)
 
     def decide(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -31,12 +32,13 @@ def rate_limit_stream(events: DataFrame, key: str, ts_us: str, order: str, limit
             if accepted[-1]:
                 kept.append(int(t))
         state.update((kept,))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max((int(rows[ts_us].iloc[-1]) + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: rows[key], order: rows[order], "accepted": accepted})
 
     types = {f.name: f.dataType.simpleString() for f in events.schema}
     out = f"{key} {types[key]}, {order} {types[order]}, accepted boolean"
-    return events.groupBy(key).applyInPandasWithState(decide, out, "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withColumn("__at", F.timestamp_micros(ts_us)).withWatermark("__at", lateness)
+    return timed.groupBy(key).applyInPandasWithState(decide, out, "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def keep_latest(path: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
