@@ -1,5 +1,6 @@
 """Quality rules, mixing and sharding against plain Python."""
 
+import math
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ from compare import assert_same
 from loomery.llm import registry
 from loomery.llm.mixing import mix_sources
 from loomery.llm.plans import op4_weak_rules, op5_systematic_mix, op10_hypergeometric_shards
-from loomery.llm.quality_rules import RULES, fit_votes, judge_quality
+from loomery.llm.quality_rules import RULES, fit_rules, fit_votes, judge_quality, keep_good
 from loomery.llm.sharding import communication_matrix, hypergeometric, shard_uniformly
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,6 +53,36 @@ def test_verdicts(spark):
     assert known[known.quality_y == 0].kept.mean() < 0.3
 
 
+def test_verdicts_by_brute_force(spark, sf):
+    # Votes and expectation-maximisation over documents, one by one, with nothing counted together.
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    votes = {}
+    for r in docs.collect():
+        t = r.text or ""
+        w, c, sym, dup, rep = stats(t)
+        up, lines = len(re.findall("[A-Z]", t)), sum(bool(WORD.search(x)) for x in t.split("\n"))
+        good = (w >= 100, 3 * w <= c <= 10 * w, 20 * sym <= w, 100 * sym <= c, 5 * up <= c, lines > 1 and 10 * dup <= lines, 5 * rep <= w)
+        bad = (w < 50, c < 2 * w or c > 20 * w, 4 * sym > w, 20 * sym > c, 2 * up > c, 2 * dup > lines, 2 * rep > w)
+        votes[r.doc_id] = [-1 if b else int(g) for g, b in zip(good, bad, strict=True)], w < 50 or 100 * rep > 50 * w
+    p = {i: 0.05 if -1 in v else 0.95 for i, (v, _) in votes.items()}
+    before = None
+    for _ in range(100):
+        prior = (sum(p.values()) + 1) / (len(p) + 2)
+        rate = []
+        for j in range(7):
+            up, down = ([sum(q(i) for i, (v, _) in votes.items() if v[j] == s) + 1 for q in (lambda i: 1 - p[i], lambda i: p[i])] for s in (1, -1))
+            rate.append([up[k] / (up[k] + down[k]) for k in (0, 1)])
+        odds = {i: math.log(prior / (1 - prior)) + sum(math.log(g / b) if x > 0 else math.log((1 - g) / (1 - b)) for (b, g), x in zip(rate, v, strict=True) if x) for i, (v, _) in votes.items()}
+        p = {i: 1 / (1 + math.exp(-o)) for i, o in odds.items()}
+        if before is not None and abs(prior - before) < 1e-9:
+            break
+        before = prior
+    got = {r.doc_id: r for r in op4_weak_rules.query(spark, sf).collect()}
+    assert all(got[i].quality == pytest.approx(x, abs=1e-6) for i, x in p.items())
+    assert {i for i, r in got.items() if r.kept} == {i for i, x in p.items() if x >= 0.5 and not votes[i][1]}
+    assert {r.doc_id for r in keep_good(docs, fit_rules(docs)).collect()} == {i for i, r in got.items() if r.kept}
+
+
 def test_em_finds_accuracies():
     rnd, counts = random.Random(1), Counter()
     right = [0.95, 0.9, 0.8, 0.7]
