@@ -11,8 +11,9 @@ one of its largest documents at most.
 Expected copies are fixed-point integers, so sums don't depend on how tasks add up. The prefix sum has two levels: a
 source is cut into about sqrt(n) buckets, bucket sums are added up in a small table, and rows within their bucket. No task holds a whole source.
 
-Sizes count words (runs of characters other than space and 0x09-0x0D); null texts have size 0, take part and never count. Rows equal in
-all three order keys (repeated rows) are interchangeable. Nulls in source form a source of their own. An empty table gives an empty result.
+Sizes count words (runs of characters other than space and 0x09-0x0D) of whole texts, however long; null and empty texts have size 0, take part and never count. Rows
+equal in all three order keys (ties, repeated rows) are interchangeable, and so are null ids. Nulls in source form a source of their own. Extra columns of any
+name are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

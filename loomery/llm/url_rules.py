@@ -9,7 +9,7 @@ Canonical URL: host (after the first `://`, up to `/`, `?`, `#` or the end; A-Z
 `?`, `#` or the end). A null URL, or one without `://`, has an empty host and path, so no host rule fits it.
 
 The longest fitting rule decides (equally long: the earlier in the list); where none fits, the default verdict holds.
-Extra columns of the input are ignored; repeated rows stay; an empty table gives an empty result.
+Extra columns of any name are ignored; repeated rows and null ids stay; very long URLs are matched whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
