@@ -75,6 +75,22 @@ def split(a: pa.StringArray, table: np.ndarray) -> tuple[pa.StringArray, np.ndar
     return flat.filter(pa.array(full)), np.diff(before[off])
 
 
+def hash_strings(a: pa.StringArray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each string."""
+    if not len(a):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = a.buffers()
+    at = np.frombuffer(offsets, np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    size = np.diff(at)
+    if not size.any():
+        return mix64(np.zeros(len(a), np.uint64))
+    b = np.frombuffer(data, np.uint8)[at[0] : at[-1]].astype(np.uint64) + np.uint64(1)
+    start = at[:-1] - at[0]
+    power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(b * power[np.arange(len(b)) - np.repeat(start, size)], dtype=np.uint64)])
+    return mix64(total[start + size] - total[start] + size.astype(np.uint64))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that near values give unrelated ones."""
     x = x.astype(np.uint64, copy=True)
