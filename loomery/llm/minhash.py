@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +56,7 @@ def shingle_sets(text: pa.StringArray, width: int) -> tuple[np.ndarray, np.ndarr
     if not len(flat):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     coded = flat.dictionary_encode()
-    each = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), object), categorize=False)
-    h = words.mix64(each)[coded.indices.to_numpy()]
+    h = words.hash_strings(coded.dictionary)[coded.indices.to_numpy()]
     doc, begin = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
     place, size = np.arange(len(h)) - begin, np.repeat(n, n)
     rolled = np.zeros(len(h), np.uint64)
