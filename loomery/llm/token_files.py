@@ -1,7 +1,7 @@
 """Token ids as Arrow IPC files of fixed-size lists.
 
-A shard file holds record batches of two columns, ids: fixed_size_list<uint16 or uint32>[L] and mask: fixed_size_list<uint8>[L] (1 for ids of
-documents, 0 for padding; whole bytes, so that masks too are views of the file).
+A shard file holds record batches of two columns, ids: fixed_size_list<uint16 or uint32>[L] and mask: fixed_size_list<bool>[L] (false for padding).
+Ids are read as NumPy views and masks as Arrow views of the mapped file: neither is copied.
 Sequence k of a file is row k % rows of batch k // rows, so any sequence is found without a scan and read as a view of the
 mapped file. The ids of a shard's documents follow one another, each document closed by an end id; the last sequence
 is padded, with its mask off. Beside it lies an index file: the documents of the shard with their place in its ids.
@@ -33,9 +33,9 @@ SEQUENCE = 2048
 #: Sequences in a record batch.
 ROWS = 256
 #: Pre-tokens that a worker remembers; beyond it the memory starts afresh. It only saves time.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Bytes of text in a shard, on average.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 
 
 def _open_out(path: str):
@@ -59,7 +59,7 @@ class SequenceWriter:
 
     def __init__(self, path: str, dtype: np.dtype, length: int = SEQUENCE, rows: int = ROWS, pad: int = 0):
         self.length, self.rows, self.pad, self.dtype = length, rows, pad, dtype
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sink = _open_out(path)
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.rest: list[np.ndarray] = []
@@ -78,7 +78,7 @@ class SequenceWriter:
             self.rest, self.held = [all_ids[cut:]], len(all_ids) - cut
 
     def _emit(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
+        mask = np.arange(len(ids)) < real
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
@@ -102,20 +102,20 @@ class SequenceReader:
     def __len__(self) -> int:
         return sum(self.counts)
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence k, both views of the file."""
         rows = self.counts[0]
         batch = self.file.get_batch(k // rows)
         at = (k % rows) * self.length
-        return tuple(batch.column(c).values.slice(at, self.length).to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+        ids, mask = (batch.column(c).values.slice(at, self.length) for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def ids(self) -> np.ndarray:
         """All ids whose mask is on."""
         parts = []
         for i in range(self.file.num_record_batches):
             b = self.file.get_batch(i)
-            ids, mask = (b.column(c).values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
-            parts.append(ids[mask == 1])
+            parts.append(b.column("ids").values.filter(b.column("mask").values).to_numpy())
         return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
@@ -127,12 +127,17 @@ def _encode(chunks: list[str], path: str, dtype: np.dtype) -> list[bytes]:
     known = worker_state().setdefault(("ids", path, dtype.str), {})
     if len(known) > CACHE_WORDS:
         known.clear()
-    cuts = [PRE_TOKENS.findall(w.lower()) if w.isascii() and "<|" not in w else [w] for w in chunks]
+    # A chunk that is known is a pre-token of its own, or was taken whole.
+    out = [known.get(w) for w in chunks]
+    rest = [i for i, x in enumerate(out) if x is None]
+    cuts = [PRE_TOKENS.findall(w.lower()) if w.isascii() and "<|" not in w else [w] for w in map(chunks.__getitem__, rest)]
     names = list({p: None for c in cuts for p in c if p not in known})
     for at in range(0, len(names), 10_000):
         some = names[at : at + 10_000]
         known.update(zip(some, (np.array(e.ids, dtype).tobytes() for e in load(path).encode_batch_fast(some, add_special_tokens=False)), strict=True))
-    return [known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for c in cuts]
+    for i, c in zip(rest, cuts, strict=True):
+        out[i] = known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c])
+    return out
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_size: int, folder: str | None = None, length: int = SEQUENCE, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +165,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_s
         name = f"{folder}/shard-{uuid.uuid4().hex}"
         out, index, at, docs_seen, first = None, None, 0, 0, None
         for batch in batches:
-            for part in words.slices(batch, "text", 4 << 20):
+            for part in words.slices(batch, "text", 8 << 20):
                 if out is None:
                     out, first = SequenceWriter(f"{name}.arrow", dtype, length), part.column("id").slice(0, 1)
                     index_sink = _open_out(f"{name}.index.arrow")
@@ -222,7 +227,7 @@ def read_sequences(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 k = 0
                 for i in range(f.num_record_batches):
                     b = f.get_batch(i)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * b.num_rows), pa.array(np.arange(k, k + b.num_rows)), pc.cast(b.column("ids"), pa.list_(pa.int64())), pc.cast(b.column("mask"), pa.list_(pa.int32()))], ["path", "k", "ids", "mask"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * b.num_rows), pa.array(np.arange(k, k + b.num_rows)), pc.cast(b.column("ids"), pa.list_(pa.int64())), pc.cast(b.column("mask"), pa.list_(pa.bool_()))], ["path", "k", "ids", "mask"])
                     k += b.num_rows
 
-    return manifest.select("path").mapInArrow(read, "path string, k long, ids array<long>, mask array<int>")
+    return manifest.select("path").mapInArrow(read, "path string, k long, ids array<long>, mask array<boolean>")
