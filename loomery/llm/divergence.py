@@ -37,7 +37,8 @@ COUNT_SQL = """
 SELECT lang, source, term, sum(c)::BIGINT AS c, (sum(sum(c)) OVER w)::BIGINT AS whole, source = min(source) OVER w AS lead
 FROM counted GROUP BY lang, source, term WINDOW w AS (PARTITION BY lang, term) QUALIFY sum(sum(d)) OVER w >= {min_docs}
 """
-_SHARE = "1 + (1000000000::HUGEINT * ({} + 5)) // ({} + 5 * {}::HUGEINT)"
+# A language without kept terms has no shares; the divisor only has to be sound.
+_SHARE = "1 + (1000000000::HUGEINT * ({} + 5)) // greatest({} + 5 * {}::HUGEINT, 1)"
 #: Part pair: for each two sources that a term of the shard meets, value (over such terms) and n (their number). Part term: each group's best terms.
 COMPARE_SQL = f"""
 WITH facts AS (
@@ -99,7 +100,7 @@ def _kept_terms(counted: DataFrame, shards: int, min_docs: int) -> DataFrame:
         kinds = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("c", pa.int64()), ("d", pa.int64())])
         con = _duck()
         con.register("counted", pa.RecordBatchReader.from_batches(kinds, (b.cast(kinds) for b in batches)))
-        yield from con.execute(COUNT_SQL.format(min_docs=min_docs)).fetch_record_batch(50_000)
+        yield from con.execute(COUNT_SQL.format(min_docs=min_docs)).to_arrow_reader(50_000)
 
     return counted.repartition(shards, "lang", "term").mapInArrow(keep, "lang string, source string, term string, c long, whole long, lead boolean")
 
@@ -117,23 +118,22 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, most: int = 50, lang_
     facts = stash(groups.drop("v").join(whole, "lang"), "groups")
     none, shard = F.lit(None), F.pmod(F.xxhash64("lang", "term"), F.lit(shards))
     rows = kept.select(shard.alias("shard"), "lang", "source", "term", "c", "whole", *[none.cast("long").alias(c) for c in ("n", "v", "whole_n")])
-    heads = facts.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"), "lang", "source", none.cast("string").alias("term"), none.cast("long").alias("c"), none.cast("long").alias("whole"), "n", "v", "whole_n")
+    heads = facts.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "lang", "source", none.cast("string").alias("term"), none.cast("long").alias("c"), none.cast("long").alias("whole"), "n", "v", "whole_n")
 
     def compare(given: pa.Table) -> pa.Table:
         con = _duck()
         con.register("rows", given)
-        out = con.execute(COMPARE_SQL.format(most=most)).fetch_record_batch()
+        out = con.execute(COMPARE_SQL.format(most=most)).to_arrow_reader()
         return out.read_all().select(["part", "lang", "source", "item", "value", "n"])
 
     parts = stash(rows.unionByName(heads).groupBy("shard").applyInArrow(compare, "part string, lang string, source string, item string, value long, n long"), "parts")
     met = parts.filter("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"), F.sum("n").alias("met"))
-    # Without kept terms there is nothing to differ in.
-    one = facts.withColumn("zero", (1 + F.expr("5000000000 div nullif(n + 5 * v, 0)")))
+    one = facts.withColumn("zero", 1 + F.expr("5000000000 div greatest(n + 5 * v, 1)"))
     a = one.select("lang", "source", "v", F.col("zero").alias("zero_a"))
     b = one.select("lang", F.col("source").alias("item"), F.col("zero").alias("zero_b"))
     both = a.join(b, "lang").filter("source < item").join(met, ["lang", "source", "item"], "left")
     rest = (F.col("v") - F.coalesce("met", F.lit(0))) * F.abs(F.col("zero_a") - F.col("zero_b"))
-    value = F.coalesce("value", F.lit(0)) + F.coalesce(rest, F.lit(0))
+    value = F.coalesce("value", F.lit(0)) + rest
     pairs = both.select("lang", F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("p"), value.alias("value")).select("lang", "p.*", F.lit("pair").alias("part"), "value")
     terms = parts.filter("part = 'term'").select("lang", "source", "item", "part", "value")
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
