@@ -6,8 +6,8 @@ Sequence k of a file is row k % rows of batch k // rows, so any sequence is foun
 mapped file. The ids of a shard's documents follow one another, each document closed by an end id; the last sequence
 is padded, with its mask off. Beside it lies an index file: the documents of the shard with their place in its ids.
 
-Documents are dealt to shards by ranges of doc_id and the text's first characters, so that shards in order hold ascending ids (equal ids by text); the number of
-shards follows the bytes of all texts. Null ids come first; null and empty texts are one end id. Very long texts are whole; a reader holds the ids of one
+Documents are dealt to partitions by ranges of doc_id and the text's first characters, and a partition's task closes a file when it holds SHARD_IDS ids and opens the
+next, so that files in order hold ascending ids (equal ids by text). Partitions grow as the bytes of all texts to the power 0.7. Null ids come first; null and empty texts are one end id. Very long texts are whole; a reader holds the ids of one
 shard. Repeated rows stay; extra columns of any name are ignored. An empty table gives no files.
 A task writes under a name of its own, and only names that reached the manifest count, so a lost
 executor leaves at worst an unused file.
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ SEQUENCE = 2048
 ROWS = 256
 #: Pre-tokens that a worker remembers; beyond it the memory starts afresh. It only saves time.
 CACHE_WORDS = 600_000
-#: Bytes of text in a shard, on average.
-SHARD_BYTES = 16 << 20
+#: Ids after which a file is closed, and the bytes of text that are about as many.
+SHARD_IDS, SHARD_BYTES = 4 << 20, 16 << 20
 
 
 def _open_out(path: str):
@@ -140,14 +141,28 @@ def _encode(chunks: list[str], path: str, dtype: np.dtype) -> list[bytes]:
     return out
 
 
+def _lowered(a: pa.StringArray, as_is: np.ndarray, lowered: np.ndarray) -> pa.StringArray:
+    """The texts with white space as spaces and A-Z lower-cased, but for letters before a non-ASCII byte.
+
+    The library composes letters with combining marks before it lower-cases them, so such a letter stays for it; any other stands alone in that step.
+    """
+    data = a.buffers()[2]
+    if data is None or not len(a):
+        return a
+    plain = np.frombuffer(data, np.uint8)
+    out = lowered[plain]
+    at = np.flatnonzero(plain[1:] >= 0x80)
+    out[at] = as_is[plain[at]]
+    return pa.StringArray.from_buffers(len(a), a.buffers()[1], pa.py_buffer(out), offset=a.offset)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_size: int, folder: str | None = None, length: int = SEQUENCE, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the files and returns their manifest, one row for each shard: path, index_path, first id, n_docs, n_tokens, base.
+    """Writes the files and returns their manifest, one row for each file: path, index_path, first id, n_docs, n_tokens, base.
 
-    base: ids in all shards before. The manifest has one row per shard, far fewer than documents, so one task may sum it.
+    base: ids in all files before, summed within each partition and over the partitions before; shards: the number of partitions.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens"
-    # The vocabulary is lower-case, but its special strings are matched before that.
     as_is, lowered = words.byte_table(lower=False), words.byte_table(lower=True)
     dtype = np.dtype(np.uint16 if max(vocab_size, end_id + 1) <= 1 << 16 else np.uint32)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -155,24 +170,43 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_s
     order = [F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     if not shards:
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(1, -(-total // SHARD_BYTES))
+        shards = max(1, round((total / SHARD_BYTES) ** 0.7))
     # A prefix sorts as its text does, and keeps the sample for the ranges small.
     dealt = rows.repartitionByRange(shards, order[0], F.left("text", F.lit(32)).asc_nulls_first())
     if not shortcut_holds(tokenizer_path):
         raise ValueError("texts are cut at white space here, which this vocabulary file does not allow")
 
+    names = ["path", "index_path", "first", "n_docs", "n_tokens", "part", "number"]
+
+    class Shard:
+        """A file that is being written, and its index."""
+
+        def __init__(self, number: int, first: pa.Array):
+            self.name, self.number, self.first = f"{folder}/shard-{uuid.uuid4().hex}", number, first
+            self.ids, self.docs = SequenceWriter(f"{self.name}.arrow", dtype, length), 0
+            self.sink, self.schema = _open_out(f"{self.name}.index.arrow"), pa.schema([("id", first.type), ("start", pa.int64()), ("n_tokens", pa.int64())])
+            self.index = pa.ipc.new_file(self.sink, self.schema)
+
+        def add(self, id_: pa.Array, stream: np.ndarray, n: np.ndarray) -> None:
+            self.index.write_batch(pa.RecordBatch.from_arrays([id_, pa.array(self.ids.total + np.cumsum(n) - n), pa.array(n)], schema=self.schema))
+            self.ids.add(stream)
+            self.docs += len(n)
+
+        def close(self) -> pa.RecordBatch:
+            for x in (self.ids, self.index, self.sink):
+                x.close()
+            facts = [f"{self.name}.arrow", f"{self.name}.index.arrow", None, self.docs, self.ids.total, TaskContext.get().partitionId(), self.number]
+            return pa.RecordBatch.from_arrays([self.first if x is None else pa.array([x]) for x in facts], names)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"{folder}/shard-{uuid.uuid4().hex}"
-        out, index, at, docs_seen, first = None, None, 0, 0, None
+        shard, number = None, 0
         for batch in batches:
             for part in words.slices(batch, "text", 8 << 20):
-                if out is None:
-                    out, first = SequenceWriter(f"{name}.arrow", dtype, length), part.column("id").slice(0, 1)
-                    index_sink = _open_out(f"{name}.index.arrow")
-                    schema = pa.schema([("id", part.column("id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])
-                    index = pa.ipc.new_file(index_sink, schema)
+                if shard is None:
+                    shard, number = Shard(number, part.column("id").slice(0, 1)), number + 1
                 text = words.texts(part, "text")
-                flat, per_doc = words.split(text, as_is if words.contains(text, b"<|") else lowered)
+                # The vocabulary's special strings are matched as they are.
+                flat, per_doc = words.split(text if words.contains(text, b"<|") else _lowered(text, as_is, lowered), as_is)
                 coded = flat.dictionary_encode()
                 ids = [*_encode(coded.dictionary.to_pylist(), tokenizer_path, dtype), np.array([end_id], dtype).tobytes()]
                 lens = np.fromiter(map(len, ids), np.int64, len(ids)) // dtype.itemsize
@@ -181,19 +215,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_s
                 each = lens[use]
                 ends = np.cumsum(each)
                 stream = pool[np.repeat(begins[use] - (ends - each), each) + np.arange(ends[-1])]
-                n = np.diff(np.concatenate([[0], ends[np.cumsum(per_doc + 1) - 1]]))
-                out.add(stream)
-                index.write_batch(pa.RecordBatch.from_arrays([part.column("id"), pa.array(at + np.cumsum(n) - n), pa.array(n)], schema=schema))
-                at, docs_seen = at + int(n.sum()), docs_seen + part.num_rows
-        if out is not None:
-            out.close()
-            index.close()
-            index_sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{name}.arrow"]), pa.array([f"{name}.index.arrow"]), first, pa.array([docs_seen]), pa.array([at])], ["path", "index_path", "first", "n_docs", "n_tokens"])
-
-    made = dealt.sortWithinPartitions(*order).mapInArrow(write, f"path string, index_path string, first {kind}, n_docs long, n_tokens long")
-    before = Window.orderBy(F.col("first").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
-    return stash(made, "manifest").withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+                shard.add(part.column("id"), stream, np.diff(np.concatenate([[0], ends[np.cumsum(per_doc + 1) - 1]])))
+                if shard.ids.total >= SHARD_IDS:
+                    yield shard.close()
+                    shard = None
+        if shard is not None:
+            yield shard.close()
+
+    files = stash(dealt.sortWithinPartitions(*order).mapInArrow(write, f"path string, index_path string, first {kind}, n_docs long, n_tokens long, part long, number long"), "manifest")
+    # One row for each partition, then one for each of its files.
+    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("parts_before"))
+    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.withColumn("within", within).join(sums, "part").select(*names[:5], (F.col("parts_before") + F.col("within")).alias("base"))
 
 
 def read_documents(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:

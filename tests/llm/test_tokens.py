@@ -1,5 +1,6 @@
 """Token counts and token files against the library, text by text."""
 
+import random
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from loomery.llm import token_files, words
 from loomery.llm.plans import op7_arrow_tokens, op9_token_counts
 from loomery.llm.token_counts import shortcut_holds, with_token_counts
 from loomery.llm.token_files import SequenceReader, read_documents, read_sequences, write_token_files
@@ -16,6 +18,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     None, "", " \n\t ", "the", "The THE don't we'll x's ''s !'s 'S 12345 a1b2", "<|endoftext|> x<|startoftext|>y <|endoftext|", "é É ß İstanbul ΣΑΣ ﬁ 日本語テキスト ａｂｃ",
     "a b c\u0085d​e﻿", "école cafés", "x" * 5000, "word " * 3000, "😀👍🏽 ok\x00\x1c\x1f end", "́start", "½ ² ٣ Ⅷ", "tab\tnew\nline\rfeed\x0c\x0b", "the", "the",
+    "JH\u0331 naT\u0308 plain", "H\u0331", "T\u0308", "J\u030c", "W\u030a", "Y\u030a", "ÀÉÎ ABC\u0301D ẞİ ΑΣ AΣ", "A\u030aNGSTRO\u0308M",
 ]
 
 
@@ -91,6 +94,24 @@ def test_odd_rows_in_several_shards(odd, spark):
     assert read_sequences(spark, manifest).count() == sum(len(SequenceReader(r.path)) for r in rows)
 
 
+def test_capitals_with_marks_and_many_files(spark, monkeypatch):
+    rnd = random.Random(8)
+    letters = "HTJWYAEIOUSZhtjwyaeiou  " + "\u0300\u0301\u0308\u030a\u030c\u0331\u0323" * 2
+    texts = ["".join(rnd.choices(letters, k=rnd.randrange(40))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    # A task that closes a file after each slice.
+    monkeypatch.setattr(token_files, "SHARD_IDS", 1)
+    monkeypatch.setattr(words, "slices", lambda batch, column, most=0: (batch.slice(i, 50) for i in range(0, batch.num_rows, 50)))
+    manifest = write_token_files(df, PATH, 2, 49408, length=16, shards=3)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in read_documents(manifest).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*_ids(t), 2]
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        start += len(ids)
+    assert manifest.count() > 6
+
+
 def test_wide_ids_and_repeats(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c")], "doc_id long, text string")
     rows = write_token_files(df, PATH, 70_000, 49408, length=4).collect()
