@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words
-from .shared import stash
+from .shared import free, stash
 
 MOST_LABELLED = 4000
 ROUNDS, TAKEN = 5, 100
@@ -206,15 +206,15 @@ def _distributed(rows: DataFrame) -> Give:
                         for label, n in quota.items():
                             top = kept[pupil, label]
                             sure, seen = np.flatnonzero(odds * (2 * label - 1) > 2), set()
-                            # The n surest ids of a slice are enough.
-                            for i in sure[np.argsort(-np.abs(odds[sure]), kind="stable")]:
+                            # The n surest ids of a slice are enough, of equal odds those of least id.
+                            for i in sorted(sure, key=lambda i, odds=odds: (-abs(odds[i]), ids[i])):
                                 k = ids[i]
-                                if len(seen) == n:
+                                if len(seen) == n and k not in seen:
                                     break
-                                if k not in used[pupil] and k not in seen:
+                                if k not in used[pupil]:
                                     seen.add(k)
-                                    if k not in top or top[k][0] < abs(odds[i]):
-                                        top[k] = (float(abs(odds[i])), x[pupil][i].tobytes())
+                                    # Of rows that share an id the surest counts, of equal odds that of the greatest vector.
+                                    top[k] = max(top.get(k, (0.0, b"")), (float(abs(odds[i])), x[pupil][i].tobytes()))
                             if len(top) > n:
                                 kept[pupil, label] = dict(sorted(top.items(), key=lambda e: (-e[1][0], e[0]))[:n])
             flat = [(p, label, k, *v) for (p, label), top in kept.items() for k, v in top.items()]
@@ -223,14 +223,15 @@ def _distributed(rows: DataFrame) -> Give:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["pupil", "label", "id", "sure", "x"])
 
         batch_type = to_arrow_type(rows.schema["id"].dataType)
-        found = stash(rows.mapInArrow(best, f"pupil int, label double, id {kind}, sure double, x binary"), "surest")
-        found = found.groupBy("pupil", "label", "id").agg(F.max("sure").alias("sure"), F.max_by("x", F.struct("sure", "x")).alias("x"))
+        surest = stash(rows.mapInArrow(best, f"pupil int, label double, id {kind}, sure double, x binary"), "surest")
+        found = surest.groupBy("pupil", "label", "id").agg(F.max("sure").alias("sure"), F.max_by("x", F.struct("sure", "x")).alias("x"))
         out = {}
         for pupil in range(2):
             for label, n in quota.items():
                 top = found.filter((F.col("pupil") == pupil) & (F.col("label") == label)).orderBy(F.desc("sure"), "id").limit(n).collect()
                 given[pupil].update(r.id for r in top)
                 out[pupil, label] = np.stack([np.frombuffer(r.x) for r in top]) if top else np.zeros((0, 1))
+        free(surest)
         return out
 
     return give
@@ -246,12 +247,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] =
     chosen = known.join(rows.select("id"), "id", "left_semi").orderBy(*order).limit(most_labelled)
     chosen = stash(chosen, "labelled")
     made = stash(features_of(rows, m), "features")
-    free = made.filter("id is not null").join(F.broadcast(chosen), "id", "left_anti")
+    unlabelled = made.filter("id is not null").join(F.broadcast(chosen), "id", "left_anti")
     # At most one row of each chosen id reaches the driver.
     one = made.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min(F.struct("content", "metadata", "y")).alias("s")).select("id", "s.*")
     got = one.withColumn("h", F.xxhash64("id")).orderBy("h", "id").toArrow()
     view = [_rows(got.column(c).combine_chunks()) if got.num_rows else np.zeros((0, 1)) for c in ("content", "metadata")]
-    model = co_train(view, got.column("y").to_numpy().astype(float), _distributed(free)) if got.num_rows else None
+    model = co_train(view, got.column("y").to_numpy().astype(float), _distributed(unlabelled)) if got.num_rows else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,4 +264,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] =
             yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, cols)], ["id", "text_score", "metadata_score", "quality"])
 
     scored = made.mapInArrow(score, f"id {kind}, text_score double, metadata_score double, quality double")
-    return scored.withColumn("kept", F.col("quality") >= least).withColumnRenamed("id", id_col)
+    out = scored.withColumn("kept", F.col("quality") >= least).withColumnRenamed("id", id_col)
+    free(chosen)
+    out.behind = [made]
+    return out

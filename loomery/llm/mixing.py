@@ -4,7 +4,7 @@ Targets: sources in code-point order (null last) get cyclic weights and share a
 source's size, and what that frees is shared anew by weight among the rest (water-filling, solved in closed form).
 
 Copies: a document expects target / source_size copies. Within its source, documents lie in a fixed order - by falling size
-class, then a hash, then id - and their expected copies are summed up from the first. One random offset is added, and a document is emitted once for
+class, then a hash of id and text - and their expected copies are summed up from the first. One random offset is added, and a document is emitted once for
 each integer its interval passes. Since sizes fall along the order, a source's taken size differs from its target by about
 one of its largest documents at most.
 
@@ -12,7 +12,7 @@ Expected copies are fixed-point integers, so sums don't depend on how tasks add
 source is cut into about sqrt(n) buckets, bucket sums are added up in a small table, and rows within their bucket. No task holds a whole source.
 
 Sizes count words (runs of characters other than space and 0x09-0x0D) of whole texts, however long; null and empty texts have size 0, take part and never count. Rows
-equal in all three order keys (ties, repeated rows) are interchangeable, and so are null ids. Nulls in source form a source of their own. Extra columns of any
+of equal id and text (repeated rows) are interchangeable and share a bucket; null or repeated ids with other texts don't. Another seed draws other offsets. Nulls in source form a source of their own. Extra columns of any
 name are ignored. An empty table gives an empty result.
 """
 
@@ -37,12 +37,17 @@ def size_class(size: Column) -> Column:
     return (bits * 8 + (F.call_function("shiftright", size, low) % 8).cast("int")).cast("int")
 
 
-def hash32(value: Column, seed: str) -> Column:
-    """32 bits of an MD5, which other engines can compute too."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(value.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long")
+def hash_hex(seed: str, *values: Column) -> Column:
+    """An MD5 in hex, which other engines can compute too."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(v.cast("string"), F.lit("null")) for v in values]))
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[int], total: float, most: float) -> DataFrame:
+def leading32(hex_: Column) -> Column:
+    """The first 32 bits of a hash."""
+    return F.conv(F.substring(hex_, 1, 8), 16, 10).cast("long")
+
+
+def source_targets(sizes: DataFrame, weights: Sequence[int], total: float, most: float, seed: int = 0) -> DataFrame:
     """source, source_size, target, rate (expected copies, fixed point) and offset: a row for each source."""
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name, everything = Window.orderBy(F.col("source").asc_nulls_last()), Window.partitionBy()
@@ -56,20 +61,20 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], total: float, most:
     first = F.min(F.when(F.col("fits"), F.struct(ratio, "level"))).over(everything)["level"]
     target = F.least(F.col("cap"), F.coalesce(first, F.lit(float("inf"))) * F.col("weight"))
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * ONE + 0.5)).otherwise(0).cast("long")
-    offset = hash32(F.col("source"), "mix:") % ONE
+    offset = leading32(hash_hex(f"mix{seed or ''}", F.col("source"))) % ONE
     return level.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"), offset.alias("offset"))
 
 
 def systematic_copies(rows: DataFrame, group: str, expected: str, offset: str, strata: str, key: str) -> DataFrame:
-    """Adds copies to rows: within a group, in the order (strata falling, hash of key, key), by the prefix sums of expected plus offset."""
-    keyed = rows.withColumn("h", hash32(F.col(key), "order:"))
+    """Adds copies to rows: within a group, in the order (strata falling, key), by the prefix sums of expected plus offset. key: a hash in hex."""
+    keyed = rows.withColumn("h", leading32(F.col(key)))
     n = keyed.groupBy(group, strata).agg(F.ceil(F.sqrt(F.count("*"))).alias("parts"))
     keyed = _join(keyed, n, [group, strata]).withColumn("part", F.shiftright(F.col("h") * F.col("parts"), 32))
     bucket = [group, strata, "part"]
     sums = keyed.groupBy(*bucket).agg(F.sum(expected).alias("bucket_sum"))
     before = Window.partitionBy(group).orderBy(F.col(strata).desc(), "part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_sum").over(before), F.lit(0))).drop("bucket_sum")
-    within = Window.partitionBy(*bucket).orderBy("h", F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*bucket).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     summed = _join(keyed.withColumn("inner", F.sum(expected).over(within)), sums, bucket)
     end = F.col("bucket_start") + F.col("inner") + F.col(offset)
     copies = F.floor(end / ONE) - F.floor((end - F.col(expected)) / ONE)
@@ -83,13 +88,14 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, on).drop(*[f"{k}__r" for k in keys])
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), total: float = 1.5, most: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), total: float = 1.5, most: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0) -> DataFrame:
     """id, size, source_size, target, copies and taken (copies * size) of every row."""
     size = F.size(words_of(F.coalesce(F.col(text_col), F.lit("")))).cast("long")
-    rows = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
-    targets = source_targets(rows, weights, total, most)
+    key = hash_hex("order", F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    rows = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")), "sizes")
+    targets = source_targets(rows, weights, total, most, seed)
     dealt = _join(rows.withColumn("class", size_class(F.col("size"))), targets, ["source"])
-    copied = systematic_copies(dealt, "source", "rate", "offset", "class", "id")
+    copied = systematic_copies(dealt, "source", "rate", "offset", "class", "key")
     out = copied.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     out.behind = [rows]
     return out

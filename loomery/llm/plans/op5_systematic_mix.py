@@ -9,7 +9,7 @@ from ..shared import table
 
 SQL = r"""
 WITH sizes AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5('order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')) AS key,
          len(list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size
   FROM documents
 ), ranked AS (
@@ -32,7 +32,7 @@ WITH sizes AS (
   SELECT s.doc_id, s.size, r.source_size, r.target, r.rate,
          r.u + sum(r.rate) OVER (PARTITION BY s.source
            ORDER BY length(bin(s.size)) * 8 + (s.size >> greatest(length(bin(s.size)) - 4, 0)::INT) % 8 DESC,
-                    ('0x' || left(md5('order:' || coalesce(s.doc_id::VARCHAR, 'null')), 8))::BIGINT, s.doc_id ASC NULLS FIRST
+                    s.key
            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM sizes s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
 )

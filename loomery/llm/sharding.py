@@ -20,7 +20,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import free, stash
 
 
 def hypergeometric(rnd: random.Random, good: int, bad: int, draws: int) -> int:
@@ -87,10 +87,13 @@ def shard_uniformly(docs: DataFrame, shards: int = 24, seed: int = 20, id_col: s
     passed = F.filter("ends", lambda end: end <= F.col("place"))
     dealt = dealt.withColumn("shard", F.size(passed)).withColumn("slice", F.shiftright(F.shiftrightunsigned(F.col("h2"), 33) * n_slices, 31).cast("int"))
     dealt = stash(dealt.drop("bucket", "place", "h1", "ends"), "dealt")
+    free(rows, cuts)
     counts = dealt.groupBy("shard", "slice").count()
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     inner = Window.partitionBy("shard", "slice").orderBy("h2", F.col("id").asc_nulls_first(), "text_crc32", "size")
     placed = dealt.withColumn("inner", F.row_number().over(inner) - 1).join(starts, ["shard", "slice"])
     slot = (F.col("start") + F.col("inner")).cast("long")
-    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", slot.alias("slot"))
+    out = placed.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", slot.alias("slot"))
+    out.behind = [dealt]
+    return out

@@ -64,7 +64,8 @@ def shortcut_holds(path: str) -> bool:
         "pattern": (steps.get("pattern") or {}).get("Regex") if steps.get("behavior") == "Removed" else None,
         "suffix": t["model"].get("end_of_word_suffix"),
     }
-    return found == RULES and not t.get("post_processor")
+    # Special strings are looked for in chunks that hold `<|` alone.
+    return found == RULES and not t.get("post_processor") and all("<|" in x["content"] for x in t.get("added_tokens") or [])
 
 
 def count_whole(texts: list[str], path: str) -> list[int]:

@@ -3,7 +3,8 @@
 A rule is a glob over a canonical URL: `*` stands for any run of characters other than `/`, `**` for any run at all. All
 rules are laid end to end in one bit vector of several 64-bit words. A character advances every rule at once: states move
 by one bit where the character's mask allows it, states before a wildcard also stay, and empty wildcards are followed
-at once (a rule never has two wildcards in a row). The same step runs over all URLs of a batch together.
+at once (a rule never has two wildcards in a row). The same step runs over all URLs of a batch together, and ends once all states that live are closing `**`:
+a long path costs no more than its rules look at.
 
 Canonical URL: host (after the first `://`, up to `/`, `?`, `#` or the end; A-Z lower-cased) followed by path (then up to
 `?`, `#` or the end). A null URL, or one without `://`, has an empty host and path, so no host rule fits it.
@@ -83,6 +84,8 @@ class ShiftAnd:
         for base, tokens in items:
             skips += [base + j for j, t in enumerate(tokens) if t in ("*", "**")]
         self.skips = self._pack(skips)
+        # States that no further character changes: a closing `**` and the end after it.
+        self.closing = self._pack([b + len(t) - k for b, t in items if t and t[-1] == "**" for k in (0, 1)])
         self.start = self._closed(self._pack(starts)[None, :])[0]
         self.final_word = np.array([f // 64 for f in finals], np.int64)
         self.final_bit = np.array([f % 64 for f in finals], np.uint64)
@@ -126,7 +129,7 @@ class ShiftAnd:
         for pos in range(int(lens[0]) if len(lens) else 0):
             n = int(np.searchsorted(-lens, -pos, side="left"))  # texts longer than pos
             k, d = kinds[begins[:n] + pos], state[:n]
-            if not d.any():
+            if not (d & ~self.closing).any():
                 break
             state[:n] = self._closed((self._shifted(d) & self.move[k]) | (d & self.stay[k]))
         return (state[:, self.final_word] >> self.final_bit & np.uint64(1)).astype(bool)

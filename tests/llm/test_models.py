@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.llm.context_mixing import END, LEAN, Code, Mixer, chained, score_texts
-from loomery.llm.cotraining import Logistic, _distributed, co_train, quality_scores
+from loomery.llm.cotraining import Logistic, _distributed, co_train, features_of, quality_scores
 from loomery.llm.plans import op6_context_mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -181,3 +181,30 @@ def test_surest_rows_of_the_whole_pool(spark):
         got = give([flat, rising], {1.0: 5, 0.0: 5})
         assert {k: len(x) for k, x in got.items()} == {(0, 1.0): 5, (0, 0.0): 0, (1, 1.0): 0, (1, 0.0): 0}, first
     assert [c.cell_contents for c in give.__closure__ if isinstance(c.cell_contents, list) and isinstance(c.cell_contents[0], set)] == [[set(range(n - 10, n)), set()]]
+
+
+def test_ties_among_the_surest_go_by_id(spark):
+    vector = lambda *x: np.array(x, np.float16).tobytes()
+    rows = [(i, vector(0), vector(3)) for i in reversed(range(600))] * 2
+    flat, rising = Logistic(np.zeros(1), np.ones(1), np.zeros(2)), Logistic(np.zeros(1), np.ones(1), np.array([1.0, 0]))
+    for parts in (1, 5):
+        give = _distributed(spark.createDataFrame(rows, "id long, content binary, metadata binary").repartition(parts))
+        for first in (0, 10):
+            assert len(give([flat, rising], {1.0: 10})[0, 1.0]) == 10
+            assert [c.cell_contents for c in give.__closure__ if isinstance(c.cell_contents, list) and isinstance(c.cell_contents[0], set)] == [[set(range(first + 10)), set()]]
+
+
+def test_quality_against_one_process(spark):
+    # The same rounds with all features in one place, ties by id.
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(4)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").filter("doc_id % 3 = 0")
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("m0"), F.col("source").alias("m1"), F.col("n_chars").alias("m2"))
+    made = features_of(rows, ["m0", "m1", "m2"]).withColumn("h", F.xxhash64("id")).toPandas().sort_values("id")
+    y = {r.doc_id: float(r.quality) for r in labels.collect()}
+    known, rest = made[made.id.isin(list(y))].sort_values(["h", "id"]), made[~made.id.isin(list(y))]
+    matrix = lambda some, c: np.stack([np.frombuffer(x, np.float16) for x in some[c]]).astype(float)
+    views = ("content", "metadata")
+    model = co_train([matrix(known, c) for c in views], np.array([y[i] for i in known.id]), [matrix(rest, c) for c in views])
+    want = dict(zip(made.id, model.combined([model.log_odds(v, matrix(made, c)) for v, c in enumerate(views)]), strict=True))
+    got = {r.doc_id: r.quality for r in quality_scores(docs, labels).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from compare import assert_same
 from loomery.llm import registry
-from loomery.llm.mixing import mix_sources
+from loomery.llm.mixing import hash_hex, mix_sources
 from loomery.llm.plans import op4_weak_rules, op5_systematic_mix, op10_hypergeometric_shards
 from loomery.llm.quality_rules import RULES, fit_rules, fit_votes, judge_quality, keep_good
 from loomery.llm.sharding import communication_matrix, hypergeometric, shard_uniformly
@@ -113,6 +114,15 @@ def test_mix_nears_targets(spark):
         assert abs(g.taken.sum() - target) <= 1.1 * g["size"].max()
 
 
+def test_mix_of_rows_without_ids(spark):
+    df = spark.createDataFrame([(None if k % 2 else k, "s", "w " * (3 + k % 2) + str(k)) for k in range(800)] + [(None, "s", "same text")] * 30, "doc_id long, source string, text string")
+    assert df.select(hash_hex("order", F.col("doc_id"), F.col("text")).alias("h")).distinct().count() == 801
+    runs = [sorted(map(tuple, mix_sources(df.repartition(p), total=1.3719, seed=seed).collect()), key=str) for p, seed in ((2, 0), (5, 0), (3, 4))]
+    assert runs[0] == runs[1] != runs[2]
+    for rows in runs:
+        assert abs(sum(r[-1] for r in rows) - rows[0][3]) <= 5
+
+
 def test_mix_targets_and_odd_rows(odd):
     got = mix_sources(odd).toPandas()
     assert len(got) == len(ODD) + 1 and sorted(got["size"]) == sorted([stats(t)[0] for t in ODD] + [1])

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -43,6 +44,16 @@ def test_no_rules_and_no_rows(spark):
     assert judge_urls(df, tie).first().verdict == "allow"
 
 
+def test_very_long_urls(spark):
+    long_ = "/en/" + "x" * 3_000_000
+    df = spark.createDataFrame([(1, f"http://a.example.com{long_}"), (2, f"http://a.net/es{long_}"), (3, f"http://b.org{long_}")], "page_id long, url string")
+    began = time.perf_counter()
+    got = {r.page_id: (r.rule, r.verdict, len(r.path)) for r in judge_urls(df, RULES).collect()}
+    assert got == {1: ("example.com/en/", "block", 3_000_004), 2: ("net/es/", "block", 3_000_007), 3: (None, "allow", 3_000_004)}
+    # A step for each character would take minutes.
+    assert time.perf_counter() - began < 30
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_automaton(seed):
     rnd = random.Random(seed)
