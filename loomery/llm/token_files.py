@@ -15,6 +15,8 @@ executor leaves at worst an unused file.
 
 from __future__ import annotations
 
+import gc
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -135,7 +137,10 @@ def _encode(chunks: list[str], path: str, dtype: np.dtype) -> list[bytes]:
     names = list({p: None for c in cuts for p in c if p not in known})
     for at in range(0, len(names), 10_000):
         some = names[at : at + 10_000]
-        known.update(zip(some, (np.array(e.ids, dtype).tobytes() for e in load(path).encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        ids = [e.ids for e in load(path).encode_batch_fast(some, add_special_tokens=False)]
+        data = np.fromiter(itertools.chain.from_iterable(ids), dtype).tobytes()
+        ends = list(itertools.accumulate(len(x) * dtype.itemsize for x in ids))
+        known.update(zip(some, [data[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)], strict=True))
     for i, c in zip(rest, cuts, strict=True):
         out[i] = known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c])
     return out
@@ -199,6 +204,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_s
             return pa.RecordBatch.from_arrays([self.first if x is None else pa.array([x]) for x in facts], names)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Nothing here makes cycles, and the collector would walk the worker's memory of pre-tokens again and again.
+        gc.disable()
+        try:
+            yield from write_shards(batches)
+        finally:
+            gc.enable()
+
+    def write_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number = None, 0
         for batch in batches:
             for part in words.slices(batch, "text", 8 << 20):
@@ -206,7 +219,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_s
                     shard, number = Shard(number, part.column("id").slice(0, 1)), number + 1
                 text = words.texts(part, "text")
                 # The vocabulary's special strings are matched as they are.
-                flat, per_doc = words.split(text if words.contains(text, b"<|") else _lowered(text, as_is, lowered), as_is)
+                flat, per_doc = words.split(words.mapped(text, as_is) if words.contains(text, b"<|") else _lowered(text, as_is, lowered), None)
                 coded = flat.dictionary_encode()
                 ids = [*_encode(coded.dictionary.to_pylist(), tokenizer_path, dtype), np.array([end_id], dtype).tobytes()]
                 lens = np.fromiter(map(len, ids), np.int64, len(ids)) // dtype.itemsize

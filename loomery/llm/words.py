@@ -63,11 +63,11 @@ def contains(a: pa.StringArray, what: bytes) -> bool:
     return data.slice(int(lo), int(hi - lo)).to_pybytes().find(what) >= 0
 
 
-def split(a: pa.StringArray, table: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
-    """The words of all texts one after another, and how many each text has."""
+def split(a: pa.StringArray, table: np.ndarray | None) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of all texts one after another, and how many each text has. Without a table the texts are mapped already."""
     if not len(a):
         return pa.array([], pa.string()), np.zeros(0, np.int64)
-    lists = pc.ascii_split_whitespace(mapped(a, table))
+    lists = pc.ascii_split_whitespace(a if table is None else mapped(a, table))
     flat, off = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     off -= off[0]
     full = pc.binary_length(flat).to_numpy() > 0
