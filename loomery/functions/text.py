@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the white space of the trimming rules, as a character class (U+0085 is none of it).
-WHITE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-_EDGES = rf"^{WHITE}+|{WHITE}+\z"
+#: Fixed value: the white space of the trimming rules (U+0085 is none of it), as it stands in a character class, and as a text.
+WHITE_INNER = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WHITE = f"[{WHITE_INNER}]"
+WHITE_TEXT = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Replacements from HTML to text, in this order (so doubly escaped entities decode twice).
 HTML_STEPS = (
     (r"(?is)<style.*?</style>", " "),
@@ -24,8 +25,8 @@ HTML_STEPS = (
     (r"(?i)&#39;", "'"),
 )
 
-#: Line ends, blanks before them, empty lines in a row.
-LINE_ENDS = ((r"\r\n", "\n"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"))
+#: Line ends, blanks before them, empty lines in a row. A run of blanks is tried from its start alone, so long runs cost no more than their length.
+LINE_ENDS = ((r"\r\n", "\n"), (r"(?<![ \t])[ \t]++\n", "\n"), (r"\n{3,}", "\n\n"))
 #: Where a mail event may nest its content, and the names of text, markup and preview, in order.
 NESTED = ("data", "email", "message", "body", "content")
 TEXT_KEYS = ("text", "plain", "plaintext", "text_body", "body_text", "raw_text", "body")
@@ -39,8 +40,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim(c: Column) -> Column:
-    """Unicode white space off both ends (Spark's own trim takes spaces only)."""
-    return F.regexp_replace(c, _EDGES, "")
+    """Unicode white space off both ends (Spark's own trim takes spaces only). Looks at the ends alone."""
+    return F.btrim(c, F.lit(WHITE_TEXT))
 
 
 def html_to_text(c: Column) -> Column:
@@ -55,7 +56,7 @@ def normalize_body(c: Column, most: int = 3000) -> Column:
         c = F.regexp_replace(c, pattern, to)
 
     def clip(t: Column) -> Column:
-        cut = F.when(F.length(t) > most, F.concat(F.regexp_replace(F.left(t, F.lit(most)), rf"{WHITE}+\z", ""), F.lit("\n..."))).otherwise(t)
+        cut = F.when(F.length(t) > most, F.concat(F.rtrim(F.left(t, F.lit(most)), F.lit(WHITE_TEXT)), F.lit("\n..."))).otherwise(t)
         return F.replace(cut, F.lit("```"), F.lit("'''"))
 
     return let(trim(c), lambda t: F.when(t != "", clip(t)))
@@ -112,8 +113,16 @@ def json_or_text(json: Column, text: Column) -> Column:
     return F.coalesce(F.when(value.isNotNull() & ~F.is_variant_null(value), json_text(json)), text)
 
 
+# What a component of a URI keeps besides letters, digits and -._*
+UNESCAPED = {"%20": "+", "~": "%7E", "!": "%21", "'": "%27", "(": "%28", ")": "%29"}
+
+
 def percent_encode(c: Column) -> Column:
-    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    """A text as a component of a URI."""
+    out = F.url_encode(c)
+    for to, written in UNESCAPED.items():
+        out = F.replace(out, F.lit(written), F.lit(to))
+    return out
 
 
 def sha256_base64url(c: Column) -> Column:

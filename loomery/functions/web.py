@@ -5,15 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import percent_encode
-
-# Hints that follow the message of an error code.
-HINTS = {
-    "payment_required": "The connected account has no active plan - pick one on the keys page.",
-    "quota_exceeded": "Monthly quota exhausted - upgrade on the keys page or wait for the period to reset.",
-    "session_limit_exceeded": "Stored browser session limit reached - clear a session on the keys page or upgrade.",
-    "unauthorized": "The key for this connection was revoked - reconnect the connector.",
-}
+from .text import let
+
 # Kinds of response bodies.
 CONTENT_KINDS = ("html", "json", "text", "binary", "empty", "unknown")
 
@@ -23,8 +16,8 @@ def lookup(values: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
 
 
-def error_text(code: Column, message: Column, hints: dict[str, str] = HINTS) -> Column:
-    """`code: message`, with a hint for known codes."""
+def error_text(code: Column, message: Column, hints: dict[str, str]) -> Column:
+    """`code: message`, with the hint of a code that has one."""
     code = F.coalesce(code, F.lit("fetch_failed"))
     hint = lookup(hints, code)
     return F.concat(code, F.lit(": "), F.coalesce(message, F.lit("request failed")), F.coalesce(F.concat(F.lit(" "), hint), F.lit("")))
@@ -68,11 +61,29 @@ def text_params(params: Column) -> Column:
     return F.transform_values(kept, lambda _, v: F.try_variant_get(v, "$", "string"))
 
 
-def append_query(url: Column, name: str, value: Column) -> Column:
-    """The URL with one more parameter (blank values add none), before its fragment."""
+def set_query(url: Column, name: str, value: Column) -> Column:
+    """The URL with a parameter set, before its fragment: the first of that name is replaced, further ones go, else it is added. Blank values set nothing.
+
+    All parameters are written anew, as forms are: a space as +, and an equals sign after each name.
+    """
     base, fragment = F.substring_index(url, "#", 1), F.when(F.contains(url, F.lit("#")), F.substr(url, F.instr(url, "#"))).otherwise("")
-    with_it = F.concat(base, F.when(F.contains(base, F.lit("?")), "&").otherwise("?"), F.lit(f"{name}="), percent_encode(value), fragment)
-    return F.when(F.coalesce(value, F.lit("")) == "", url).otherwise(with_it)
+    path, query = F.substring_index(base, "?", 1), F.when(F.contains(base, F.lit("?")), F.substr(base, F.instr(base, "?") + 1)).otherwise("")
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+
+    def pair(x: Column) -> Column:
+        given = F.when(F.contains(x, F.lit("=")), F.substr(x, F.instr(x, "=") + 1)).otherwise("")
+        return F.struct(decoded(F.substring_index(x, "=", 1)).alias("k"), decoded(given).alias("v"))
+
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), pair)
+
+    def put(all_: Column) -> Column:
+        mine = F.array_position(F.transform(all_, lambda p: p["k"]), F.lit(name))
+        once = F.filter(all_, lambda p, i: (p["k"] != name) | (i + 1 == mine))
+        chosen = F.transform(once, lambda p: F.struct(p["k"].alias("k"), F.when(p["k"] == name, value).otherwise(p["v"]).alias("v")))
+        more = F.when(mine == 0, F.array(F.struct(F.lit(name).alias("k"), value.alias("v")))).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
+        return F.array_join(F.transform(F.concat(chosen, more), lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
+
+    return F.when(F.coalesce(value, F.lit("")) == "", url).otherwise(F.concat(path, F.lit("?"), let(pairs, put), fragment))
 
 
 def safe_path(path: Column, otherwise: str = "/keys") -> Column:

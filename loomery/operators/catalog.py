@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import category_label
+from ..functions.text import WHITE_TEXT
 
 LAST = 2**53 - 1
 
@@ -33,20 +34,20 @@ def placed(tools: DataFrame) -> DataFrame:
     return joined.withColumn("place", F.col("start") + F.col("within")).drop("f", "r", "start", "within")
 
 
-def facet(tools: DataFrame, category: str | None) -> str | None:
-    """The asked category if the catalogue has it, else none (so no filter)."""
-    return category if category and not tools.filter(F.col("category") == category).isEmpty() else None
-
-
 def storefront(tools: DataFrame, category: str | None = None, least: int = 9, k: int = 6) -> DataFrame:
-    """Tools with their section: a popular strip of k only without a facet and from `least` tools on, else all in the grid."""
-    active = facet(tools, category)
-    if active:
-        return tools.filter(F.col("category") == active).withColumn("section", F.lit("grid"))
-    if tools.limit(least).count() < least:
-        return tools.withColumn("section", F.lit("grid"))
-    strip = F.broadcast(popular(tools, k).select("id", F.lit("popular").alias("section")))
-    return tools.join(strip, "id", "left").withColumn("section", F.coalesce("section", F.lit("grid")))
+    """Tools with their section. A category that the catalogue has shows its tools alone, in the grid; an unknown one counts as none. Without one, a popular
+    strip of k comes first from `least` tools on, else all stand in the grid.
+
+    The category and the number of tools are looked up inside the plan, as scalar subqueries: no job runs while it is made.
+    """
+    strip = popular(tools, k).select(F.col("id").alias("__id"))
+    seen = tools.join(F.broadcast(strip), F.col("id") == F.col("__id"), "left").withColumn("__strip", F.col("__id").isNotNull()).drop("__id")
+    unknown = F.lit(True)
+    if category:
+        unknown = tools.filter(F.col("category") == category).agg(F.count("*") == 0).scalar()
+        seen = seen.filter((F.col("category") == category) | unknown)
+    many = tools.agg(F.count("*") >= least).scalar()
+    return seen.withColumn("section", F.when(unknown & many & F.col("__strip"), "popular").otherwise("grid")).drop("__strip")
 
 
 def search(tools: DataFrame, query: str | None = None, category: str | None = None, limit: int = 8) -> DataFrame:
@@ -57,7 +58,7 @@ def search(tools: DataFrame, query: str | None = None, category: str | None = No
     """
     if not 1 <= limit <= 20:
         raise ValueError("limit must be between 1 and 20")
-    terms = [t for t in re.split(r"\s+", (query or "").strip().lower()) if t]
+    terms = [t for t in re.split(f"[{WHITE_TEXT}]+", (query or "").lower()) if t]
     if category:
         tools = tools.filter(F.col("category") == category)
     has = lambda c: c in tools.columns

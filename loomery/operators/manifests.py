@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import variants as V
 from .publishing import CATEGORY, DIRECTORY, ENTRY, MOST_BUNDLE, NAME, RESERVED, SHA256, VERSION, first_failing, repo_tool_name, safe_svg, tool_name, violations
+from .validation import URI, schema_faults
 
 # Least and most length of a manifest's texts.
 LENGTHS = {
@@ -26,56 +28,47 @@ PATTERNS = {"name": NAME, "version": VERSION, "category": CATEGORY, "entry": ENT
 CHANNELS = ("live", "staging", "delist")
 
 
-def _get(json: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(json, f"$.{path}", kind)
-
-
-def _is(json: Column, path: str, kind: str) -> Column:
-    return F.schema_of_variant(_get(json, path, "variant")).startswith(kind)
-
-
-def _text(json: Column, path: str) -> Column:
-    """The string at a path; null where another kind of value stands."""
-    return F.when(_is(json, path, "STRING"), _get(json, path, "string"))
-
-
 def _whole(json: Column, path: str, low: int, high: int) -> Column:
     """A number without a fraction within bounds."""
-    n = F.when(_is(json, path, "BIGINT") | _is(json, path, "DECIMAL") | _is(json, path, "DOUBLE"), _get(json, path, "double"))
-    return n.between(low, high) & (n == F.floor(n))
+    return V.is_whole(V.number(json, path), low, high)
 
 
-def _absent(json: Column, path: str) -> Column:
-    return _get(json, path, "variant").isNull()
+def _url(c: Column) -> Column:
+    return c.rlike(URI)
 
 
 def rules(json: Column) -> dict[str, Column]:
-    """The rules of a manifest (a variant), by name, in their order."""
-    out = {name: _text(json, name).rlike(pattern) for name, pattern in PATTERNS.items()}
-    out |= {path: F.length(_text(json, path)).between(low, high) for path, (low, high) in LENGTHS.items()}
-    out["logo.svg.safe"] = safe_svg(_text(json, "logo.svg"))
-    out["logo.sourceUrl"] = _absent(json, "logo.sourceUrl") | _text(json, "logo.sourceUrl").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:\S+\z")
+    """The rules of a manifest (a variant), by name, in their order. JSON's null is a value: an optional field may be left out, but not be null."""
+    out = {name: V.text(json, name).rlike(pattern) for name, pattern in PATTERNS.items()}
+    out |= {path: F.length(V.text(json, path)).between(low, high) for path, (low, high) in LENGTHS.items()}
+    out["logo.svg.safe"] = safe_svg(V.text(json, "logo.svg"))
+    out["logo.sourceUrl"] = V.absent(json, "logo.sourceUrl") | _url(V.text(json, "logo.sourceUrl"))
     for path, (low, high, texts) in LISTS.items():
-        each = _get(json, path, "array<variant>")
+        each = V.items(json, path)
         out[path] = F.size(each).between(low, high) & F.forall(each, _entry(texts))
     low, high, short, long_ = KEYWORDS
-    words = _get(json, "seo.keywords", "array<variant>")
-    is_text = lambda x: F.coalesce((F.schema_of_variant(x) == "STRING") & F.length(F.try_variant_get(x, "$", "string")).between(short, long_), F.lit(False))
-    out["seo.keywords"] = F.size(words).between(low, high) & F.forall(words, is_text)
-    rank, score = _absent(json, "popularity.rank"), _absent(json, "popularity.score")
-    number = F.when(~_is(json, "popularity.score", "STRING"), _get(json, "popularity.score", "double"))
-    out["popularity"] = _absent(json, "popularity") | (~(rank & score) & (rank | _whole(json, "popularity.rank", 1, 10_000)) & (score | number.between(0, 1e9)))
+    words = V.strings(json, "seo.keywords")
+    out["seo.keywords"] = F.size(words).between(low, high) & F.forall(words, lambda x: F.length(x).between(short, long_))
+    rank, score = V.absent(json, "popularity.rank"), V.absent(json, "popularity.score")
+    one = V.members(json, "popularity").isNotNull() & ~(rank & score) & (rank | _whole(json, "popularity.rank", 1, 10_000)) & (score | V.number(json, "popularity.score").between(0, 1e9))
+    out["popularity"] = V.absent(json, "popularity") | one
     out["creditsEstimate"] = _whole(json, "creditsEstimate", 1, 50)
-    out["maxEngineCalls"] = _absent(json, "maxEngineCalls") | _whole(json, "maxEngineCalls", 1, 50)
-    out["inputSchema"] = _schema(json, "inputSchema")
-    out["outputSchema"] = _absent(json, "outputSchema") | _schema(json, "outputSchema")
-    named = _get(json, "examples", "array<variant>")
-    out["examples"] = (F.size(named) >= 1) & F.forall(named, lambda x: F.coalesce(F.length(_text(x, "name")) >= 1, F.lit(False)))
+    out["maxEngineCalls"] = V.absent(json, "maxEngineCalls") | _whole(json, "maxEngineCalls", 1, 50)
+    out["inputSchema"] = F.size(schema_faults(V.member(json, "inputSchema"))) == 0
+    out["outputSchema"] = V.absent(json, "outputSchema") | (F.size(schema_faults(V.member(json, "outputSchema"), output=True)) == 0)
+    named = V.items(json, "examples")
+    out["examples"] = (F.size(named) >= 1) & F.forall(named, _example)
     return out
 
 
+def _example(x: Column) -> Column:
+    """A name, and if anything is expected, an object, in which outputMatches is one too."""
+    expected = V.absent(x, "expect") | (V.members(x, "expect").isNotNull() & (V.absent(x, "expect.outputMatches") | V.members(x, "expect.outputMatches").isNotNull()))
+    return _all([F.length(V.text(x, "name")) >= 1, expected])
+
+
 def _entry(texts: dict[str, tuple[int, int]]):
-    return lambda x: _all(F.length(_text(x, k)).between(*bounds) for k, bounds in texts.items())
+    return lambda x: _all(F.length(V.text(x, k)).between(*bounds) for k, bounds in texts.items())
 
 
 def _all(conditions) -> Column:
@@ -85,14 +78,6 @@ def _all(conditions) -> Column:
     return out
 
 
-def _schema(json: Column, path: str) -> Column:
-    """An object schema that says what properties it has and takes no others; each property has a known type."""
-    kinds = F.map_values(_get(json, f"{path}.properties", "map<string,variant>"))
-    known = F.forall(kinds, lambda p: F.coalesce(_text(p, "type").isin("string", "number", "integer", "boolean", "array", "object"), F.lit(False)))
-    closed = _is(json, f"{path}.additionalProperties", "BOOLEAN") & ~_get(json, f"{path}.additionalProperties", "boolean")
-    return (_text(json, f"{path}.type") == "object") & closed & known
-
-
 def manifest_violations(json: Column) -> Column:
     """The names of the rules that a manifest (a variant) breaks."""
     return violations(rules(json))
@@ -103,15 +88,15 @@ def publish_error(payload: Column, org: str) -> Column:
 
     Steps: payload, manifest, name by repository or directory, reserved names, bundle present, its size in bytes, its hash.
     """
-    repo, folder, channel = _text(payload, "repo"), _text(payload, "source_dir"), _text(payload, "channel")
-    sha, packed, manifest = _text(payload, "bundle_sha256"), _text(payload, "bundle_b64"), _get(payload, "manifest", "variant")
-    optional = lambda path, ok: _absent(payload, path) | ok
+    repo, folder, channel = V.text(payload, "repo"), V.text(payload, "source_dir"), V.text(payload, "channel")
+    sha, packed, manifest = V.text(payload, "bundle_sha256"), V.text(payload, "bundle_b64"), V.member(payload, "manifest")
+    optional = lambda path, ok: V.absent(payload, path) | ok
     sound = (
         repo.rlike(rf"^\Q{org}\E/[A-Za-z0-9._-]+\z") & channel.isin(*CHANNELS) & optional("source_dir", folder.rlike(DIRECTORY)) & optional("bundle_sha256", sha.rlike(SHA256))
-        & optional("bundle_b64", packed.isNotNull()) & optional("commit_sha", _text(payload, "commit_sha").isNotNull())
+        & optional("bundle_b64", packed.isNotNull()) & optional("commit_sha", V.text(payload, "commit_sha").isNotNull())
     )
     expected = F.when(folder.isNotNull(), tool_name(folder)).otherwise(repo_tool_name(repo))
-    name, bundle = _text(manifest, "name"), F.try_to_binary(packed, F.lit("base64"))
+    name, bundle = V.text(manifest, "name"), F.try_to_binary(packed, F.lit("base64"))
     later = {
         "invalid_manifest": F.size(manifest_violations(manifest)) == 0,
         "name_mismatch": name == expected,

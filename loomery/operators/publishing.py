@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trim
+from ..functions.text import WHITE, WHITE_INNER, trim
 
 # Names that are taken already, or kept for later.
 RESERVED = (
@@ -18,8 +18,11 @@ LEADING = ("name", "title", "rating", "reviews", "price", "phone", "website", "e
 # Patterns of a manifest's and a payload's fields (\z: a line end after the last character is no match).
 NAME, VERSION, CATEGORY, ENTRY = r"^[a-z][a-z0-9_]{2,63}\z", r"^[0-9]+\.[0-9]+\.[0-9]+\z", r"^[a-z][a-z0-9-]{1,31}\z", r"^src/[^\n\r\x{2028}\x{2029}]+\.(ts|js)\z"
 SHA256, DIRECTORY, SLUG, DATE, UUID = r"^[0-9a-f]{64}\z", r"^tools/[A-Za-z0-9._-]+\z", r"^[a-z0-9]+(?:-[a-z0-9]+)*\z", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z", r"(?i)^[0-9a-f-]{36}\z"
-# What an inline SVG must not hold.
-SVG_BANNED = (r"(?i)<\s*(script|foreignObject|iframe|object|embed|link|style)\b", r"(?i)\son[a-z]+\s*=", r"(?i)\b(?:href|xlink:href|src)\s*=", r"(?i)url\(\s*['\"]?(?!#)")
+# What an inline SVG must not hold. White space is the wide kind, words are ASCII ones.
+SVG_BANNED = (
+    rf"(?i)<{WHITE}*(script|foreignObject|iframe|object|embed|link|style)(?![A-Za-z0-9_])", rf"(?i){WHITE}on[a-z]+{WHITE}*=", rf"(?i)(?<![A-Za-z0-9_])(?:href|xlink:href|src){WHITE}*=",
+    rf"(?i)url\({WHITE}*['\"]?(?!#)",
+)
 MOST_BUNDLE = 2 * 1024 * 1024
 
 
@@ -50,7 +53,7 @@ def first_failing(rules: dict[str, Column], otherwise: Column) -> Column:
 def safe_svg(c: Column) -> Column:
     """An inline SVG without scripts, handlers, links or outside references."""
     t = trim(c)
-    ok = t.rlike(r"(?i)^<svg[\s>]") & t.rlike(r"(?i)</svg>\z")
+    ok = t.rlike(rf"(?i)^<svg[{WHITE_INNER}>]") & t.rlike(r"(?i)</svg>\z")
     for pattern in SVG_BANNED:
         ok = ok & ~t.rlike(pattern)
     return F.coalesce(ok, F.lit(False))

@@ -1,18 +1,12 @@
-"""Queries on schemas, manifests, payloads, forms and API results. Twins hold the expected values by hand, one for each kind of input."""
+"""Queries on requests, API results, clients and keys."""
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import web as W
-from ..operators import manifests as M
 from ..operators import publishing as P
-from ..operators import schemas as S
 from ..operators.stateful import delete_where
 from ..sources.tables import read, tools
 from .registry import query
@@ -23,132 +17,10 @@ def _kinds(key: str, values: list) -> Column:
     return F.get(F.array(*[F.lit(x) for x in values]), (F.col(key) % len(values)).cast("int"))
 
 
-def _literal(x) -> str:
-    if isinstance(x, list):
-        return "[" + ", ".join(map(_literal, x)) + "]"
-    if isinstance(x, str):
-        return "'" + x.replace("'", "''") + "'"
-    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x)
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") v({names})"
-
-
-SCHEMAS = [
-    {"type": "object", "properties": {"zip": {"type": "string", "enum": ["a", "b"], "default": "a", "description": "one"}, "n": {"type": "integer", "default": 3}, "on": {"type": "boolean", "default": False}}, "required": ["zip"], "additionalProperties": False},
-    {"type": "object", "properties": {"tags": {"type": "array", "items": {"type": "number"}, "default": [1]}, "geo": {"type": "object", "properties": {"lat": {"type": "number"}, "day": {"type": "string", "format": "date", "default": 'x"y'}}, "required": ["lat"], "additionalProperties": False}}, "required": ["geo"], "additionalProperties": False},
-    {"type": "object", "properties": {}, "additionalProperties": False},
-    {"type": "object", "properties": {"ok": {"type": "boolean"}, "found": {"type": "array", "items": {"type": "object", "properties": {"zeta": {"type": "string"}, "url": {"type": "string", "format": "uri"}, "id": {"type": "string"}, "alpha": {"type": "string"}}}}, "more": {"type": "array", "items": {"type": "object", "properties": {"x": {"type": "string"}}}}}, "additionalProperties": False},
-]
-_FIELDS = [
-    (0, "zip", '"a" | "b"', True, '"a"', "one"), (0, "n", "integer", False, "3", None), (0, "on", "boolean", False, "false", None),
-    (1, "tags", "number[]", False, None, None), (1, "geo", "object", True, None, None), (1, "geo.lat", "number", True, None, None), (1, "geo.day", "string (date)", False, '"x\\"y"', None),
-    (3, "ok", "boolean", False, None, None), (3, "found", "object[]", False, None, None), (3, "more", "object[]", False, None, None),
-]
-
-
-@query("schema_fields_json", f'SELECT p_partkey, name, type, required, default_ AS "default", description FROM part JOIN {_values(_FIELDS, "k, name, type, required, default_, description")} ON k = p_partkey % 4')
-def schema_fields_json(spark, d):
-    """Fields of JSON schemas, members of objects dotted."""
-    return S.fields(read(spark, d, "part").select("p_partkey", _kinds("p_partkey", [json.dumps(x) for x in SCHEMAS]).alias("schema")), "p_partkey", "schema")
-
-
-@query("output_names_json", f"SELECT p_partkey, names FROM part JOIN {_values([(0, ['n', 'on', 'zip']), (1, ['geo', 'tags']), (3, ['url', 'alpha', 'zeta'])], 'k, names')} ON k = p_partkey % 4 UNION ALL SELECT p_partkey, [] FROM part WHERE p_partkey % 4 = 2")
-def output_names_json(spark, d):
-    """Names to show: those of the first list of objects, else the schema's own."""
-    schema = _kinds("p_partkey", [json.dumps(x) for x in SCHEMAS])
-    return read(spark, d, "part").select("p_partkey", P.leading_fields(S.output_names(schema)).alias("names"))
-
-
-_EXAMPLES = [[{"input": {"max": 3, "q": "cats"}}], [{"input": {"query": None, "url": "https://x.example/" + "y" * 40}}], [{"input": {"query": 7, "b": "second", "a": "third"}}], [{"input": {"n": 1}}], [], [{"name": "no input"}]]
-_EXAMPLE_VALUES = [(0, "cats"), (1, "https://x.example/" + "y" * 29 + "…"), (2, "second"), (3, None), (4, None), (5, None)]
-
-
-@query("example_values_json", f"SELECT p_partkey, value FROM part JOIN {_values(_EXAMPLE_VALUES, 'k, value')} ON k = p_partkey % 6")
-def example_values_json(spark, d):
-    """A telling value from each first example."""
-    return read(spark, d, "part").select("p_partkey", S.example_value(_kinds("p_partkey", [json.dumps(x) for x in _EXAMPLES])).alias("value"))
-
-
-_FILLED = [(0, ["n", "on", "zip"], ["5", "false", '"a"']), (1, ["n", "tags"], ["5", "[1]"]), (2, ["n"], ["5"]), (3, ["n"], ["5"])]
-
-
-@query("schema_defaults_fill", f"SELECT p_partkey, names, vals FROM part JOIN {_values(_FILLED, 'k, names, vals')} ON k = p_partkey % 4")
-def schema_defaults_fill(spark, d):
-    """Inputs with the defaults of their schemas."""
-    filled = S.with_defaults(F.create_map(F.lit("n"), F.lit("5")), _kinds("p_partkey", [json.dumps(x) for x in SCHEMAS]))
-    e = read(spark, d, "part").select("p_partkey", F.array_sort(F.map_entries(filled)).alias("e"))
-    return e.select("p_partkey", F.col("e.key").alias("names"), F.col("e.value").alias("vals"))
-
-
-#: A sound manifest; others break the rules named beside them.
-SOUND = {
-    "name": "page_reader", "version": "1.2.0", "title": "Page reader", "description": "Reads a page and gives its text.", "category": "content",
-    "logo": {"label": "Reader", "svg": "<svg viewBox='0 0 1 1'><path d='M0 0'/></svg>"},
-    "seo": {
-        "title": "Read any page as plain text", "description": "d" * 80, "intro": "i" * 160, "useCases": [{"title": "Use", "description": "u" * 40}] * 2,
-        "faqs": [{"question": "Does it read?", "answer": "a" * 40}] * 2, "keywords": ["read", "page", "text"],
-    },
-    "creditsEstimate": 2, "inputSchema": SCHEMAS[0], "examples": [{"name": "one", "input": {}}], "entry": "src/index.ts",
-}
-MANIFESTS = [
-    (SOUND, []),
-    (SOUND | {"name": "page_reader\n", "version": "1.2", "entry": "src/a.py"}, ["name", "version", "entry"]),
-    (SOUND | {"title": 5, "creditsEstimate": 2.5, "maxEngineCalls": 51, "popularity": {}}, ["title", "popularity", "creditsEstimate", "maxEngineCalls"]),
-    (SOUND | {"popularity": {"rank": 3, "score": -1}, "examples": [], "inputSchema": {"type": "object", "properties": {"a": {"type": "date"}}, "additionalProperties": False}}, ["popularity", "inputSchema", "examples"]),
-    (SOUND | {"logo": {"label": "L", "svg": "<svg onload='x'><path/></svg>", "sourceUrl": "no url"}, "popularity": {"rank": 3}, "maxEngineCalls": 50}, ["logo.label", "logo.svg.safe", "logo.sourceUrl"]),
-    (SOUND | {"seo": SOUND["seo"] | {"faqs": [{"question": "Why?", "answer": "a" * 40}] * 2, "useCases": [{"title": "Use", "description": "u" * 40}], "keywords": ["read", 5, "text"], "intro": "short"}}, ["seo.intro", "seo.useCases", "seo.faqs", "seo.keywords"]),
-    (SOUND | {"outputSchema": {"type": "object", "properties": {}, "additionalProperties": True}, "popularity": {"score": 12.5}}, ["outputSchema"]),
-    ([1], [*M.PATTERNS, *M.LENGTHS, "logo.svg.safe", *M.LISTS, "seo.keywords", "creditsEstimate", "inputSchema", "examples"]),
-]
-
-
-@query("manifest_rules_json", f"SELECT p_partkey, violations FROM part JOIN {_values([(k, v) for k, (_, v) in enumerate(MANIFESTS) if v], 'k, violations')} ON k = p_partkey % 8 UNION ALL SELECT p_partkey, [] FROM part WHERE p_partkey % 8 = 0")
-def manifest_rules_json(spark, d):
-    """Which rules each JSON manifest breaks, in their order."""
-    m = read(spark, d, "part").select("p_partkey", F.try_parse_json(_kinds("p_partkey", [json.dumps(x) for x, _ in MANIFESTS])).alias("m"))
-    return m.select("p_partkey", M.manifest_violations(F.col("m")).alias("violations"))
-
-
-_BUNDLE, _SHA = base64.b64encode(b"bundle").decode(), hashlib.sha256(b"bundle").hexdigest()
-_SENT = {"manifest": SOUND, "repo": "acme/page-reader", "channel": "live", "bundle_b64": _BUNDLE, "bundle_sha256": _SHA}
-PAYLOADS = [
-    (_SENT, "ok"),
-    (_SENT | {"repo": "other/page-reader"}, "bad_payload"),
-    (_SENT | {"channel": "beta"}, "bad_payload"),
-    ({"repo": "acme/x", "channel": "delist"}, "ok"),
-    (_SENT | {"manifest": SOUND | {"version": "1"}}, "invalid_manifest"),
-    (_SENT | {"source_dir": "tools/other-name"}, "name_mismatch"),
-    (_SENT | {"repo": "acme/tools", "source_dir": "tools/page-reader"}, "ok"),
-    (_SENT | {"manifest": SOUND | {"name": "list_tools"}, "repo": "acme/list-tools"}, "reserved_name"),
-    ({k: v for k, v in _SENT.items() if k != "bundle_b64"}, "missing_bundle"),
-    (_SENT | {"bundle_b64": base64.b64encode(b"other").decode()}, "sha_mismatch"),
-    (_SENT | {"bundle_sha256": _SHA + "\n"}, "bad_payload"),
-]
-
-
-@query("publish_steps_json", f"SELECT p_partkey, error FROM part JOIN {_values([(k, v) for k, (_, v) in enumerate(PAYLOADS)], 'k, error')} ON k = p_partkey % {len(PAYLOADS)}")
-def publish_steps_json(spark, d):
-    """The first failing step of each JSON payload."""
-    p = read(spark, d, "part").select("p_partkey", F.try_parse_json(_kinds("p_partkey", [json.dumps(x) for x, _ in PAYLOADS])).alias("payload"))
-    return p.select("p_partkey", M.publish_error(F.col("payload"), "acme").alias("error"))
-
-
-_FORMS = [("a=1&b=x%20y&a=2", False), ("a=+%2B&&c", False), ('{"a": "j", "b": "k"}', True), ("", False)]
-
-
-@query("form_fields", f"SELECT event_id, a, b, c FROM events JOIN {_values([(0, '2', 'x y', None), (1, ' +', None, ''), (2, 'j', 'k', None), (3, None, None, None)], 'k, a, b, c')} ON k = event_id % 4")
-def form_fields(spark, d):
-    """Form bodies and JSON bodies as maps."""
-    f = read(spark, d, "events").select("event_id", W.form_fields(_kinds("event_id", [x for x, _ in _FORMS]), _kinds("event_id", [y for _, y in _FORMS])).alias("f"))
-    return f.select("event_id", *[F.try_element_at("f", F.lit(k)).alias(k) for k in "abc"])
-
-
 @query(
     "request_helpers",
     """
-SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '/a?x=1' ELSE '/keys' END AS next, CASE c_custkey % 3 WHEN 0 THEN 'https://h/p?state=' || c_custkey WHEN 1 THEN 'https://h/?a=1&state=' || c_custkey || '#f' ELSE 'https://h/' END AS target,
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '/a?x=1' ELSE '/keys' END AS next, CASE c_custkey % 3 WHEN 0 THEN 'https://h/p?state=' || replace(c_name, '#', '%23') || '+%C3%A9' WHEN 1 THEN 'https://h/?a=' || c_nationkey || '&state=' || replace(c_name, '#', '%23') || '+%C3%A9&b=#f' ELSE 'https://h/?a=' || c_nationkey END AS target,
   CASE WHEN c_custkey % 2 = 0 THEN 'caller' ELSE 'own' END AS accept, left(c_name, 10) AS prefix, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'v' || c_custkey END AS first,
   CASE WHEN c_custkey % 5 > 0 THEN TIMESTAMP '1970-01-01' + to_seconds(c_custkey % 5) END AS at, CASE c_custkey % 3 WHEN 0 THEN 'starter' WHEN 1 THEN 'scale' END AS tier FROM customer""",
 )
@@ -158,23 +30,13 @@ def request_helpers(spark, d):
     own, caller = F.create_map(F.lit("accept"), F.lit("own"), F.lit("x"), F.lit("y")), F.when(k % 2 == 0, F.create_map(F.lit("accept"), F.lit("caller"))).otherwise(F.create_map().cast("map<string,string>"))
     return read(spark, d, "customer").select(
         "c_custkey", W.safe_path(_kinds("c_custkey", ["/a?x=1", "//evil", "http://x"])).alias("next"),
-        W.append_query(_kinds("c_custkey", ["https://h/p", "https://h/?a=1#f", "https://h/"]), "state", F.when(k % 3 < 2, k.cast("string"))).alias("target"),
+        W.set_query(F.when(k % 3 == 0, "https://h/p").when(k % 3 == 1, F.concat(F.lit("https://h/?a="), "c_nationkey", F.lit("&state=old&b&state=2#f"))).otherwise(F.concat(F.lit("https://h/?a="), "c_nationkey")), "state", F.when(k % 3 < 2, F.concat("c_name", F.lit(" é")))).alias("target"),
         F.try_element_at(W.merged_headers(own, caller), F.lit("accept")).alias("accept"), W.key_prefix(F.col("c_name")).alias("prefix"),
         W.first_of(F.when(k % 4 > 0, F.array(F.concat(F.lit("v"), k), F.lit("z")))).alias("first"), W.epoch_time(k % 5).alias("at"),
         W.tier_of_price(_kinds("c_custkey", ["price_1", "price_3", "price_9"]), {"starter": "price_1", "pro": "price_2", "scale": "price_3"}).alias("tier"),
     )
 
 
-_ERRORS = [(0, "timeout: late"), (1, "fetch_failed: request failed"), (2, f"unauthorized: late {W.HINTS['unauthorized']}"), (3, f"quota_exceeded: late {W.HINTS['quota_exceeded']}")]
-
-
-@query("error_texts", f"SELECT o_orderkey, text FROM orders JOIN {_values(_ERRORS, 'k, text')} ON k = o_orderkey % 4")
-def error_texts(spark, d):
-    """Error codes with messages and hints."""
-    code, message = _kinds("o_orderkey", ["timeout", None, "unauthorized", "quota_exceeded"]), _kinds("o_orderkey", ["late", None, "late", "late"])
-    return read(spark, d, "orders").select("o_orderkey", W.error_text(code, message).alias("text"))
-
-
 @query(
     "result_outcomes",
     """
@@ -212,13 +74,6 @@ def keys_after_delete(spark, d):
     return delete_where(read(spark, d, "orders").filter("o_orderstatus <> 'F'"), F.col("o_custkey") % 7 == 0).select("o_orderkey", "o_custkey")
 
 
-@query("string_params", f"SELECT event_id, names FROM events JOIN {_values([(0, ['a', 'c']), (1, ['b'])], 'k, names')} ON k = event_id % 2")
-def string_params(spark, d):
-    """Of request parameters, those that are strings."""
-    m = F.from_json(_kinds("event_id", ['{"a": "x", "b": 5, "c": "", "d": ["y"]}', '{"b": "z", "a": null}']), "map<string,variant>")
-    return read(spark, d, "events").select("event_id", F.array_sort(F.map_keys(W.text_params(m))).alias("names"))
-
-
 @query("pretty_json", "SELECT r_regionkey, '{' || chr(10) || '  \"key\" : ' || r_regionkey || ',' || chr(10) || '  \"name\" : \"' || r_name || '\"' || chr(10) || '}' AS text FROM region")
 def pretty_json(spark, d):
     """Rows as indented JSON texts."""

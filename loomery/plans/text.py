@@ -131,10 +131,10 @@ def url_parts_allowlist(spark, d):
     return read(spark, d, "pages").select("page_id", uri.alias("uri")).withColumn("allowed", T.allowed_redirect(F.col("uri")))
 
 
-@query("percent_encode", "SELECT page_id, url_encode(url || ' é+') AS encoded FROM pages")
+@query("percent_encode", """SELECT page_id, url_encode(url || ' é+') || '*~!''()' AS encoded FROM pages""")
 def percent_encode(spark, d):
-    """Percent-encoded query values."""
-    return read(spark, d, "pages").select("page_id", T.percent_encode(F.concat("url", F.lit(" é+"))).alias("encoded"))
+    """Texts as components of a URI."""
+    return read(spark, d, "pages").select("page_id", T.percent_encode(F.concat("url", F.lit(" é+*~!'()"))).alias("encoded"))
 
 
 @query("hash_art_bits", "SELECT p_partkey, list_transform(range(128), lambda i: (('0x' || substr(md5(p_name), (i // 8 * 2 + 1)::INT, 2))::INT >> (7 - i % 8)::INT) & 1 = 1) AS bits, ('0x' || left(md5(p_name), 2))::INT % 14 AS color FROM part")
