@@ -14,6 +14,21 @@ def fetch_result(pages: DataFrame, most: int = 60_000) -> DataFrame:
     return pages.select("page_id", "url", body.alias("html"), cut.alias("html_truncated"), F.octet_length("html").alias("body_bytes"))
 
 
+# The fields of a fetched page, in order; content and its flag follow.
+PAGE_FIELDS = (
+    "status", "final_url", "title", "blocked", "block_reason", "attempts", "transport", "timing_ms", "proxy_used", "cache_status", "content_type", "content_kind", "body_bytes", "body_truncated",
+    "headers",
+)
+
+
+def page_result(fetched: DataFrame, key: list[str], markup: bool, most: int = 60_000) -> DataFrame:
+    """A fetched page as it is returned: its fields (null where the capture lacks one), then content (html or body_text, empty if there is none) cut at `most` characters."""
+    body = F.coalesce(F.col("html" if markup else "body_text"), F.lit(""))
+    content, cut = truncated(body, most)
+    field = lambda c: F.col(c) if c in fetched.columns else F.lit(None).alias(c)
+    return fetched.select(*key, *[field(c) for c in PAGE_FIELDS], content.alias("content"), cut.alias("content_truncated"))
+
+
 def json_result(rows: DataFrame, body: str, most: int = 60_000) -> DataFrame:
     """The JSON value where the body parses; the text only where it doesn't."""
     value = F.try_parse_json(F.col(body))
@@ -43,3 +58,22 @@ def first_events(events: DataFrame, key: list[str], order: list[str], most: int)
 def stream_values(values: Column, most_events: int, most_chars: int) -> Column:
     """The first events of a stream, each value cut."""
     return F.transform(F.slice(values, 1, most_events), lambda v: F.struct(*[x.alias(n) for x, n in zip(truncated(v, most_chars), ("value", "truncated"), strict=True)]))
+
+
+def cut_bytes(data: Column, most: int) -> Column:
+    """The longest start of a UTF-8 text (binary) of at most `most` bytes that splits no character; null if the bytes are no UTF-8 text."""
+    # A character has four bytes at most, so one of these ends between two.
+    starts = [F.try_validate_utf8(F.substring(data, 1, most - k).cast("string")) for k in range(min(4, most + 1))]
+    return F.when(F.is_valid_utf8(data.cast("string")), F.coalesce(*starts))
+
+
+def bounded_values(values: Column, most_events: int, most_bytes: int) -> Column:
+    """The first events of a stream (an array of binaries), each with at most most_bytes bytes: value for texts, value_base64 for bytes that are no text, bytes
+    (of the whole value) and truncated."""
+
+    def one(v: Column) -> Column:
+        text = cut_bytes(v, most_bytes)
+        other = F.when(text.isNull(), F.base64(F.substring(v, 1, most_bytes)))
+        return F.struct(text.alias("value"), other.alias("value_base64"), F.octet_length(v).alias("bytes"), (F.octet_length(v) > most_bytes).alias("truncated"))
+
+    return F.transform(F.slice(values, 1, most_events), one)

@@ -24,6 +24,16 @@ def stored_order() -> list[Column]:
     return [F.asc_nulls_last("featured"), F.asc_nulls_last("popularity_rank"), F.desc_nulls_last("popularity_score"), F.asc("name"), F.asc("id")]
 
 
+def live_tools(tools: DataFrame, versions: DataFrame) -> DataFrame:
+    """The live tools with the fields of their live version, and their place in the stored order. A tool without such a version isn't shown.
+
+    versions: id and the fields; the tools' own columns win where names clash. Status and the version's presence are filtered before the join.
+    """
+    v = versions.select(F.col("id").alias("__version"), *[c for c in versions.columns if c != "id" and c not in tools.columns])
+    shown = tools.filter((F.col("status") == "live") & F.col("live_version_id").isNotNull()).join(v, F.col("live_version_id") == F.col("__version")).drop("__version")
+    return placed(shown)
+
+
 def placed(tools: DataFrame) -> DataFrame:
     """Adds each tool's place in the stored order. Places are counted within a pair of featured place and rank, and the few pairs before are added up."""
     pair = ["featured", "popularity_rank"]

@@ -43,6 +43,28 @@ def plan_usage(subs: DataFrame, usage: DataFrame, as_of: Column) -> DataFrame:
     return joined.select("user_id", "tier", name.alias("plan"), F.col("start").alias("period_start"), F.col("end").alias("period_end"), "calls", quota.alias("quota"), F.greatest(F.lit(0), quota - F.col("calls")).alias("remaining"))
 
 
+# States of a subscription that is metered.
+METERED = ("active", "trialing", "past_due")
+
+
+def usage_report(subs: DataFrame, usage: DataFrame, sessions: DataFrame, as_of: Column) -> DataFrame:
+    """What each account with a metered subscription is told: plan, calls used and left in the effective period, live sessions against their limit, and when the period ends.
+
+    subs: user_id, tier, status, quota, session_limit, idle_days, subscription_id, period_start, period_end. usage: user_id, period_start, calls. sessions: user_id,
+    expires_at, revoked_at, deleted_at. Sessions are counted before the join. An account whose subscription has no period yet has used nothing.
+    """
+    start, end = effective_period(as_of)
+    s = subs.filter(F.col("status").isin(*METERED)).withColumn("start", start).withColumn("end", end)
+    live = sessions.filter(F.col("revoked_at").isNull() & F.col("deleted_at").isNull() & (F.col("expires_at") > as_of)).groupBy("user_id").agg(F.count("*").alias("sessions_used"))
+    joined = s.join(usage.select("user_id", F.col("period_start").alias("start"), "calls"), ["user_id", "start"], "left").join(live, "user_id", "left")
+    tier, calls = F.col("tier"), F.coalesce("calls", F.lit(0))
+    return joined.select(
+        "user_id", F.coalesce(plan_value(tier, 1), tier).alias("plan"), "status", calls.alias("calls_used"), F.col("quota").alias("monthly_quota"), F.greatest(F.lit(0), F.col("quota") - calls).alias("remaining"),
+        F.coalesce("sessions_used", F.lit(0)).alias("sessions_used"), F.coalesce("session_limit", plan_value(tier, 4), F.lit(0)).alias("session_limit"),
+        F.coalesce("idle_days", plan_value(tier, 5), F.lit(7)).alias("session_idle_ttl_days"), F.coalesce("end", "period_end").alias("period_ends"),
+    )
+
+
 def alert_state(calls: Column, quota: Column, notified_80: Column, notified_100: Column) -> Column:
     """cap from the full quota on, nudge from four fifths, each unless its notice is out; else null."""
     share = calls / quota

@@ -16,7 +16,8 @@ from .metering import PLANS, plan_value
 def folded(rows: DataFrame, key: list[str], order: list[str], values: list[str], start: Callable[[], list], step: Callable[..., None], out: str) -> DataFrame:
     """A fold over the rows of each key in order, one row for each key: the key and out's columns, which are the start of the state list.
 
-    The rows of a key are streamed through a task in sorted batches and never held together, so a key with most of the rows costs time, not memory.
+    The rows of a key are streamed through a task in sorted batches and never held together, so a key with most of the rows costs time, not memory. Python rows,
+    because each step needs the state that the step before left, which neither window frames nor aggregates carry.
     """
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), out])
@@ -132,6 +133,42 @@ def cache_status(requests: DataFrame, key: list[str], ts: str, order: str, ttl_u
     return folded(rows, key, ["__t", "__i"], ["__t", "__i", "__ttl"], lambda: [0, 0, 0, None], step, "hit long, miss long, bypass long")
 
 
+def cache_log(requests: DataFrame, key: list[str], start: str, end: str, order: str, ttl_us: Column) -> DataFrame:
+    """Each request with its cache status, from the times it began and ended.
+
+    bypass: without a TTL (null or not above 0). Else coalesced while the key's last fetch is still under way; hit if that has ended less than the request's
+    own TTL ago; miss otherwise, which makes it the last fetch. Equal starts go by order. What a request finds depends on which earlier ones were misses, and that
+    on their own TTLs, so no window frame says it: a fold over the key's requests, streamed through a task in sorted batches. The state is one time.
+    """
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = requests.select(*key, F.col(order).alias("__id"), us(start).alias("__from"), us(end).alias("__to"), F.coalesce(ttl_us.cast("long"), F.lit(0)).alias("__ttl"))
+    n, names = len(key), [*key, order, "status"]
+    kinds = to_arrow_schema(rows.select(*key, "__id").schema)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done = None, None  # done: when the last fetch of the key ends
+        for batch in batches:
+            keys = zip(*[batch.column(i).to_pylist() for i in range(n)], strict=True)
+            out = []
+            for k, began, ended, ttl in zip(keys, *[c.to_pylist() for c in batch.columns[n + 1 :]], strict=True):
+                if k != now:
+                    now, done = k, None
+                if ttl <= 0:
+                    out.append("bypass")
+                elif done is not None and began < done:
+                    out.append("coalesced")
+                elif done is not None and began - done < ttl:
+                    out.append("hit")
+                else:
+                    out.append("miss")
+                    done = ended
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).cast(kinds.field(i).type) for i in range(n + 1)], pa.array(out, pa.string())], names)
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), f"`{order}` {types['__id']}", "status string"])
+    return rows.repartition(*key).sortWithinPartitions(*key, "__from", "__id").mapInArrow(label, schema)
+
+
 def set_where(table: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
     """Update as a new snapshot: rows that meet the predicate (not null) get the values."""
     ok = F.coalesce(where, F.lit(False))

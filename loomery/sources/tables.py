@@ -11,6 +11,34 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Who may read what: the column that names a row's owner, or the owned table and key that a row belongs to; public tables belong to nobody.
+OWNED = {"customer": "c_custkey", "orders": "o_custkey", "events": "user_id"}
+THROUGH = {"lineitem": ("l_orderkey", "orders", "o_orderkey")}
+PUBLIC = frozenset({"region", "nation", "part", "supplier"})
+
+
+class Scope:
+    """Tables as one owner may see them: every scan has the owner's predicate, and a table that no policy names can't be read.
+
+    The predicate stands right above the scan, so it is pushed into it. A plan that is given a scope and no path can't leave it out.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, owner):
+        if owner is None:
+            raise ValueError("a scope needs an owner")
+        self._read, self.owner = lambda name: read(spark, sf_dir, name), owner
+
+    def table(self, name: str) -> DataFrame:
+        if name in OWNED:
+            return self._read(name).filter(F.col(OWNED[name]) == F.lit(self.owner))
+        if name in THROUGH:
+            own, parent, key = THROUGH[name]
+            return self._read(name).join(self.table(parent).select(F.col(key).alias(own)), own, "left_semi")
+        if name in PUBLIC:
+            return self._read(name)
+        raise PermissionError(f"no policy for {name}")
+
+
 def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue, from part."""
     p = read(spark, sf_dir, "part")
