@@ -21,11 +21,8 @@ from ..operators.deliveries import CLIENT, EXPIRED, GONE, INVALID, OK, PKCE, RED
 class _Codes(StatefulProcessor):
     """The code of a hash until the first attempt takes it, or its time to live is over."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.code = handle.getValueState("code", "expires long, client string, redirect string, challenge string", self.ttl_ms)
+        self.handle, self.code = handle, handle.getValueState("code", "expires long, client string, redirect string, challenge string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         # An issue comes before attempts of the same time.
@@ -34,12 +31,15 @@ class _Codes(StatefulProcessor):
         for r in given.itertuples():
             if pd.isna(r.attempt_id):
                 self.code.update((int(r.expires), r.client, r.redirect, r.challenge))
-            elif not r.formed:
-                out.append((int(r.attempt_id), INVALID))
+                self.handle.registerTimer(int(r.until_ms))
             else:
                 out.append((int(r.attempt_id), self._take(r)))
         yield pd.DataFrame(out, columns=["attempt_id", "verdict"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.code.clear()
+        yield pd.DataFrame({"attempt_id": [], "verdict": []}).astype({"attempt_id": "int64", "verdict": "object"})
+
     def _take(self, r) -> str:
         if not self.code.exists():
             return GONE
@@ -58,16 +58,27 @@ class _Codes(StatefulProcessor):
         pass
 
 
-def redeem_stream(codes: DataFrame, attempts: DataFrame, ttl: str = "1 day") -> DataFrame:
-    """attempt_id and verdict, as redeem_codes gives them; columns are the same. A code that nobody tries is forgotten after ttl (processing time)."""
-    us, none = lambda c: F.unix_micros(F.col(c).cast("timestamp")), F.lit(None)
-    issued = codes.select(F.col("code_hash").alias("hash"), us("issued_at").alias("us"), none.cast("long").alias("attempt_id"), F.lit(True).alias("formed"), us("expires_at").alias("expires"), F.col("client_id").alias("client"), F.col("redirect_uri").alias("redirect"), "challenge", none.cast("string").alias("verifier"))
-    # Malformed attempts go by their own id, for they touch no code.
+def redeem_stream(codes: DataFrame, attempts: DataFrame, lateness: str = "1 hour", ttl: str = "1 day") -> DataFrame:
+    """attempt_id and verdict, as redeem_codes gives them; columns are the same.
+
+    Rows later than the watermark (the latest time of either stream, less lateness) are dropped. A code that nobody tries is forgotten once the watermark is
+    ttl past its expiry; attempts after that find nothing, where redeem_codes says that it has expired.
+    """
+    none, time = F.lit(None), lambda c: F.col(c).cast("timestamp")
+    us, ttl_ms = lambda c: F.unix_micros(time(c)), int(pd.Timedelta(ttl).total_seconds() * 1000)
+    issued = codes.select(
+        F.col("code_hash").alias("hash"), time("issued_at").alias("time"), us("issued_at").alias("us"), none.cast("long").alias("attempt_id"), us("expires_at").alias("expires"), (F.unix_millis(time("expires_at")) + ttl_ms).alias("until_ms"),
+        F.col("client_id").alias("client"), F.col("redirect_uri").alias("redirect"), "challenge", none.cast("string").alias("verifier"),
+    )
+    # Malformed attempts touch no code, so they pass by the state.
     formed = well_formed(F.col("code"), F.col("verifier"), F.col("client_id"))
-    key = F.when(formed, F.sha2("code", 256)).otherwise(F.concat(F.lit("malformed "), "attempt_id"))
-    tried = attempts.select(key.alias("hash"), us("at").alias("us"), F.col("attempt_id").cast("long"), formed.alias("formed"), none.cast("long").alias("expires"), F.col("client_id").alias("client"), F.col("redirect_uri").alias("redirect"), none.cast("string").alias("challenge"), "verifier")
-    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
-    return issued.unionByName(tried).groupBy("hash").transformWithStateInPandas(_Codes(ttl_ms), "attempt_id long, verdict string", "Append", "ProcessingTime")
+    tried = attempts.filter(formed).select(
+        F.sha2("code", 256).alias("hash"), time("at").alias("time"), us("at").alias("us"), F.col("attempt_id").cast("long"), none.cast("long").alias("expires"), none.cast("long").alias("until_ms"),
+        F.col("client_id").alias("client"), F.col("redirect_uri").alias("redirect"), none.cast("string").alias("challenge"), "verifier",
+    )
+    both = issued.withWatermark("time", lateness).unionByName(tried.withWatermark("time", lateness))
+    taken = both.groupBy("hash").transformWithStateInPandas(_Codes(), "attempt_id long, verdict string", "Append", "EventTime")
+    return taken.unionByName(attempts.filter(~formed).select(F.col("attempt_id").cast("long"), F.lit(INVALID).alias("verdict")))
 
 
 class _Quota(StatefulProcessor):

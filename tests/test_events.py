@@ -79,11 +79,11 @@ def challenge(v):
 def codes_and_attempts():
     rnd, codes, attempts = random.Random(9), [], []
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    for k in range(80):
+    for k in range(40):
         at = rnd.randrange(0, 3000)
         codes.append((sha(f"c{k}"), at, at + 400, rnd.choice(["x", "y"]), rnd.choice(["r1", None]), challenge(f"v{k}")))
-    for i in range(900):
-        k = rnd.randrange(90) if i % 3 else 3
+    for i in range(400):
+        k = rnd.randrange(45) if i % 3 else 3
         attempts.append((i, rnd.randrange(0, 4000), rnd.choice([f"c{k}"] * 9 + [None, ""]), rnd.choice([f"v{k}", f"v{k}", "bad", ""]), rnd.choice(["x", "x", "y", None]), rnd.choice(["r1", None])))
     return codes, attempts
 
