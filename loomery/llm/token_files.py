@@ -36,7 +36,7 @@ SEQUENCE = 2048
 #: Sequences in a record batch.
 ROWS = 256
 #: Pre-tokens that a worker remembers; beyond it the memory starts afresh. It only saves time.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Ids after which a file is closed, and the bytes of text that are about as many.
 SHARD_IDS, SHARD_BYTES = 4 << 20, 16 << 20
 
@@ -210,6 +210,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_s
             yield from write_shards(batches)
         finally:
             gc.enable()
+            # Workers stay; what their buffers took goes back to the machine.
+            pa.default_memory_pool().release_unused()
 
     def write_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number = None, 0
