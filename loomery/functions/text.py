@@ -148,6 +148,34 @@ def hash_bits(hex_: Column, n: int = 128) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.shiftright(byte(i), 0).bitwiseAND(F.pow(F.lit(2), (7 - i % 8)).cast("int")) > 0)
 
 
+# The canvas of a fingerprint, its blobs and its grid.
+ART_WIDTH, ART_HEIGHT, ART_BLOBS, ART_COLUMNS, ART_ROWS = 800, 450, 3, 16, 8
+
+
+def hash_art(hex_: Column, colors: int = 8) -> Column:
+    """A picture's geometry from a hash in hex: blobs (cx, cy, r and the number of their color, of so many) and dots (cx, cy), one for each bit that is set.
+
+    Places are whole numbers. Byte i counts from the hash's start again once it is used up; a hash without a whole byte gives null.
+    """
+    size = F.floor(F.length(hex_) / 2)
+    byte = lambda i: F.conv(F.substr(hex_, (i % size * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+    whole = lambda x: F.round(x).cast("int")
+
+    def blob(i: Column) -> Column:
+        third, row = ART_WIDTH / 6 * (1 + 2 * i), ART_HEIGHT / 4 * (1 + byte(2 + 3 * i) % 3)
+        cx, cy = third + (byte(1 + 3 * i) - 128) / 128 * (ART_WIDTH / 10), row + (byte(3 + 3 * i) - 128) / 128 * (ART_HEIGHT / 8)
+        r = ART_HEIGHT * 0.28 + byte(4 + 3 * i) / 255 * ART_HEIGHT * 0.22
+        return F.struct(whole(cx).alias("cx"), whole(cy).alias("cy"), whole(r).alias("r"), ((byte(F.lit(0)) + i) % colors).alias("color"))
+
+    def dot(i: Column) -> Column:
+        column, row = i % ART_COLUMNS, F.floor(i / ART_COLUMNS)
+        return F.struct(whole((column + 0.5) * (ART_WIDTH / ART_COLUMNS)).alias("cx"), whole((row + 0.5) * (ART_HEIGHT / ART_ROWS)).alias("cy"))
+
+    on = lambda i: F.getbit(byte(F.floor(i / 8)), 7 - i % 8) == 1
+    cells = F.filter(F.sequence(F.lit(0), F.lit(ART_COLUMNS * ART_ROWS - 1)), on)
+    return F.when(size > 0, F.struct(F.transform(F.sequence(F.lit(0), F.lit(ART_BLOBS - 1)), blob).alias("blobs"), F.transform(cells, dot).alias("dots")))
+
+
 def frontmatter(raw: Column) -> Column:
     """A struct of data (map) and body, null without a block or with a line that has no colon. Comments and blank lines are skipped; the last of equal keys counts."""
     # Fixed value: the shape of a file with a header.

@@ -13,10 +13,14 @@ from ..functions.text import WHITE_TEXT
 LAST = 2**53 - 1
 
 
+def merged_rank_key() -> Column:
+    """Featured place and popularity rank on one scale."""
+    return F.coalesce(F.col("featured").cast("long"), F.col("popularity_rank").cast("long"), F.lit(LAST))
+
+
 def merged_rank() -> list[Column]:
     """Featured place and popularity rank on one scale, then score, title and id."""
-    place = F.coalesce(F.col("featured").cast("long"), F.col("popularity_rank").cast("long"), F.lit(LAST))
-    return [place.asc(), F.coalesce("popularity_score", F.lit(-1.0)).desc(), F.collate("title", "UNICODE").asc(), F.col("id").asc()]
+    return [merged_rank_key().asc(), F.coalesce("popularity_score", F.lit(-1.0)).desc(), F.collate("title", "UNICODE").asc(), F.col("id").asc()]
 
 
 def stored_order() -> list[Column]:
@@ -34,14 +38,32 @@ def live_tools(tools: DataFrame, versions: DataFrame) -> DataFrame:
     return placed(shown)
 
 
+def _band(score: Column) -> Column:
+    """A whole number that never falls as a score falls: 64 bands for each doubling. Without a score the last."""
+    return F.coalesce(-F.floor(F.signum(score) * F.log2(F.abs(score) + 1) * 64).cast("long"), F.lit(LAST))
+
+
+def _places(rows: DataFrame, group: list[str], coarse: dict[str, Column], fine: list[Column]) -> DataFrame:
+    """Adds place: within a group, by the coarse keys (ascending, nulls last), then by the fine ones.
+
+    Rows are sorted within a group and its coarse keys only, and the counts of the keys before are added, so no task sorts a whole group, however many rows it has.
+    The coarse keys must follow the order of the fine ones.
+    """
+    keys = list(coarse)
+    cut = rows.withColumns(coarse)
+    counts = cut.groupBy(*group, *keys).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*group).orderBy(*[F.asc_nulls_last(k) for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate([*group, *keys])], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy(*group, *keys).orderBy(*fine))
+    same = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate([*group, *keys])]
+    joined = cut.withColumn("__within", within).join(starts, same)
+    return joined.select(*rows.columns, (F.col("__start") + F.col("__within")).alias("place"))
+
+
 def placed(tools: DataFrame) -> DataFrame:
-    """Adds each tool's place in the stored order. Places are counted within a pair of featured place and rank, and the few pairs before are added up."""
-    pair = ["featured", "popularity_rank"]
-    before = Window.orderBy(*[F.asc_nulls_last(c) for c in pair]).rowsBetween(Window.unboundedPreceding, -1)
-    counts = tools.groupBy(*pair).count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).select(F.col(pair[0]).alias("f"), F.col(pair[1]).alias("r"), "start")
-    within = F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc_nulls_last("popularity_score"), "name", "id"))
-    joined = tools.withColumn("within", within).join(counts, F.col("featured").eqNullSafe(F.col("f")) & F.col("popularity_rank").eqNullSafe(F.col("r")))
-    return joined.withColumn("place", F.col("start") + F.col("within")).drop("f", "r", "start", "within")
+    """Adds each tool's place in the stored order."""
+    coarse = {"__featured": F.col("featured"), "__rank": F.col("popularity_rank"), "__band": _band(F.col("popularity_score"))}
+    return _places(tools, [], coarse, [F.desc_nulls_last("popularity_score"), F.asc("name"), F.asc("id")])
 
 
 def storefront(tools: DataFrame, category: str | None = None, least: int = 9, k: int = 6) -> DataFrame:
@@ -98,13 +120,13 @@ def grid_without_popular(tools: DataFrame, k: int = 6) -> DataFrame:
 def categories(tools: DataFrame) -> DataFrame:
     """Each tool with its category's label, size and place among categories, and its own place in the category.
 
-    A category's place follows its best tool. Categories are ranked from one row each; only the places within a category sort it.
+    A category's place follows its best tool. Categories are ranked from one row each; places within a category are counted by rank and band of scores.
     """
-    key = F.struct(F.coalesce(F.col("featured").cast("long"), F.col("popularity_rank").cast("long"), F.lit(LAST)).alias("a"), (-F.coalesce("popularity_score", F.lit(-1.0))).alias("b"), F.collate("title", "UNICODE").alias("c"), F.col("id").alias("d"))
+    key = F.struct(merged_rank_key().alias("a"), (-F.coalesce("popularity_score", F.lit(-1.0))).alias("b"), F.collate("title", "UNICODE").alias("c"), F.col("id").alias("d"))
     groups = tools.groupBy("category").agg(F.count("*").alias("tool_count"), F.min(key).alias("best"))
     ranked = groups.select("category", "tool_count", F.row_number().over(Window.orderBy("best")).alias("category_place"))
-    place = F.row_number().over(Window.partitionBy("category").orderBy(*merged_rank()))
-    out = tools.select("id", "category", place.alias("place")).join(ranked, "category")
+    coarse = {"__first": merged_rank_key(), "__band": _band(F.coalesce("popularity_score", F.lit(-1.0)))}
+    out = _places(tools, ["category"], coarse, merged_rank()).select("id", "category", "place").join(ranked, "category")
     return out.select("category", category_label(F.col("category")).alias("label"), "tool_count", "category_place", "place", "id")
 
 

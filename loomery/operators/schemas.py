@@ -80,3 +80,17 @@ def with_defaults(given: Column, schema: Column) -> Column:
     defaults = F.map_filter(F.transform_values(properties(schema), lambda _, p: default_of(p)), lambda _, v: v.isNotNull())
     missing = F.map_filter(defaults, lambda k, _: ~F.array_contains(F.map_keys(given), k))
     return F.coalesce(F.map_concat(given, missing), given)
+
+
+def tool_sheet(title: Column, description: Column, facts: dict[str, Column], schema: Column, examples: Column) -> Column:
+    """A tool's text sheet: heading, description, facts (blank ones left out), a line for each input, and the first example's input as JSON ({} without one)."""
+    kind = lambda p: F.coalesce(F.get_json_object(p, "$.type"), F.lit("unknown"))
+    described = lambda p: F.coalesce(F.concat(F.lit(": "), F.get_json_object(p, "$.description")), F.lit(""))
+    inputs = F.transform(F.map_entries(properties(schema)), lambda e: F.concat(F.lit("- `"), e["key"], F.lit("` ("), kind(e["value"]), F.lit(")"), described(e["value"])))
+    lines = F.array_compact(F.array(*[F.when(F.coalesce(v.cast("string"), F.lit("")) != "", F.concat(F.lit(f"- {name}: "), v.cast("string"))) for name, v in facts.items()]))
+    given = F.coalesce(F.get_json_object(examples, "$[0].input"), F.lit("{}"))
+    parts = [
+        F.concat(F.lit("# "), title), F.concat(F.lit("> "), description), F.array_join(lines, "\n"), F.lit("## Inputs"),
+        F.when(F.size(inputs) > 0, F.array_join(inputs, "\n")).otherwise("- none"), F.lit("## Example input"), F.concat(F.lit("```json\n"), given, F.lit("\n```\n")),
+    ]
+    return F.concat_ws("\n\n", *parts)

@@ -109,10 +109,21 @@ def apply_subscription_changes(current: DataFrame, changes: DataFrame) -> DataFr
     return out.filter(F.col("user_id").isNotNull() & F.col("stays")).drop("stays")
 
 
-def redeem_once(attempts: DataFrame, key: str, order: list[str], valid: Column) -> DataFrame:
-    """The first attempt takes the code away and succeeds if it is valid; later ones find nothing."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return attempts.withColumn("attempt", place.cast("long")).withColumn("verdict", F.when(F.col("attempt") > 1, "gone").when(valid, "ok").otherwise("invalid"))
+def redeem_once(attempts: DataFrame, key: str, order: list[str], valid: Column, numbered: bool = False) -> DataFrame:
+    """The first attempt takes the code away and succeeds if it is valid; later ones find nothing. order must tell attempts apart.
+
+    Attempts are reduced to the first of each code map-side, so a code that is tried without end is no burden; numbered adds the number of each attempt,
+    which sorts all attempts of a code.
+    """
+    if numbered:
+        place = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")
+        return attempts.withColumn("attempt", place).withColumn("verdict", F.when(F.col("attempt") > 1, "gone").when(valid, "ok").otherwise("invalid"))
+    first = attempts.groupBy(key).agg(F.min(F.struct(*order)).alias("__first")).select(F.col(key).alias("__key"), *[F.col(f"__first.{c}").alias(f"__{c}") for c in order])
+    same = [F.col(key).eqNullSafe(F.col("__key")), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in order]]
+    marked = first.withColumn("__won", F.lit(True))
+    verdict = F.when(F.col("__won").isNull(), "gone").when(valid, "ok").otherwise("invalid")
+    # The order columns are part of the join key, so a hot code's rows spread over all tasks.
+    return attempts.join(marked, same, "left").select(*attempts.columns, verdict.alias("verdict"))
 
 
 def cache_status(requests: DataFrame, key: list[str], ts: str, order: str, ttl_us: Column) -> DataFrame:

@@ -144,6 +144,18 @@ def hash_art_bits(spark, d):
     return read(spark, d, "part").select("p_partkey", T.hash_bits(h).alias("bits"), (F.conv(F.left(h, F.lit(2)), 16, 10).cast("int") % 14).alias("color"))
 
 
+_B = "(('0x' || substr(md5(p_name), (({0}) % 16 * 2 + 1)::INT, 2))::INT)"
+_BLOB = f"""{{'cx': round(800.0::DOUBLE / 6 * (1 + 2 * i) + ({_B.format("1 + 3 * i")} - 128)::DOUBLE / 128 * 80)::INT, 'cy': round(450.0::DOUBLE / 4 * (1 + {_B.format("2 + 3 * i")} % 3) + ({_B.format("3 + 3 * i")} - 128)::DOUBLE / 128 * 56.25)::INT,
+  'r': round(126.0::DOUBLE + {_B.format("4 + 3 * i")}::DOUBLE / 255 * 450 * 0.22::DOUBLE)::INT, 'color': (({_B.format("0")} + i) % 8)::INT}}"""
+_DOT = "{'cx': round((i % 16 + 0.5::DOUBLE) * 50)::INT, 'cy': round((i // 16 + 0.5::DOUBLE) * 56.25::DOUBLE)::INT}"
+
+
+@query("hash_art_geometry", f"SELECT p_partkey, list_transform(range(3), lambda i: {_BLOB}) AS blobs, list_transform(list_filter(range(128), lambda i: {_B.format('i // 8')} >> (7 - i % 8)::INT & 1 = 1), lambda i: {_DOT}) AS dots FROM part")
+def hash_art_geometry(spark, d):
+    """Blobs and dots of each name's fingerprint."""
+    return read(spark, d, "part").select("p_partkey", T.hash_art(F.md5("p_name")).alias("a")).select("p_partkey", "a.blobs", "a.dots")
+
+
 @query(
     "frontmatter_parse",
     """

@@ -188,6 +188,22 @@ def schema_defaults_fill(spark, d):
     return e.select("p_partkey", F.col("e.key").alias("names"), F.col("e.value").alias("vals"))
 
 
+@query(
+    "tool_sheets",
+    f"""
+WITH p AS ({_P})
+SELECT p_partkey, '# ' || p_name || chr(10) || chr(10) || '> ' || p_brand || chr(10) || chr(10) || '- Category: ' || low || CASE WHEN p_size > 25 THEN chr(10) || '- Credits: ' || p_size ELSE '' END || chr(10) || chr(10) || '## Inputs' || chr(10) || chr(10)
+  || '- `brand` (string): ' || p_brand || chr(10) || '- `size` (integer)' || chr(10) || '- `text` (' || CASE WHEN p_size % 11 = 0 THEN 'date' ELSE 'string' END || ')' || chr(10) || '- `geo` (object)' || chr(10) || '- `tags` (array)' || chr(10) || chr(10)
+  || '## Example input' || chr(10) || chr(10) || '```json' || chr(10) || CASE WHEN p_size % 2 = 0 THEN '{{"size":' || p_size || '}}' ELSE '{{}}' END || chr(10) || '```' || chr(10) AS text FROM p""",
+)
+def tool_sheets(spark, d):
+    """A text sheet of each part as a tool."""
+    size = F.col("p_size")
+    examples = F.when(size % 2 == 0, F.to_json(F.array(F.struct(F.struct(size.alias("size")).alias("input"))))).otherwise("[]")
+    sheet = S.tool_sheet(F.col("p_name"), F.col("p_brand"), {"Category": F.lower("p_type"), "Credits": F.when(size > 25, size)}, _schema(), examples)
+    return read(spark, d, "part").select("p_partkey", sheet.alias("text"))
+
+
 # Parts: manifests and publishes.
 
 
