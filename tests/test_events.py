@@ -293,3 +293,16 @@ def test_live_tools_and_reports(spark):
     tools = spark.createDataFrame([(1, "a", "live", 10, None), (2, "b", "live", 11, 1), (3, "c", "off", 10, 2), (4, "d", "live", None, 1), (5, "e", "live", 99, 1)], "id int, name string, status string, live_version_id int, featured int").withColumn("popularity_rank", F.lit(None).cast("int")).withColumn("popularity_score", F.lit(1.0))
     versions = spark.createDataFrame([(10, "x", "V"), (11, "y", "V")], "id int, entry string, name string")
     assert [(r.id, r.name, r.entry, r.place) for r in catalog.live_tools(tools, versions).orderBy("place").collect()] == [(2, "b", "y", 1), (1, "a", "x", 2)]
+
+
+def test_look_ups(spark):
+    from loomery.operators import accounts
+
+    tools = spark.createDataFrame([(1, "a", 7), (2, "b", 7), (3, "b", 8)], "id int, name string, user_id int")
+    assert [r.id for r in accounts.tool_by_name(tools, "a").collect()] == [1] and accounts.tool_by_name(tools, "none").collect() == []
+    assert accounts.version_by_id(tools, 2).first().name == "b" and accounts.key_by_id(tools, 3, 7).collect() == [] and accounts.key_by_id(tools, 3, 8).count() == 1
+    for breach, message in ((accounts.tool_by_name(tools, "b"), "more than one row for tool b"), (accounts.version_by_id(tools, 9), "no row for version 9")):
+        with pytest.raises(Exception, match=message):
+            breach.collect()
+    got = accounts.tagged(spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "id int, tag string"), F.col("tag"), {"x": F.lit("done")}).collect()
+    assert [(r.id, r.handled, r.outcome) for r in got] == [(1, True, "done"), (2, False, None), (3, False, None)]
