@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loomery-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, most_bytes: int) -> Iterator[None]:
+    """Arrow batches of jobs that run within hold at most so many bytes (or one row), on both sides of the pipe to the Python workers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import shared_dir, stash, worker_state
+from .shared import batches_of, shared_dir, stash, worker_state
 from .token_counts import PRE_TOKENS, load, shortcut_holds
 
 SEQUENCE = 2048
@@ -237,7 +237,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_s
         if shard is not None:
             yield shard.close()
 
-    files = stash(dealt.sortWithinPartitions(*order).mapInArrow(write, f"path string, index_path string, first {kind}, n_docs long, n_tokens long, part long, number long"), "manifest")
+    with batches_of(spark, 8 << 20):
+        files = stash(dealt.sortWithinPartitions(*order).mapInArrow(write, f"path string, index_path string, first {kind}, n_docs long, n_tokens long, part long, number long"), "manifest")
     # One row for each partition, then one for each of its files.
     sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("parts_before"))
     within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
