@@ -7,7 +7,8 @@ will be searched for. Positions are stored as steps from one to the next, the lo
 
 A phrase search starts from the postings of the phrase's rarest term in the segment, moved back by the term's offset, and keeps the
 starts found, in order of rarity, in the offset-adjusted postings of every other term. All phrases of a block of the test set are intersected at once; the
-candidates held at a time are bounded. A proximity search asks for every other term within `slop` words of the rarest one.
+candidates held at a time are bounded. A proximity search asks for all terms of a window, in any order: it starts from the window's anchor, its rarest term in
+all documents (equally rare: the lesser), and keeps the places that have every other term within `slop` words, before or after, in the same document.
 
 The test set goes to the tasks in blocks of at most BLOCK_WORDS words (or one item), one pass over the index for each block, so what is sent, and held by the
 driver, is bounded at any size of the test set.
@@ -33,9 +34,13 @@ from . import words
 from .shared import stash
 
 SEGMENT_BYTES = 4 << 20
+#: Places between documents of a segment.
+GAP = 64
 BLOCK_WORDS = 500_000
 #: Candidate starts held at a time.
 CANDIDATES = 1 << 20
+#: The widest proximity search.
+MOST_SLOP = 1 << 10
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
@@ -78,6 +83,20 @@ class TestSet:
         for row, w in zip(self.windows, windows, strict=True):
             row[: len(w)] = w
         self.items = [sorted(s) for s in windows.values()]
+        self.anchors = self.others = None
+
+    def anchor(self, counts: np.ndarray) -> None:
+        """Chooses the windows' anchors by the terms' counts in all documents, and lists the other terms, rare ones first (-1 pads)."""
+        by_name = np.empty(len(self.terms), np.int64)
+        by_name[sorted(range(len(self.terms)), key=self.terms.__getitem__)] = np.arange(len(self.terms))
+        order = np.lexsort([by_name, counts])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ranked = np.sort(np.where(self.windows >= 0, place[self.windows], np.iinfo(np.int64).max), axis=1)
+        ranked[:, 1:][ranked[:, 1:] == ranked[:, :-1]] = np.iinfo(np.int64).max
+        ranked = np.sort(ranked, axis=1)
+        sorted_terms = np.where(ranked < len(order), order[np.minimum(ranked, max(0, len(order) - 1))], -1) if len(order) else ranked
+        self.anchors, self.others = sorted_terms[:, 0], sorted_terms[:, 1:]
 
 
 class Segment:
@@ -90,7 +109,7 @@ class Segment:
         self.count = np.where(at >= 0, offsets[np.minimum(at + 1, len(offsets) - 1)] - self.begin, 0)
         self.positions = positions_of(row["steps"], offsets)
         # Terms and, in them, positions ascend, so these keys do too.
-        self.shift = int(self.positions.max(initial=0)).bit_length() + 1
+        self.shift = (int(self.positions.max(initial=0)) + MOST_SLOP).bit_length() + 1
         self.row_of = at
         lens = np.diff(offsets)
         self.keys = (np.repeat(np.arange(len(lens), dtype=np.int64), lens) << self.shift) | self.positions
@@ -128,6 +147,35 @@ class Segment:
                 yield alive[which[ok]], start[ok]
             at = to
 
+    def has_near(self, terms: np.ndarray, positions: np.ndarray, slop: int) -> np.ndarray:
+        """Whether each term stands within slop words of the position."""
+        row = self.row_of[terms] << self.shift
+        at = np.minimum(np.searchsorted(self.keys, row | np.maximum(positions - slop, 0)), max(0, len(self.keys) - 1))
+        return (self.keys[at] <= (row | (positions + slop))) & (self.keys[at] >= row)
+
+    def nearby(self, test: TestSet, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Window numbers and anchor positions of all proximity matches, a bounded number at a time."""
+        if not len(test.windows) or not len(self.keys):
+            return
+        there = np.where(test.windows >= 0, self.count[test.windows], 1).min(axis=1) > 0
+        alive = np.flatnonzero(there)
+        n = self.count[test.anchors[alive]]
+        done, at = np.cumsum(n), 0
+        while at < len(alive):
+            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + CANDIDATES, side="right")))
+            which = np.repeat(np.arange(at, to), n[at:to])
+            rank = np.arange(len(which)) - np.repeat(np.cumsum(n[at:to]) - n[at:to], n[at:to])
+            place = self.positions[self.begin[test.anchors[alive[which]]] + rank]
+            for level in range(test.others.shape[1]):
+                term = test.others[alive[which], level]
+                ok = (term < 0) | self.has_near(np.maximum(term, 0), place, slop)
+                which, place = which[ok], place[ok]
+                if not len(which):
+                    break
+            if len(which):
+                yield alive[which], place
+            at = to
+
     def near(self, terms: list[int], slop: int) -> np.ndarray:
         """Positions of the rarest of the terms that have every other term within slop words."""
         terms = sorted(set(terms), key=lambda t: self.count[t])
@@ -161,7 +209,7 @@ def test_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int =
 test_blocks.__test__ = False
 
 
-def build_index(docs: DataFrame, gap: int = 64, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+def build_index(docs: DataFrame, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Writes the index of all documents and returns it, a row for each segment.
 
     gap: the longest phrase or slop that may be searched for.
@@ -196,49 +244,85 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield row | {"segment": batch.column("segment")[i].as_py(), "steps": batch.column("steps")[i].as_py(), "ids": value("ids"), "terms": value("terms")}
 
 
-def phrase_matches(index: DataFrame, items: list[tuple[str | None, list[str]]], width: int) -> DataFrame:
-    """For every document of the index: segment, place, id, n_words, spans (disjoint, of words in any occurrence of a window) and items."""
-    kind = index.schema["ids"].dataType.elementType.simpleString()
-    sent = index.sparkSession.sparkContext.broadcast(TestSet(items, width))
+def term_counts(index: DataFrame, terms: list[str]) -> np.ndarray:
+    """How often each of some terms (those of a block of the test set) occurs in all documents. Reads the terms and offsets of the index alone."""
+    sent = index.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = pa.array(sent.value, pa.string())
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lens = np.diff(batch.column("offsets")[i].values.to_numpy())
+                at = pc.fill_null(pc.index_in(asked, value_set=batch.column("terms")[i].values), -1).to_numpy()
+                some = np.flatnonzero(at >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(lens[at[some]].astype(np.int64))], ["term", "n"])
+
+    out = np.zeros(len(terms), np.int64)
+    found = index.select("terms", "offsets").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def window_matches(index: DataFrame, items: list[tuple[str | None, list[str]]], width: int, slop: int | None = None) -> DataFrame:
+    """For every document of the index: segment, place, id, n_words, spans (disjoint, of words in any occurrence of a window), items, and near_items.
+
+    near_items: the items of windows whose terms stand within slop words of their anchor; null without a slop.
+    """
+    kind, test = index.schema["ids"].dataType.elementType.simpleString(), TestSet(items, width)
+    if slop is not None and slop > min(MOST_SLOP, GAP):
+        raise ValueError("the slop is wider than the gap between documents")
+    if slop is not None:
+        test.anchor(term_counts(index, test.terms))
+    sent = index.sparkSession.sparkContext.broadcast(test)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = sent.value
         for row in _segments(batches):
             starts, n_docs = row["starts"].astype(np.int64), len(row["starts"])
             end = int(starts[-1] + row["n_words"][-1]) + 1 if n_docs else 0
-            edge, pairs = np.zeros(end + 1, np.int64), []
-            for window, at in Segment(row, test.terms).phrases(test):
+            segment, edge, pairs = Segment(row, test.terms), np.zeros(end + 1, np.int64), []
+            doc_of = lambda at, starts=starts: np.searchsorted(starts, at, side="right") - 1
+
+            def listed(pairs: list[np.ndarray], n_docs=n_docs) -> pa.Array:
+                found: list[set[int]] = [set() for _ in range(n_docs)]
+                for d, w in (np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist() if pairs else ()):
+                    found[d].update(test.items[w])
+                return pa.array([[test.item_ids[k] for k in sorted(s) if test.item_ids[k] is not None] for s in found], pa.list_(pa.string()))
+
+            for window, at in segment.phrases(test):
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + test.lens[window], -1)
-                doc = np.searchsorted(starts, at, side="right") - 1
-                pairs.append(np.unique(np.stack([doc, window]), axis=1))
+                pairs.append(np.unique(np.stack([doc_of(at), window]), axis=1))
+            near = [np.unique(np.stack([doc_of(at), window]), axis=1) for window, at in segment.nearby(test, slop)] if slop is not None else None
             hit = np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]])
             change = np.diff(hit)
             lo, hi = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-            doc = np.searchsorted(starts, lo, side="right") - 1
+            doc = doc_of(lo)
             spans = pa.StructArray.from_arrays([pa.array(lo - starts[doc], pa.int32()), pa.array(hi - starts[doc], pa.int32())], ["start", "end"])
             spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n_docs + 1)), pa.int32()), spans)
-            found: list[set[int]] = [set() for _ in range(n_docs)]
-            for d, w in (np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist() if pairs else ()):
-                found[d].update(test.items[w])
-            items_found = pa.array([[test.item_ids[k] for k in sorted(s) if test.item_ids[k] is not None] for s in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([row["segment"]] * n_docs), pa.array(np.arange(n_docs), pa.int32()), row["ids"], pa.array(row["n_words"]), spans, items_found], ["segment", "place", "id", "n_words", "spans", "items"])
+            near_items = pa.nulls(n_docs, pa.list_(pa.string())) if near is None else listed(near)
+            yield pa.RecordBatch.from_arrays([pa.array([row["segment"]] * n_docs), pa.array(np.arange(n_docs), pa.int32()), row["ids"], pa.array(row["n_words"]), spans, listed(pairs), near_items], ["segment", "place", "id", "n_words", "spans", "items", "near_items"])
 
-    return index.mapInArrow(search, f"segment string, place int, id {kind}, n_words long, spans array<struct<start: int, end: int>>, items array<string>")
+    return index.mapInArrow(search, f"segment string, place int, id {kind}, n_words long, spans array<struct<start: int, end: int>>, items array<string>, near_items array<string>")
 
 
 def proximity_matches(index: DataFrame, items: list[tuple[str, list[str]]], slop: int) -> DataFrame:
-    """id, item and word offset of every place where an item's rarest term has all its other terms within slop words (at most the index's gap)."""
-    kind, test = index.schema["ids"].dataType.elementType.simpleString(), TestSet(items, 1)
-    number = {t: i for i, t in enumerate(test.terms)}
+    """id, item and word offset of every place where an item's rarest term has all its other terms within slop words (at most the index's gap).
+
+    items: a block of the test set (see test_blocks), which is sent to the tasks.
+    """
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+    sent = index.sparkSession.sparkContext.broadcast((TestSet(items, 1), items))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test, items = sent.value
+        number = {t: i for i, t in enumerate(test.terms)}
         for row in _segments(batches):
             segment, starts = Segment(row, test.terms), row["starts"].astype(np.int64)
-            for name, w in items:
-                p = segment.near([number[x] for x in w], slop)
-                doc = np.searchsorted(starts, p, side="right") - 1
-                yield pa.RecordBatch.from_arrays([row["ids"].take(pa.array(doc)), pa.array([name] * len(p), pa.string()), pa.array(p - starts[doc], pa.int64())], ["id", "item", "word"])
+            found = [segment.near([number[x] for x in w], slop) for _, w in items]
+            at, which = np.concatenate([*found, np.zeros(0, np.int64)]), np.repeat(np.arange(len(items)), [len(p) for p in found])
+            doc = np.searchsorted(starts, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([row["ids"].take(pa.array(doc)), pa.array([n for n, _ in items], pa.string()).take(pa.array(which)), pa.array(at - starts[doc], pa.int64())], ["id", "item", "word"])
 
     return index.mapInArrow(search, f"id {kind}, item string, word long")
 
@@ -250,22 +334,29 @@ def _hit_words(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), zero, step, lambda a: a["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), spans and items of every document."""
-    index = build_index(docs, max(64, width), id_col, text_col, segment_bytes)
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS, segment_bytes: int = SEGMENT_BYTES, slop: int | None = None) -> DataFrame:
+    """id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), spans and items of every document.
+
+    With a slop also n_near_items and near_items: items that have a window whose words all stand within slop words of its rarest one, in any order.
+    """
+    index = build_index(docs, max(GAP, width), id_col, text_col, segment_bytes)
     behind, merged, n_blocks = [index], None, 0
     for block in test_blocks(benchmark, item_col, "text", block_words):
         if n_blocks:
             # A block is done before the next is held.
             behind.append(stash(found, "found"))
             merged = behind[-1] if merged is None else merged.unionByName(behind[-1])
-        found, n_blocks = phrase_matches(index, block, width), n_blocks + 1
+        found, n_blocks = window_matches(index, block, width, slop), n_blocks + 1
     if n_blocks > 1:
-        merged = merged.unionByName(found).groupBy("segment", "place").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        merged = merged.unionByName(found).groupBy("segment", "place").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("near_items")).alias("near_items"))
     else:
-        merged = found if n_blocks else phrase_matches(index, [], width)
+        merged = found if n_blocks else window_matches(index, [], width, slop)
     merged = merged.withColumn("items", F.array_distinct("items"))
-    out = merged.select(F.col("id").alias(id_col), "n_words", _hit_words(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), "spans", "items")
+    out = merged.select(F.col("id").alias(id_col), "n_words", _hit_words(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), "spans", "items", "near_items")
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    if slop is not None:
+        out = out.withColumn("near_items", F.array_distinct("near_items")).withColumn("n_near_items", F.size("near_items").cast("long"))
+    else:
+        out = out.drop("near_items")
     out.behind = behind
     return out

@@ -36,7 +36,7 @@ SEQUENCE = 2048
 #: Sequences in a record batch.
 ROWS = 256
 #: Pre-tokens that a worker remembers; beyond it the memory starts afresh. It only saves time.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 #: Ids after which a file is closed, and the bytes of text that are about as many.
 SHARD_IDS, SHARD_BYTES = 4 << 20, 16 << 20
 

@@ -56,6 +56,47 @@ def test_contamination_of_odd_rows(spark):
     assert contamination(d, b.limit(0)).filter("contaminated or n_hit > 0").count() == 0
 
 
+def plain_near(docs, items, slop, width=13):
+    w = {k: words_of(t) for k, (_, t) in enumerate(docs)}
+    counts = {}
+    for x in w.values():
+        for t in x:
+            counts[t] = counts.get(t, 0) + 1
+    out = {}
+    for k, x in w.items():
+        found = set()
+        for name, t in items:
+            iw = words_of(t)
+            for at in range(max(1, len(iw) - width + 1) if iw else 0):
+                terms = set(iw[at : at + width])
+                if all(y in counts for y in terms):
+                    anchor = min(terms, key=lambda y: (counts[y], y))
+                    if any(y == anchor and all(z in x[max(0, p - slop) : p + slop + 1] for z in terms) for p, y in enumerate(x)):
+                        found |= {str(name)} - {"None"}
+        out[k] = len(found)
+    return out
+
+
+def test_windows_nearby(spark):
+    rnd = random.Random(6)
+    text = lambda n: " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = [(1, text(14)), (2, "a b c"), (3, "z z z"), (4, None), (5, "q nowhere"), (None, "x y"), (6, text(30))]
+    shuffled = lambda t: " ".join(rnd.sample(t.split(), len(t.split())))
+    docs = [(i, text(rnd.randint(0, 40))) for i in range(40)] + [(40, None), (41, "c - b ... a"), (42, shuffled(items[0][1])), (43, shuffled(items[6][1]) * 2), (44, "a " + "- w " * 8 + "b c"), (45, "z"), (45, "c b a"), (None, items[0][1])]
+    d = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, k int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for slop in (3, 8, 26):
+        want = plain_near(docs, items, slop)
+        for kw in ({}, {"segment_bytes": 60}, {"block_words": 1000}):
+            got = {r.k: (r.n_near_items, r.n_items) for r in contamination(d, b, slop=slop, id_col="k", **kw).collect()}
+            assert {k: n for k, (n, _) in got.items()} == want, (slop, kw)
+        assert max(want.values()) > 0
+    many = contamination(d, b, slop=8, id_col="k", block_words=10).collect()
+    assert {r.k: r.n_near_items for r in many} == plain_near(docs, items, 8)
+    with pytest.raises(ValueError):
+        contamination(d, b, slop=100)
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "x a y y b z"), (2, "b a"), (3, "a q q q q b"), (4, None), (5, "a"), (6, "b")], "doc_id long, text string")
     index = build_index(d)
