@@ -14,6 +14,7 @@ clash. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -43,6 +44,8 @@ def load(path: str):
     """The tokenizer of a vocabulary file, once for each worker."""
     state = worker_state()
     if path not in state:
+        # A task has one core; threads of the library's own would take others' and memory for each.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)

@@ -229,7 +229,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocab_s
                 use = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(per_doc), len(ids) - 1)
                 each = lens[use]
                 ends = np.cumsum(each)
-                stream = pool[np.repeat(begins[use] - (ends - each), each) + np.arange(ends[-1])]
+                # Half as wide where it is enough: these are the largest arrays of a task.
+                wide = np.int32 if max(int(ends[-1]), len(pool)) < 1 << 31 else np.int64
+                at = np.repeat((begins[use] - (ends - each)).astype(wide), each)
+                at += np.arange(len(at), dtype=wide)
+                stream = pool[at]
                 shard.add(part.column("id"), stream, np.diff(np.concatenate([[0], ends[np.cumsum(per_doc + 1) - 1]])))
                 if shard.ids.total >= SHARD_IDS:
                     yield shard.close()
