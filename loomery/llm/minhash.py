@@ -13,9 +13,9 @@ full sets, which are kept for classes that share a bucket.
 
 Finish: a bucket that still holds several components (members like each other, but not like the centre) is checked through: all its pairs across
 components, each in the first bucket that both share. Members are dealt by hash into blocks, and each pair of blocks is a task of its own. It first
-compares sketches (a byte for each bin, which at the threshold lose a pair with a chance of about one in a billion), and then, for members with a
-candidate left, counts the common shingles of all pairs. So no link of two classes that share a bucket is lost. What a block emits is a forest, never its pairs;
-only the compared bytes grow with the square of a mixed bucket.
+compares sketches (a byte for each bin) and then, for members with a candidate left, counts the common shingles of all pairs. Of the links of two classes that
+share a bucket, a sketch at the threshold loses one in about a billion, and one is lost where 32 bits of two bands' hashes agree by chance, so that the pair seems to have
+met in a bucket before (one in four billion for each band). What a block emits is a forest, never its pairs; only the compared bytes grow with the square of a mixed bucket.
 
 Components: alternating large-star and small-star steps over the confirmed links. Least neighbours are broadcast while they are few, and else joined
 with tables that adaptive execution can split at a hub.
