@@ -208,3 +208,38 @@ def test_quality_against_one_process(spark):
     want = dict(zip(made.id, model.combined([model.log_odds(v, matrix(made, c)) for v, c in enumerate(views)]), strict=True))
     got = {r.doc_id: r.quality for r in quality_scores(docs, labels).collect()}
     assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def test_moving_weights_against_a_plain_loop():
+    rnd = np.random.default_rng(11)
+    mixer, inputs = Mixer(3), 3
+    weights = {g: [0.0, 0.3, 0.7] for g in range(len(mixer.weights))}
+    speed = {g: [1e-2] * inputs for g in weights}
+    refine = Counter()
+    squash = lambda z: 1 / (1 + math.exp(-min(20, max(-20, z))))
+    step = lambda z: min(32, max(0, round(z * 2) + 16))
+    for _ in range(25):
+        n = 40
+        x, gate = rnd.normal(0, 2, (n, inputs)).astype(np.float32), rnd.integers(0, len(weights), n)
+        bit, weight = rnd.integers(0, 2, n), rnd.integers(0, 4, n).astype(float)
+        z = mixer.mixed(x, gate)
+        plain = [sum(float(x[i, j]) * weights[g][j] for j in range(inputs)) for i, g in enumerate(gate)]
+        assert np.abs(z - plain).max() < 1e-4
+        # Costs are those of the state before the batch is learnt from.
+        cost = mixer.cost(z, gate, bit)
+        for i, g in enumerate(gate):
+            zero, one = refine[g, step(z[i]), 0], refine[g, step(z[i]), 1]
+            p = min(1 - 1e-7, max(1e-7, (squash(z[i]) + (one + 20 * squash(z[i])) / (zero + one + 20)) / 2))
+            assert abs(cost[i] + math.log2(p if bit[i] else 1 - p)) < 1e-4
+        mixer.learn(x, z, gate, bit, weight)
+        for i, g in enumerate(gate):
+            refine[g, step(z[i]), bit[i]] += weight[i]
+        for g in weights:
+            own = [i for i in range(n) if gate[i] == g]
+            total = max(1e-9, sum(weight[i] for i in own))
+            for j in range(inputs):
+                slope = sum(weight[i] * (bit[i] - squash(z[i])) * float(x[i, j]) for i in own) / total
+                speed[g][j] += slope * slope
+                weights[g][j] += 0.05 * slope / math.sqrt(speed[g][j])
+    assert np.abs(mixer.weights - np.array([weights[g] for g in range(len(weights))])).max() < 1e-4
+    assert sum(refine.values()) == mixer.refine.sum()
