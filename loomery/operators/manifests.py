@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import variants as V
+from ..functions.text import let
 from .publishing import CATEGORY, DIRECTORY, ENTRY, MOST_BUNDLE, NAME, RESERVED, SHA256, VERSION, first_failing, repo_tool_name, safe_svg, tool_name, violations
 from .validation import URI, schema_faults
 
@@ -44,11 +45,9 @@ def rules(json: Column) -> dict[str, Column]:
     out["logo.svg.safe"] = safe_svg(V.text(json, "logo.svg"))
     out["logo.sourceUrl"] = V.absent(json, "logo.sourceUrl") | _url(V.text(json, "logo.sourceUrl"))
     for path, (low, high, texts) in LISTS.items():
-        each = V.items(json, path)
-        out[path] = F.size(each).between(low, high) & F.forall(each, _entry(texts))
+        out[path] = let(V.items(json, path), lambda each, low=low, high=high, texts=texts: F.size(each).between(low, high) & F.forall(each, _entry(texts)))
     low, high, short, long_ = KEYWORDS
-    words = V.strings(json, "seo.keywords")
-    out["seo.keywords"] = F.size(words).between(low, high) & F.forall(words, lambda x: F.length(x).between(short, long_))
+    out["seo.keywords"] = let(V.strings(json, "seo.keywords"), lambda words: F.size(words).between(low, high) & F.forall(words, lambda x: F.length(x).between(short, long_)))
     rank, score = V.absent(json, "popularity.rank"), V.absent(json, "popularity.score")
     one = V.members(json, "popularity").isNotNull() & ~(rank & score) & (rank | _whole(json, "popularity.rank", 1, 10_000)) & (score | V.number(json, "popularity.score").between(0, 1e9))
     out["popularity"] = V.absent(json, "popularity") | one
@@ -56,8 +55,7 @@ def rules(json: Column) -> dict[str, Column]:
     out["maxEngineCalls"] = V.absent(json, "maxEngineCalls") | _whole(json, "maxEngineCalls", 1, 50)
     out["inputSchema"] = F.size(schema_faults(V.member(json, "inputSchema"))) == 0
     out["outputSchema"] = V.absent(json, "outputSchema") | (F.size(schema_faults(V.member(json, "outputSchema"), output=True)) == 0)
-    named = V.items(json, "examples")
-    out["examples"] = (F.size(named) >= 1) & F.forall(named, _example)
+    out["examples"] = let(V.items(json, "examples"), lambda named: (F.size(named) >= 1) & F.forall(named, _example))
     return out
 
 
@@ -80,7 +78,7 @@ def _all(conditions) -> Column:
 
 def manifest_violations(json: Column) -> Column:
     """The names of the rules that a manifest (a variant) breaks."""
-    return violations(rules(json))
+    return let(json, lambda j: violations(rules(j)))
 
 
 def publish_error(payload: Column, org: str) -> Column:
@@ -88,6 +86,10 @@ def publish_error(payload: Column, org: str) -> Column:
 
     Steps: payload, manifest, name by repository or directory, reserved names, bundle present, its size in bytes, its hash.
     """
+    return let(payload, lambda p: _publish_error(p, org))
+
+
+def _publish_error(payload: Column, org: str) -> Column:
     repo, folder, channel = V.text(payload, "repo"), V.text(payload, "source_dir"), V.text(payload, "channel")
     sha, packed, manifest = V.text(payload, "bundle_sha256"), V.text(payload, "bundle_b64"), V.member(payload, "manifest")
     optional = lambda path, ok: V.absent(payload, path) | ok

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITE, WHITE_INNER, trim
+from ..functions.text import WHITE, WHITE_INNER, let, trim
 
 # Names that are taken already, or kept for later.
 RESERVED = (
@@ -52,11 +52,14 @@ def first_failing(rules: dict[str, Column], otherwise: Column) -> Column:
 
 def safe_svg(c: Column) -> Column:
     """An inline SVG without scripts, handlers, links or outside references."""
-    t = trim(c)
-    ok = t.rlike(rf"(?i)^<svg[{WHITE_INNER}>]") & t.rlike(r"(?i)</svg>\z")
-    for pattern in SVG_BANNED:
-        ok = ok & ~t.rlike(pattern)
-    return F.coalesce(ok, F.lit(False))
+
+    def safe(t: Column) -> Column:
+        ok = t.rlike(rf"(?i)^<svg[{WHITE_INNER}>]") & t.rlike(r"(?i)</svg>\z")
+        for pattern in SVG_BANNED:
+            ok = ok & ~t.rlike(pattern)
+        return F.coalesce(ok, F.lit(False))
+
+    return let(trim(c), safe)
 
 
 def tool_name(path: Column) -> Column:

@@ -12,7 +12,7 @@ from ..operators import manifests as M
 from ..operators import publishing as P
 from ..operators import schemas as S
 from ..operators import validation as A
-from ..sources.tables import read
+from ..sources.tables import read, spread
 from .registry import query
 
 
@@ -53,7 +53,7 @@ def _inputs(spark, d):
         F.concat(kind, F.when(k % 3 == 0, "@h.example").otherwise("@h")).alias("mail"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.when(hour != 3, hour > 12).alias("live"),
         F.array_repeat(kind, (k % 4).cast("int")).alias("tags"), F.when(k % 5 == 0, F.struct(user.alias("id"), F.when(hour > 5, kind).alias("name"), F.when(hour == 9, 1).alias("more"))).alias("who"), F.lit(1).alias("unknown"),
     )
-    return read(spark, d, "events").select("event_id", F.to_json(schema).alias("schema"), F.to_json(given).alias("given"))
+    return spread(spark, d, "events", "event_id").select("event_id", F.to_json(schema).alias("schema"), F.to_json(given).alias("given"))
 
 
 @query(
@@ -123,7 +123,7 @@ UNION ALL SELECT p_partkey, false, 'found.items', 'type' FROM p UNION ALL SELECT
 )
 def schema_shape_faults(spark, d):
     """What of each part's schema is outside the subset, as an input's and as an output's schema."""
-    p = read(spark, d, "part").select("p_partkey", F.try_parse_json(_schema(output=True)).alias("s"))
+    p = spread(spark, d, "part", "p_partkey").select("p_partkey", F.try_parse_json(_schema(output=True)).alias("s"))
     kinds = F.array(*[F.struct(F.lit(o).alias("output"), A.schema_faults(F.col("s"), o).alias("faults")) for o in (False, True)])
     each = p.select("p_partkey", F.explode(kinds).alias("k")).select("p_partkey", "k.output", F.explode("k.faults").alias("f"))
     return each.select("p_partkey", "output", "f.path", "f.rule")
@@ -141,7 +141,7 @@ UNION ALL SELECT p_partkey, 'geo.day', 'string (date)', false, '"' || p_name ||
 )
 def schema_fields_json(spark, d):
     """Fields of each part's schema, members of objects dotted."""
-    return S.fields(read(spark, d, "part").select("p_partkey", _schema().alias("schema")), "p_partkey", "schema")
+    return S.fields(spread(spark, d, "part", "p_partkey").select("p_partkey", _schema().alias("schema")), "p_partkey", "schema")
 
 
 @query(
@@ -153,7 +153,7 @@ SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN ['url', 'alpha', 'zeta'] ELSE ['
 def output_names_json(spark, d):
     """Names to show: those of the first list of objects, else the schema's own."""
     schema = F.when(F.col("p_size") % 3 == 0, _schema(output=True)).otherwise(_schema())
-    return read(spark, d, "part").select("p_partkey", P.leading_fields(S.output_names(schema)).alias("names"))
+    return spread(spark, d, "part", "p_partkey").select("p_partkey", P.leading_fields(S.output_names(schema)).alias("names"))
 
 
 @query(
@@ -171,7 +171,7 @@ def example_values_json(spark, d):
         F.when(size % 4 == 2, F.col("p_brand")).alias("b"), F.when(size % 4 == 2, F.lower("p_type")).alias("c"),
     )
     examples = F.to_json(F.array(F.struct(F.col("p_name").alias("name"), given.alias("input"))))
-    return read(spark, d, "part").select("p_partkey", S.example_value(examples).alias("value"))
+    return spread(spark, d, "part", "p_partkey").select("p_partkey", S.example_value(examples).alias("value"))
 
 
 @query(
@@ -184,7 +184,7 @@ def schema_defaults_fill(spark, d):
     """Inputs with the defaults of their schemas."""
     size = F.col("p_size")
     given = F.map_filter(F.create_map(F.lit("n"), size.cast("string"), F.lit("size"), F.when(size % 2 == 0, F.floor("p_retailprice").cast("int").cast("string"))), lambda _, v: v.isNotNull())
-    e = read(spark, d, "part").select("p_partkey", F.array_sort(F.map_entries(S.with_defaults(given, _schema()))).alias("e"))
+    e = spread(spark, d, "part", "p_partkey").select("p_partkey", F.array_sort(F.map_entries(S.with_defaults(given, _schema()))).alias("e"))
     return e.select("p_partkey", F.col("e.key").alias("names"), F.col("e.value").alias("vals"))
 
 
@@ -201,7 +201,7 @@ def tool_sheets(spark, d):
     size = F.col("p_size")
     examples = F.when(size % 2 == 0, F.to_json(F.array(F.struct(F.struct(size.alias("size")).alias("input"))))).otherwise("[]")
     sheet = S.tool_sheet(F.col("p_name"), F.col("p_brand"), {"Category": F.lower("p_type"), "Credits": F.when(size > 25, size)}, _schema(), examples)
-    return read(spark, d, "part").select("p_partkey", sheet.alias("text"))
+    return spread(spark, d, "part", "p_partkey").select("p_partkey", sheet.alias("text"))
 
 
 # Parts: manifests and publishes.
@@ -238,7 +238,7 @@ _BAD = f"""list_filter([CASE WHEN NOT regexp_matches(replace(p_name, ' ', CASE W
 @query("manifest_rules_json", f"WITH p AS ({_P}), shape AS ({_SHAPE}) SELECT p_partkey, {_BAD} AS violations FROM p")
 def manifest_rules_json(spark, d):
     """Which rules each part's manifest breaks, in their order."""
-    m = read(spark, d, "part").select("p_partkey", F.try_parse_json(F.to_json(_manifest())).alias("m"))
+    m = spread(spark, d, "part", "p_partkey").select("p_partkey", F.try_parse_json(F.to_json(_manifest())).alias("m"))
     return m.select("p_partkey", M.manifest_violations(F.col("m")).alias("violations"))
 
 
@@ -257,7 +257,7 @@ def publish_steps_json(spark, d):
         F.when(F.floor("p_retailprice").cast("int") % 19 == 0, "beta").when(F.col("p_type") == "PROMO", "delist").otherwise("live").alias("channel"), F.when(size % 16 != 0, F.base64(F.encode(name, "UTF-8"))).alias("bundle_b64"),
         F.sha2(F.when(size % 5 == 0, F.col("p_brand")).otherwise(name), 256).alias("bundle_sha256"),
     )
-    p = read(spark, d, "part").select("p_partkey", F.try_parse_json(F.to_json(payload)).alias("payload"))
+    p = spread(spark, d, "part", "p_partkey").select("p_partkey", F.try_parse_json(F.to_json(payload)).alias("payload"))
     return p.select("p_partkey", M.publish_error(F.col("payload"), "acme").alias("error"))
 
 

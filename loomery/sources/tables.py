@@ -11,6 +11,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table dealt out by its key, for plans whose rows cost far more than their bytes: a small file of many rows is one or two tasks if it is read as it lies.
+
+    The number of parts is the session's, and stated, as adaptive execution would join parts again by their bytes.
+    """
+    return read(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 # Who may read what: the column that names a row's owner, or the owned table and key that a row belongs to; public tables belong to nobody.
 OWNED = {"customer": "c_custkey", "orders": "o_custkey", "events": "user_id"}
 THROUGH = {"lineitem": ("l_orderkey", "orders", "o_orderkey")}
