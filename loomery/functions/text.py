@@ -142,10 +142,17 @@ def allowed_redirect(uri: Column) -> Column:
     return F.coalesce((scheme == "https") | ((scheme == "http") & host.isin("localhost", "127.0.0.1")), F.lit(False))
 
 
+def _bytes(hex_: Column, n: int, wrap: bool = False) -> Column:
+    """The first n bytes of a hex string, which start over at its end if they wrap, and else are null there."""
+    size = F.floor(F.length(hex_) / 2)
+    at = lambda i: i % size if wrap else i
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.conv(F.substr(hex_, (at(i) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+
+
 def hash_bits(hex_: Column, n: int = 128) -> Column:
     """The first n bits of a hex string, the highest bit of each byte first."""
-    byte = lambda i: F.conv(F.substr(hex_, (F.floor(i / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.shiftright(byte(i), 0).bitwiseAND(F.pow(F.lit(2), (7 - i % 8)).cast("int")) > 0)
+    bits = lambda bytes_: F.flatten(F.transform(bytes_, lambda b: F.array(*[F.getbit(b, F.lit(7 - k)) == 1 for k in range(8)])))
+    return F.slice(let(hex_, lambda h: bits(_bytes(h, -(-n // 8)))), 1, n)
 
 
 # The canvas of a fingerprint, its blobs and its grid.
@@ -157,23 +164,25 @@ def hash_art(hex_: Column, colors: int = 8) -> Column:
 
     Places are whole numbers. Byte i counts from the hash's start again once it is used up; a hash without a whole byte gives null.
     """
-    size = F.floor(F.length(hex_) / 2)
-    byte = lambda i: F.conv(F.substr(hex_, (i % size * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
     whole = lambda x: F.round(x).cast("int")
 
-    def blob(i: Column) -> Column:
+    def blob(i: Column, byte: Callable[[Column], Column]) -> Column:
         third, row = ART_WIDTH / 6 * (1 + 2 * i), ART_HEIGHT / 4 * (1 + byte(2 + 3 * i) % 3)
         cx, cy = third + (byte(1 + 3 * i) - 128) / 128 * (ART_WIDTH / 10), row + (byte(3 + 3 * i) - 128) / 128 * (ART_HEIGHT / 8)
         r = ART_HEIGHT * 0.28 + byte(4 + 3 * i) / 255 * ART_HEIGHT * 0.22
         return F.struct(whole(cx).alias("cx"), whole(cy).alias("cy"), whole(r).alias("r"), ((byte(F.lit(0)) + i) % colors).alias("color"))
 
-    def dot(i: Column) -> Column:
-        column, row = i % ART_COLUMNS, F.floor(i / ART_COLUMNS)
-        return F.struct(whole((column + 0.5) * (ART_WIDTH / ART_COLUMNS)).alias("cx"), whole((row + 0.5) * (ART_HEIGHT / ART_ROWS)).alias("cy"))
+    # The grid's places are the same for all hashes, so they are literals; halves round up.
+    place = lambda k, step: F.lit(int((k + 0.5) * step + 0.5))
+    grid = F.array(*[F.struct(place(c, ART_WIDTH / ART_COLUMNS).alias("cx"), place(r, ART_HEIGHT / ART_ROWS).alias("cy")) for r in range(ART_ROWS) for c in range(ART_COLUMNS)])
+
+    def art(bytes_: Column) -> Column:
+        byte = lambda i: F.get(bytes_, i)
+        blobs = F.transform(F.sequence(F.lit(0), F.lit(ART_BLOBS - 1)), lambda i: blob(i, byte))
+        return F.struct(blobs.alias("blobs"), F.filter(grid, lambda _, i: F.getbit(byte(F.shiftright(i, 3)), 7 - i % 8) == 1).alias("dots"))
 
-    on = lambda i: F.getbit(byte(F.floor(i / 8)), 7 - i % 8) == 1
-    cells = F.filter(F.sequence(F.lit(0), F.lit(ART_COLUMNS * ART_ROWS - 1)), on)
-    return F.when(size > 0, F.struct(F.transform(F.sequence(F.lit(0), F.lit(ART_BLOBS - 1)), blob).alias("blobs"), F.transform(cells, dot).alias("dots")))
+    n = ART_COLUMNS * ART_ROWS // 8
+    return let(hex_, lambda h: F.when(F.length(h) > 1, let(_bytes(h, n, wrap=True), art)))
 
 
 def frontmatter(raw: Column) -> Column:

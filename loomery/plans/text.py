@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import captured as K
-from ..sources.tables import read
+from ..sources.tables import read, spread
 from .registry import query
 
 
@@ -141,7 +141,7 @@ def percent_encode(spark, d):
 def hash_art_bits(spark, d):
     """A fingerprint grid: one bit for each cell, and a palette entry."""
     h = F.md5("p_name")
-    return read(spark, d, "part").select("p_partkey", T.hash_bits(h).alias("bits"), (F.conv(F.left(h, F.lit(2)), 16, 10).cast("int") % 14).alias("color"))
+    return spread(spark, d, "part", "p_partkey").select("p_partkey", T.hash_bits(h).alias("bits"), (F.conv(F.left(h, F.lit(2)), 16, 10).cast("int") % 14).alias("color"))
 
 
 _B = "(('0x' || substr(md5(p_name), (({0}) % 16 * 2 + 1)::INT, 2))::INT)"
@@ -153,7 +153,7 @@ _DOT = "{'cx': round((i % 16 + 0.5::DOUBLE) * 50)::INT, 'cy': round((i // 16 + 0
 @query("hash_art_geometry", f"SELECT p_partkey, list_transform(range(3), lambda i: {_BLOB}) AS blobs, list_transform(list_filter(range(128), lambda i: {_B.format('i // 8')} >> (7 - i % 8)::INT & 1 = 1), lambda i: {_DOT}) AS dots FROM part")
 def hash_art_geometry(spark, d):
     """Blobs and dots of each name's fingerprint."""
-    return read(spark, d, "part").select("p_partkey", T.hash_art(F.md5("p_name")).alias("a")).select("p_partkey", "a.blobs", "a.dots")
+    return spread(spark, d, "part", "p_partkey").select("p_partkey", T.hash_art(F.md5("p_name")).alias("a")).select("p_partkey", "a.blobs", "a.dots")
 
 
 @query(

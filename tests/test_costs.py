@@ -6,12 +6,13 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from loomery.functions import text
 from loomery.operators import validation
 from loomery.plans import load_all
 from loomery.plans.registry import PLANS
 
 load_all()
-HEAVY = ["publish_steps_json"]
+HEAVY = ["publish_steps_json", "hash_art_geometry"]
 
 
 @pytest.mark.parametrize("name", HEAVY)
@@ -19,6 +20,25 @@ def test_heavy_rows_are_dealt_out(spark, sf, name):
     assert PLANS[name].plan(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("art,n", [(text.hash_bits, 1), (text.hash_art, 1)])
+def test_a_fingerprint_is_hashed_once(spark, art, n):
+    df = spark.range(1).select(art(F.md5(F.col("id").cast("string").cast("binary"))).alias("a"))
+    assert _optimized(df).count("md5(") == n
+
+
+def test_odd_fingerprints(spark):
+    df = spark.createDataFrame([(0, None), (1, ""), (2, "f"), (3, "f0a"), (4, "0f" * 16)], "i int, h string")
+    got = {r.i: r for r in df.select("i", text.hash_bits(F.col("h"), 12).alias("b"), text.hash_art(F.col("h")).alias("a")).collect()}
+    assert got[0].b == [None] * 12 and got[3].b == [True] * 4 + [False] * 8
+    assert [got[i].a is None for i in range(5)] == [True, True, True, False, False]
+    # A short hash starts over: every byte is f0, so the left four of each eight cells are on.
+    assert [(d.cx, d.cy) for d in got[3].a.dots[:5]] == [(25, 28), (75, 28), (125, 28), (175, 28), (425, 28)] and len(got[3].a.dots) == 64
+
+
 def test_many_properties_are_linear(spark):
     n = 800
     schema = {"type": "object", "properties": {f"p{i}": {"type": "integer", "maximum": 5} for i in range(n)}, "required": ["p1"], "additionalProperties": False}
