@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import clipped
+from ..functions.text import let
 
 _MAP, _LIST = "map<string,string>", "array<string>"
 # Names of an example's telling inputs, in order.
@@ -32,21 +33,28 @@ def scalar_type(p: Column) -> Column:
 
 def default_of(p: Column) -> Column:
     """A property's default as JSON text, null without one."""
-    value = F.try_variant_get(F.try_parse_json(p), "$.default", "variant")
-    return F.when(value.isNotNull(), F.to_json(value))
+    return F.to_json(F.try_variant_get(F.try_parse_json(p), "$.default", "variant"))
 
 
 def fields(schemas: DataFrame, key: str, schema: str) -> DataFrame:
     """A row for each property, and for each member of an object (dotted, required if both are): name, type, required, default and description."""
-    top = schemas.select(key, required(F.col(schema)).alias("req"), F.explode(properties(F.col(schema))).alias("name", "p"))
-    kind, must = F.get_json_object("p", "$.type"), F.array_contains("req", F.col("name"))
-    plain = ~kind.isin("array", "object")
-    shown = F.when(kind == "array", F.concat(F.get_json_object("p", "$.items.type"), F.lit("[]"))).when(kind == "object", "object").otherwise(scalar_type(F.col("p")))
-    text = lambda p: F.get_json_object(p, "$.description").alias("description")
-    own = top.select(key, "name", shown.alias("type"), must.alias("required"), F.when(plain, default_of(F.col("p"))).alias("default"), text("p"))
-    inner = top.filter(kind == "object").select(key, "name", must.alias("must"), required(F.col("p")).alias("inner"), F.explode(properties(F.col("p"))).alias("sub", "m"))
-    both = F.col("must") & F.array_contains("inner", F.col("sub"))
-    return own.unionByName(inner.select(key, F.concat_ws(".", "name", "sub").alias("name"), scalar_type(F.col("m")).alias("type"), both.alias("required"), default_of(F.col("m")).alias("default"), text("m")))
+    kind_of, text = lambda p: F.get_json_object(p, "$.type"), lambda p: F.get_json_object(p, "$.description")
+    top = schemas.select(key, F.from_json(F.get_json_object(schema, "$.required"), _LIST).alias("req"), F.explode(properties(F.col(schema))).alias("name", "p"))
+    own = top.select(key, "req", "name", "p", kind_of("p").alias("kind"))
+
+    def row(name: Column, type_: Column, required_: Column, default: Column, p: Column) -> Column:
+        return F.struct(name.alias("name"), type_.alias("type"), required_.alias("required"), default.alias("default"), text(p).alias("description"))
+
+    def of_property(must: Column) -> Column:
+        kind, p, name = F.col("kind"), F.col("p"), F.col("name")
+        shown = F.when(kind == "array", F.concat(F.get_json_object(p, "$.items.type"), F.lit("[]"))).when(kind == "object", "object").otherwise(scalar_type(p))
+        member = lambda e, inner: row(F.concat_ws(".", name, e["key"]), scalar_type(e["value"]), must & F.array_contains(inner, e["key"]), default_of(e["value"]), e["value"])
+        members = let(required(p), lambda inner: F.transform(F.map_entries(properties(p)), lambda e: member(e, inner)))
+        first = F.array(row(name, shown, must, F.when(~kind.isin("array", "object"), default_of(p)), p))
+        return F.when(kind == "object", F.concat(first, F.coalesce(members, F.array()))).otherwise(first)
+
+    must = F.array_contains(F.coalesce("req", F.array().cast(_LIST)), F.col("name"))
+    return own.select(key, F.explode(let(must, of_property)).alias("f")).select(key, "f.*")
 
 
 def output_names(schema: Column) -> Column:

@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.functions import text
-from loomery.operators import validation
+from loomery.operators import schemas, validation
 from loomery.plans import load_all
 from loomery.plans.registry import PLANS
 
 load_all()
-HEAVY = ["publish_steps_json", "hash_art_geometry", "manifest_rules_json", "schema_shape_faults", "input_validation"]
+HEAVY = ["publish_steps_json", "hash_art_geometry", "manifest_rules_json", "schema_shape_faults", "input_validation", "schema_fields_json"]
 
 
 @pytest.mark.parametrize("name", HEAVY)
@@ -50,3 +50,12 @@ def test_many_properties_are_linear(spark):
     assert {(x.n, x.bad) for x in r} == {(n, n - 6)}
     # Texts and objects that are read anew for each property take minutes.
     assert time.perf_counter() - began < 20
+
+
+def test_fields_read_the_rows_once(spark):
+    schema = {"type": "object", "properties": {"o": {"type": "object", "properties": {"a": {"type": "string", "default": "x"}}, "required": ["a"]}, "b": {"description": "no type"}, "c": {"type": "object"}}, "required": ["o"]}
+    df = spark.createDataFrame([(1, json.dumps(schema)), (2, "{}"), (3, None)], "id int, s string")
+    out = schemas.fields(df, "id", "s")
+    assert _optimized(out).count("LogicalRDD") == 1
+    want = [("b", None, False, None, "no type"), ("c", "object", False, None, None), ("o", "object", True, None, None), ("o.a", "string", True, '"x"', None)]
+    assert sorted((r.name, r.type, r.required, r.default, r.description) for r in out.collect()) == want
