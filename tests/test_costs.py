@@ -12,7 +12,7 @@ from loomery.plans import load_all
 from loomery.plans.registry import PLANS
 
 load_all()
-HEAVY = ["publish_steps_json", "hash_art_geometry", "manifest_rules_json", "schema_shape_faults", "input_validation", "schema_fields_json", "hash_art_bits"]
+HEAVY = ["publish_steps_json", "hash_art_geometry", "manifest_rules_json", "schema_shape_faults", "input_validation", "schema_fields_json", "hash_art_bits", "input_accepted"]
 
 
 @pytest.mark.parametrize("name", HEAVY)
