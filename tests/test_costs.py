@@ -39,7 +39,7 @@ def test_odd_fingerprints(spark):
     assert [(d.cx, d.cy) for d in got[3].a.dots[:5]] == [(25, 28), (75, 28), (125, 28), (175, 28), (425, 28)] and len(got[3].a.dots) == 64
 
 
-def test_many_properties_are_linear(spark):
+def test_many_properties_read_their_texts_once(spark):
     n = 800
     schema = {"type": "object", "properties": {f"p{i}": {"type": "integer", "maximum": 5} for i in range(n)}, "required": ["p1"], "additionalProperties": False}
     df = spark.createDataFrame([(json.dumps(schema), json.dumps({f"p{i}": i for i in range(n)}))] * 4, "s string, g string").repartition(1).cache()
@@ -48,8 +48,8 @@ def test_many_properties_are_linear(spark):
     began = time.perf_counter()
     r = df.select(F.size(validation.accepted_input(s, g)).alias("n"), F.size(validation.input_faults(s, g)).alias("bad")).collect()
     assert {(x.n, x.bad) for x in r} == {(n, n - 6)}
-    # Texts and objects that are read anew for each property take minutes.
-    assert time.perf_counter() - began < 20
+    # Where both texts were read anew for each property, accepted_input alone took 18 s in a fresh session; now both take 5 s.
+    assert time.perf_counter() - began < 12
 
 
 def test_fields_read_the_rows_once(spark):
