@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import assert_same
-from loomery.llm import registry
+from loomery.llm import minhash, registry
 from loomery.llm.minhash import common_counts, components, near_duplicates, shingle_sets
 from loomery.llm.plans import op2_positional_decontam, op8_oph_dedup
 from loomery.llm.positional_index import build_index, contamination, positions_of, proximity_matches, steps_of, words_of
@@ -235,3 +235,29 @@ def test_common_counts_by_both_ways():
     flat = lambda some: (np.concatenate(some), np.repeat(np.arange(len(some)), [len(x) for x in some]), len(some))
     got = common_counts(*flat(a), *flat(b))
     assert got.tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+def test_members_of_a_bucket_are_dealt_in_packed_blocks(spark):
+    # 3,000 members in one bucket: a row for each block and pair, not for each member and block.
+    members = spark.range(3000).selectExpr("7L as key", "0 as band", "id", "10L as n", "id as component")
+    got = minhash._dealt(members, spark.createDataFrame([(7, 3000, 30000)], "key long, m long, total long"), 512).collect()
+    assert len(got) == 36
+    for i, j in itertools.combinations_with_replacement(range(6), 2):
+        assert sorted(r.s for r in got if (r.i, r.j) == (i, j)) == sorted({i, j})
+    assert sorted(m.id for r in got if r.i == r.j for m in r.members) == list(range(3000))
+
+
+def test_many_small_blocks_change_no_component(spark, monkeypatch):
+    # Tiles of 3 and blocks of 7 while sketches are compared; a chain and a family within few buckets.
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(minhash, "SIFTED_MEMBERS", 7)
+    rnd = random.Random(8)
+    template, docs = [f"t{i}" for i in range(150)], []
+    for k in range(40):
+        own = {at: f"m{k}x{at}" for at in rnd.sample(range(150), 7)}
+        for half in range(2):
+            w = [own.get(i, t) for i, t in enumerate(template)]
+            w[rnd.randrange(150)] = f"h{k}{half}"
+            docs.append((2 * k + half, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()}
+    assert got == plain_components(docs, 3, 85)
