@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomery.llm.context_mixing import END, LEAN, Code, Mixer, chained, score_texts
+from loomery.llm.context_mixing import END, LEAN, Code, Mixer, chained, score_texts, sightings, word_costs
 from loomery.llm.cotraining import Logistic, _distributed, co_train, features_of, quality_scores
 from loomery.llm.plans import op6_context_mixing
 
@@ -128,6 +129,35 @@ def test_probabilities_of_all_words_add_up():
         assert (2.0**-cost).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_sightings_lose_no_context():
+    rnd = np.random.default_rng(5)
+    codes = [(0, 1), (2, 2), (6, 3), (7, 3)]  # code words 0, 10, 110, 111
+    symbol, weight = rnd.integers(0, 4, 4000), rnd.integers(0, 5, 4000)
+    # Contexts that differ in their lowest or highest bits alone, and others.
+    context = np.concatenate([rnd.integers(0, 8, 2000), rnd.integers(0, 8, 1000) << 60, rnd.integers(0, 1 << 62, 1000)]).astype(np.uint64)
+    word = np.array([w << (64 - n) for w, n in codes], np.uint64)[symbol]
+    seen, row = sightings(context, symbol, word, weight, 3)
+    want = Counter()
+    for c, s, w in zip(context.tolist(), symbol.tolist(), weight.tolist(), strict=True):
+        for n in range(codes[s][1] + 1):
+            want[c, n, codes[s][0] >> (codes[s][1] - n)] += w
+    for k, (c, s) in enumerate(zip(context.tolist(), symbol.tolist(), strict=True)):
+        assert [seen[row[k], n] for n in range(codes[s][1] + 1)] == [want[c, n, codes[s][0] >> (codes[s][1] - n)] for n in range(codes[s][1] + 1)]
+
+
+def test_spelling_of_a_part_is_small():
+    rnd = random.Random(1)
+    some = pa.array(["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(6, 10))) for _ in range(100_000)])
+    count = np.array([k % 2 for k in range(100_000)])
+    tracemalloc.start()
+    try:
+        cost = word_costs(some, np.maximum(count, 1), count > 0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (cost > 0).all() and peak < 230e6
+
+
 def test_head_changes_no_count(spark):
     df = spark.createDataFrame([(None if i == 3 else i, t, 1.0) for i, t in enumerate(ODD)] + [(6, "the the of", 1.0)], "doc_id long, text string, score double")
     df = df.withColumns({c: F.lit(1) for c in ("id", "k1", "k2", "row", "tail", "training", "word", "slice", "cost")})
