@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomery.llm.context_mixing import END, LEAN, Code, Mixer, chained, score_texts, sightings, word_costs
+from loomery.llm.context_mixing import END, LEAN, Code, Mixer, chained, score_texts, sightings, token_costs, word_costs
 from loomery.llm.cotraining import Logistic, _distributed, co_train, features_of, quality_scores
 from loomery.llm.plans import op6_context_mixing
 
@@ -145,6 +145,20 @@ def test_sightings_lose_no_context():
         assert [seen[row[k], n] for n in range(codes[s][1] + 1)] == [want[c, n, codes[s][0] >> (codes[s][1] - n)] for n in range(codes[s][1] + 1)]
 
 
+def test_bits_that_share_all_they_depend_on_are_predicted_once(monkeypatch):
+    rnd, predicted, cost = np.random.default_rng(6), [], Mixer.cost
+    monkeypatch.setattr(Mixer, "cost", lambda self, z, gate, bit: predicted.append(len(z)) or cost(self, z, gate, bit))
+    code = Code(pa.array([*"abcdef", END]), np.array([50, 20, 9, 9, 3, 1, 30]), 2)
+    symbol, training = rnd.integers(0, 8, 6000), np.arange(6000) % 7 > 0
+    # One word before all, and another before it each time: 14 bits follow in all, for tokens that are learnt from and for those that aren't.
+    got = token_costs(code, symbol, np.full(6000, 9, np.uint64), np.arange(6000, dtype=np.uint64) << np.uint64(20), np.ones(6000, np.int64), training)
+    assert sum(predicted) <= 2 * 14
+    assert len(set(zip(symbol.tolist(), training.tolist(), got.tolist(), strict=True))) == 16
+    # The probabilities of all symbols add up to 1, as by their counts.
+    share = np.bincount(symbol, training, 8) / training.sum()
+    assert np.abs(2.0 ** -np.array([got[(symbol == k) & ~training][0] for k in range(8)]) - share).max() < 0.02
+
+
 def test_spelling_of_a_part_is_small():
     rnd = random.Random(1)
     some = pa.array(["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(6, 10))) for _ in range(100_000)])
