@@ -7,11 +7,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from compare import assert_same
-from loomery.llm import minhash, registry
+from loomery.llm import minhash, positional_index, registry
 from loomery.llm.minhash import common_counts, components, near_duplicates, shingle_sets
 from loomery.llm.plans import op2_positional_decontam, op8_oph_dedup
 from loomery.llm.positional_index import build_index, contamination, positions_of, proximity_matches, steps_of, words_of
@@ -97,6 +98,33 @@ def test_windows_nearby(spark):
         contamination(d, b, slop=100)
 
 
+def test_index_is_held_a_few_segments_at_a_time(spark, monkeypatch):
+    rnd = random.Random(8)
+    names = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(20_000)]
+    d = spark.createDataFrame([(i, " ".join(rnd.choices(names, k=150_000))) for i in range(32)], "doc_id long, text string").coalesce(1)
+    plain, built = positional_index._segments, positional_index.build_index
+
+    def small(batches):
+        for batch in batches:
+            assert batch.nbytes < 12 << 20, batch.nbytes
+            yield from plain([batch])
+
+    def measured(*args):
+        index = built(*args)
+        files = [pq.ParquetFile(f).metadata for f in index.inputFiles()]
+        groups = [f.row_group(k) for f in files for k in range(f.num_row_groups)]
+        assert sum(g.num_rows for g in groups) >= 32 and max(g.total_byte_size for g in groups) < 24 << 20
+        return index
+
+    monkeypatch.setattr(positional_index, "_segments", small)
+    monkeypatch.setattr(positional_index, "build_index", measured)
+    b = spark.createDataFrame([(1, d.first().text[: 7 * 13 - 1])], "item_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = {r.doc_id: r.n_hit for r in contamination(d, b, segment_bytes=1 << 20, slop=26).collect()}
+    assert len(got) == 32 and got[0] == 13 and not any(v for k, v in got.items() if k)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "x a y y b z"), (2, "b a"), (3, "a q q q q b"), (4, None), (5, "a"), (6, "b")], "doc_id long, text string")
     index = build_index(d)
