@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomery.llm.context_mixing import END, LEAN, Code, Mixer, chained, score_texts, sightings, token_costs, word_costs
+from loomery.llm.context_mixing import END, HEAD, LEAN, Code, Mixer, beside_costs, chained, score_texts, sightings, token_costs, word_costs
 from loomery.llm.cotraining import Logistic, _distributed, co_train, features_of, quality_scores
 from loomery.llm.plans import op6_context_mixing
 
@@ -186,6 +186,55 @@ def test_head_changes_no_count(spark):
     assert {r.train_tokens for r in score_texts(df, F.lit(False)).collect()} == {0}
 
 
+def test_words_beyond_the_head_have_neighbours_too(spark):
+    rnd = random.Random(12)
+    some = [" ".join(f"{x}{rnd.randint(0, 40)}" for x in "abcdefgh") for _ in range(60)]
+    texts = [" ".join(rnd.sample(some, 5)) for _ in range(200)]
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(1000 + i, t, False) for i, t in enumerate(texts[:40])]
+    rows += [(2000 + i, " ".join(rnd.sample(t.split(), 40)), False) for i, t in enumerate(texts[:40])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    whole, few, none = ({r.doc_id: r.score for r in score_texts(df, F.col("train"), head=head, part_tokens=n).collect()} for head, n in ((HEAD, 2000), (8, 2000), (1, 2000)))
+    for got in (few, none):
+        assert all(got[1000 + i] > got[2000 + i] / 3 for i in range(40))
+        assert sum(got[k] for k in range(200)) > 1.25 * sum(whole[k] for k in range(200))
+
+
+def test_what_contexts_tell_of_words_adds_up():
+    rnd = np.random.default_rng(3)
+    context, word = rnd.integers(0, 5, 400).astype(np.uint64), rnd.integers(0, 30, 400).astype(np.uint64)
+    longer = context << np.uint64(8) | rnd.integers(0, 3, 400).astype(np.uint64)
+    # All words, known or not, in each context: what is told of the known ones, and what the others have left, is 1 in all.
+    asked = [np.repeat(np.unique(longer), 31), np.tile(np.arange(31, dtype=np.uint64), len(np.unique(longer)))]
+    pairs = [np.append(longer, asked[0]), np.append(context, asked[0] >> np.uint64(8))]
+    training = np.arange(len(pairs[0])) < 400
+    cost, told = beside_costs(pairs, np.append(word, asked[1]), np.ones(len(training), np.int64), training)
+    for x in np.unique(longer):
+        here = ~training & (pairs[0] == x)
+        share = 2.0 ** -cost[here]
+        near, far = (set(word[c == v].tolist()) for c, v in ((longer, x), (context, x >> np.uint64(8))))
+        known = np.array([w in far for w in range(31)])
+        assert (told[here] == known).all()
+        # Words of the shorter context that the longer one has seen could be told by either; that share is lost.
+        lost = [(word[context == x >> np.uint64(8)] == w).mean() for w in near]
+        left = share[[w not in far for w in range(31)]][0]
+        not_near = 1 - share[sorted(near)].sum()
+        assert share[known].sum() + left == pytest.approx(1 - (not_near - left) * sum(lost), abs=1e-4)
+    # A token that is learnt from doesn't see itself.
+    alone, n = beside_costs([np.array([7, 7], np.uint64)], np.array([1, 2], np.uint64), np.ones(2, np.int64), np.ones(2, bool))
+    assert not n.any() and (alone > 0).all() and beside_costs([np.array([7], np.uint64)], np.array([1], np.uint64), np.ones(1, np.int64), np.ones(1, bool))[0][0] == 0
+
+
+def test_bits_in_unseen_contexts_are_mixed_and_learnt_from():
+    # Code words of 17 bits; no context is seen twice, and the last four bits are ones.
+    code = Code(pa.array([*(f"{k}" for k in range((1 << 17) - 2)), END]), np.ones((1 << 17) - 1, np.int64), 1)
+    which, _, bit = code.path(np.arange(code.n))
+    bits = bit[np.argsort(which, kind="stable")].reshape(code.n, 17)  # the last bit first
+    symbol = np.repeat(np.flatnonzero(bits[:, :4].all(axis=1)), 8)
+    alone = np.arange(len(symbol), dtype=np.uint64) << np.uint64(30)
+    got = token_costs(code, symbol, alone, alone + np.uint64(1), np.ones(len(symbol), np.int64), np.ones(len(symbol), bool))
+    assert len(symbol) == 1 << 16 and got.mean() < 16.9
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     fit = labels.filter("doc_id % 3 <> 0")
