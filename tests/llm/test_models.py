@@ -199,6 +199,17 @@ def test_words_beyond_the_head_have_neighbours_too(spark):
         assert sum(got[k] for k in range(200)) > 1.25 * sum(whole[k] for k in range(200))
 
 
+def test_words_beyond_the_head_teach_spelling(spark):
+    rnd = random.Random(13)
+    new = lambda: "".join(rnd.choices("abcdefghij", k=8))
+    rows = [(i, " ".join(2 * [f"{new()}!!" for _ in range(20)]), True) for i in range(40)]
+    tests = [[new() for _ in range(10)] for _ in range(20)]
+    rows += [(k + i, " ".join(w + end for w in t), False) for k, end in ((1000, "!!"), (2000, "??")) for i, t in enumerate(tests)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r.doc_id: r.score for r in score_texts(df, F.col("train"), head=2).collect()}
+    assert all(got[1000 + i] > got[2000 + i] + 10 for i in range(20))
+
+
 def test_what_contexts_tell_of_words_adds_up():
     rnd = np.random.default_rng(3)
     context, word = rnd.integers(0, 5, 400).astype(np.uint64), rnd.integers(0, 30, 400).astype(np.uint64)
